@@ -18,8 +18,9 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
     """
     spark = edges.sparkSession
     least, most = F.least("a", "b"), F.greatest("a", "b")
-    now = edges.where("a <> b").select(most.alias("u"), least.alias("v")).distinct()
-    seen, old = None, None
+    old = workspace(spark, tag)
+    edges.where("a <> b").select(most.alias("u"), least.alias("v")).distinct().write.parquet(old)
+    now, seen = spark.read.schema("u bigint, v bigint").parquet(old), None
     for _ in range(most_rounds):
         # large star: every neighbour above u is joined to u's least neighbour (or u)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -33,8 +34,7 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
         small.unionByName(low.select("u", F.col("m").alias("v"))).distinct().write.parquet(path)
         now = spark.read.schema("u bigint, v bigint").parquet(path)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if old:
-            drop_folder(spark, old)
+        drop_folder(spark, old)
         old = path
         if state == seen:
             break

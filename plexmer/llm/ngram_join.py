@@ -12,10 +12,10 @@ texts link when ``intersection / union >= num / den``.  Steps:
    there has no partner;
 3. classes that share a prefix shingle, and pass the length and position bounds,
    are chained into blocks (connected components of the candidates);
-4. each block's whole sets are put into a prefix tree in ascending hash order,
-   and every set is matched by walking the tree: partial overlaps are shared
-   along common paths, subtrees are cut by the remaining-length bound, and sets
-   already in the probe's component are passed over;
+4. each block's whole sets are put into a prefix tree, frequent shingles first, and
+   every set is matched by walking the tree level by level: partial overlaps are
+   shared along common paths, and subtrees are cut once their misses exceed what
+   the lengths allow;
 5. the links found give the components.
 
 Blocks above `block_tokens` shingles are cut into chunks, and each pair of chunks
@@ -197,70 +197,90 @@ def _candidates(num: int, den: int):
 
 
 class PrefixTree:
-    """A trie of ascending token arrays, kept as sorted arrays with the depth each shares with the one before it."""
+    """A trie of token sets, each in the block's order: frequent tokens first.
+
+    Paths without a branch are one node.  Nodes lie level by level in flat arrays, so
+    a probe walks a whole level at a time: a node's overlap with the probe is its
+    parent's and the hits among its own tokens, which all sets below share.
+    """
 
     def __init__(self, sets: list[np.ndarray]) -> None:
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.sets = [sets[i] for i in self.order]
-        self.shared = [0]
-        for a, b in zip(self.sets, self.sets[1:], strict=False):
-            m = min(len(a), len(b))
-            differ = np.flatnonzero(a[:m] != b[:m])
-            self.shared.append(int(differ[0]) if len(differ) else m)
-
-    def links(self, probe: np.ndarray, num: int, den: int, skip, step: int = 64) -> Iterator[int]:
-        """Numbers of the sets that link with `probe`, but for those that `skip(number)` passes over when reached.
-
-        `overlap[d]` is the probe's overlap with the first d tokens of the path
-        walked last; a set that shares its first d tokens starts from there.
-        """
-        n, depth, valid, overlap, cut = len(probe), 0, 0, np.zeros(1, np.int64), None
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        self.width = len(counts)
+        self.sets = [np.sort(x) for x in np.split(rank[inverse], np.cumsum(self.sizes)[:-1])]
+        order = sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">u4").tobytes())
+        depth, parent, of, ends = [0], [-1], [order[0]], [-1]
+        stack, last = [0], None
+        for number, i in enumerate(order):
+            shared = 0
+            if number:
+                a, b = self.sets[order[number - 1]], self.sets[i]
+                m = min(len(a), len(b))
+                differ = a[:m] != b[:m]
+                shared = int(differ.argmax()) if differ.any() else m
+            while depth[stack[-1]] > shared:
+                last = stack.pop()
+            if depth[stack[-1]] < shared:  # a path branches here
+                depth.append(shared), parent.append(stack[-1]), of.append(i), ends.append(-1)
+                parent[last] = len(depth) - 1
+                stack.append(len(depth) - 1)
+            depth.append(len(self.sets[i])), parent.append(stack[-1]), of.append(i), ends.append(i)
+            stack.append(len(depth) - 1)
+        by_depth = sorted(range(len(depth)), key=depth.__getitem__)
+        level = [0] * len(depth)
+        for v in by_depth[1:]:
+            level[v] = level[parent[v]] + 1
+        nodes = sorted(range(len(depth)), key=level.__getitem__)
+        place = np.empty(len(nodes), np.int64)
+        place[nodes] = np.arange(len(nodes))
+        self.depth, self.ends = np.array(depth)[nodes], np.array(ends)[nodes]
+        self.parent = np.concatenate(([0], place[np.array(parent)[nodes[1:]]]))
+        self.levels = run_bounds(np.array(level)[nodes])
+        pieces = [self.sets[of[v]][depth[parent[v]] : depth[v]] if v else self.sets[0][:0] for v in nodes]
+        self.first = np.concatenate(([0], np.cumsum([len(x) for x in pieces])))
+        self.tokens = np.concatenate(pieces)
+
+    def links(self, number: int, num: int, den: int) -> np.ndarray:
+        """Numbers of the sets that link with set `number`, itself included."""
+        n = len(self.sets[number])
         spare = n * (den - num) // num  # misses that no partner of any length may exceed
-        for at, s in enumerate(self.sets):
-            valid = min(valid, self.shared[at])
-            if cut is not None:
-                if self.shared[at] >= cut:
-                    continue  # below a node that was cut
-                cut = None
-            m, number = len(s), self.order[at]
-            if den * min(n, m) < num * max(n, m) or skip(number):
-                continue
-            need = overlap_needed(n, m, num, den)
-            depth = valid
-            have = int(overlap[depth])
-            overlap = overlap[: depth + 1]
-            alive = True
-            while depth < m and alive:
-                tokens = s[depth : depth + step]
-                where = np.searchsorted(probe, tokens)
-                hit = (where < n) & (probe[np.minimum(where, n - 1)] == tokens)
-                overlap = np.concatenate((overlap, have + np.cumsum(hit)))
-                depth += len(tokens)
-                have = int(overlap[-1])
-                if depth - have > spare:
-                    cut = int(np.argmax(np.arange(depth + 1) - overlap > spare))
-                    alive = False
-                elif have + min(m - depth, n - int(where[-1]) - int(hit[-1])) < need:
-                    alive = False
-            valid = depth
-            if alive and have >= need:
-                yield number
+        inside = np.zeros(self.width, np.int64)
+        inside[self.sets[number]] = 1
+        overlap = np.zeros(len(self.depth), np.int64)
+        alive = np.ones(len(self.depth), bool)
+        for a, b in zip(self.levels[1:-1], self.levels[2:], strict=True):
+            nodes = np.arange(a, b)[alive[self.parent[a:b]]]
+            alive[a:b] = False
+            if not len(nodes):
+                break
+            if len(nodes) == b - a:
+                hits = np.add.reduceat(inside[self.tokens[self.first[a] : self.first[b]]], self.first[a:b] - self.first[a])
+            else:  # only below nodes that are alive
+                lengths = self.first[nodes + 1] - self.first[nodes]
+                starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+                hits = np.add.reduceat(inside[self.tokens[np.arange(lengths.sum()) + np.repeat(self.first[nodes] - starts, lengths)]], starts)
+            overlap[nodes] = overlap[self.parent[nodes]] + hits
+            alive[nodes] = self.depth[nodes] - overlap[nodes] <= spare
+        found = alive & (self.ends >= 0)
+        sets = self.ends[found]
+        return sets[overlap[found] >= overlap_needed(n, self.sizes[sets], num, den)]
 
 
 def match_block(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Links that connect all linked sets of a block (a spanning forest)."""
-    tree, parent, out = PrefixTree(sets), list(range(len(ids))), []
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for i, probe in enumerate(sets):
-        for j in tree.links(probe, num, den, lambda k, i=i: root(k) == root(i)):
-            parent[root(j)] = root(i)
-            out.append((ids[i], ids[j]))
+    if len(ids) < 2:
+        return []
+    tree, label, out = PrefixTree(sets), np.arange(len(ids)), []
+    for i in range(len(ids)):
+        found = tree.links(i, num, den)
+        others, at = np.unique(label[found], return_index=True)
+        for x, j in zip(others.tolist(), found[at].tolist(), strict=True):
+            if x != label[i]:
+                out.append((ids[i], ids[j]))
+                label[label == x] = label[i]
     return out
 
 
@@ -296,7 +316,7 @@ def _matched(num: int, den: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, pool: int = POOL, block_tokens: int = 8_000_000) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, pool: int = POOL, block_tokens: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -320,7 +340,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     member = materialise(blocks.join(classes, "cid"), "members")
     sizes = member.groupBy("block").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("chunks"))
     member = member.join(sizes, "block").withColumn("chunk", F.expr("CAST(pmod(xxhash64(cid), chunks) AS INT)"))
-    texts = rows.withColumnRenamed("doc_id", "id").join(member, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "key", "block", "chunk", "chunks", "cid")
+    texts = rows.withColumnRenamed("doc_id", "id").join(member.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "key", "block", "chunk", "chunks", "cid")
     whole = texts.mapInArrow(_whole_sets(n), "block bigint, chunk int, chunks int, cid bigint, tokens binary").where("tokens is not null")
     cells = whole.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)"))).select(F.expr("xxhash64(block, least(chunk, other), greatest(chunk, other))").alias("cell"), "block", "cid", "tokens")
     links = cells.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_matched(num, den), "a bigint, b bigint")
