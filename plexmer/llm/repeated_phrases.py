@@ -190,7 +190,7 @@ def repeated_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     repeated = places.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_repeated, "cid bigint, gram bigint, place int")
     wanted = repeated.groupBy("cid").agg(F.sort_array(F.collect_list("place")).alias("places")).join(classes, "cid")
 
-    texts = rows.withColumnRenamed("doc_id", "id").join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).where(F.sha2(F.encode(_one_space("text"), "UTF-8"), 256) == F.lower(F.hex("key")))
+    texts = rows.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).where(F.sha2(F.encode(_one_space("text"), "UTF-8"), 256) == F.lower(F.hex("key")))
     texts = materialise(texts.select("cid", "text", "places"), "candidates")
     stretches = texts.mapInArrow(_stretches(window, gram), "gram bigint, cid bigint, start int, words string")
     found = stretches.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_located(window), "cid bigint, starts array<int>")
