@@ -13,8 +13,9 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Distinct chunks remembered by a worker; then it starts afresh.
-REMEMBERED = 400_000
+#: Distinct chunks, and distinct words, remembered by a worker (about 300 MB); then it starts afresh.
+REMEMBERED = 500_000
+WORDS = 1_000_000
 _WIDE_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: A space belongs to the word after it; of other white space the last character before a word stands alone.
 _BYTE_CHUNKS = re.compile(rb"[ ]?[^ \t-\r]+|[ \t-\r]+(?=[ ][^ \t-\r])|[ \t-\r]+(?=[\t-\r][^ \t-\r])|[ \t-\r]+")
@@ -26,26 +27,47 @@ def default_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin letters followed by ASCII punctuation without apostrophes: two pre-tokens, whatever the rules.
+_WORD_MARK = re.compile(rb"(\x20?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class _Memory(dict):
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.encode = encode
+    """Chunk -> packed ids; a word and the punctuation after it are looked up apart, so few distinct pieces are encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], lower: bool) -> None:
+        self.encode, self.lower, self.pieces = encode, lower, {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[chunk] = self.encode(chunk.decode())
+        found = _WORD_MARK.fullmatch(chunk)
+        if found:
+            word, mark = found.groups()
+            ids = self.piece(word.decode().lower() if self.lower else word.decode()) + (self.piece(mark.decode()) if mark else b"")
+        else:
+            ids = self.encode(chunk.decode())
+        self[chunk] = ids
+        return ids
+
+    def piece(self, text: str) -> bytes:
+        ids = self.pieces.get(text)
+        if ids is None:
+            if len(self.pieces) >= WORDS:
+                self.pieces.clear()
+            ids = self.pieces[text] = self.encode(text)
         return ids
 
 
 class Encoder:
-    """Text -> packed ids.  `kind` is "word" (white space is dropped) or "byte" (every byte counts)."""
+    """Text -> packed ids.  `kind` is "word" (white space is dropped, letters are lowered) or "byte" (every byte counts)."""
 
     def __init__(self, path: str, kind: str) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        self.ids = tokenizer.get_vocab_size()
         self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.memory = _Memory(self.whole)
+        self.memory = _Memory(self.whole, kind == "word")
         self.split = bytes.split if kind == "word" else _BYTE_CHUNKS.findall
 
     def __call__(self, text: str) -> bytes:
