@@ -1,9 +1,9 @@
 """Token ids as Arrow stream files of fixed-size lists.
 
 Ids of all documents in ascending doc_id order form one stream.  A file holds a
-range of doc_ids: record batches of `ids: fixed_size_list<uint32, WIDTH>` and
-`mask: fixed_size_list<uint8, WIDTH>` (1: an id, 0: padding of the file's last
-sequence), in Arrow's file format, so any sequence is reached by its number and
+range of doc_ids: record batches of `ids: fixed_size_list<uint16 or uint32, WIDTH>`
+(two bytes where the vocabulary allows it) and `mask: fixed_size_list<bool, WIDTH>`
+(true: an id, false: padding of the file's last sequence), in Arrow's file format, so any sequence is reached by its number and
 mapped without copying.  Beside it lies an index file (doc_id, start, n_tokens,
 start counted from the file's first id).  Files are written under a name of the
 task's attempt and listed in a manifest; only listed files are read.
@@ -35,19 +35,20 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 MANIFEST = "bucket int, path string, documents bigint, tokens bigint, sequences bigint"
 
 
-def ids_schema(width: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), width)), ("mask", pa.list_(pa.uint8(), width))])
+def ids_schema(width: int, ids: int) -> pa.Schema:
+    """Columns of a file for a vocabulary of `ids` ids."""
+    return pa.schema([("ids", pa.list_(pa.uint16() if ids <= 1 << 16 else pa.uint32(), width)), ("mask", pa.list_(pa.bool_(), width))])
 
 
 class StreamFile:
     """Writer of one file and its index; memory is one record batch."""
 
-    def __init__(self, folder: str, width: int) -> None:
+    def __init__(self, folder: str, width: int, ids: int = 1 << 32) -> None:
         self.system, root = fs.FileSystem.from_uri(folder)
         self.system.create_dir(root, recursive=True)
-        self.path, self.width = f"{root}/{uuid.uuid4().hex}.arrow", width
+        self.path, self.width, self.schema = f"{root}/{uuid.uuid4().hex}.arrow", width, ids_schema(width, ids)
         self.out = self.system.open_output_stream(self.path)
-        self.writer = pa.ipc.new_file(self.out, ids_schema(width))
+        self.writer = pa.ipc.new_file(self.out, self.schema)
         self.waiting, self.held, self.tokens, self.sequences, self.index = [], 0, 0, 0, []
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -62,11 +63,11 @@ class StreamFile:
     def _write(self, count: int) -> None:
         flat = np.frombuffer(b"".join(self.waiting), "<u4")
         ids, rest = flat[:count], flat[count:]
-        mask = np.ones(-(-len(ids) // self.width) * self.width, np.uint8)
-        mask[len(ids) :] = 0
-        ids = np.concatenate((ids, np.zeros(len(mask) - len(ids), "<u4")))
+        mask = np.ones(-(-len(ids) // self.width) * self.width, bool)
+        mask[len(ids) :] = False
+        ids = np.concatenate((ids, np.zeros(len(mask) - len(ids), "<u4"))).astype(self.schema.field("ids").type.value_type.to_pandas_dtype())
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.width) for x in (ids, mask)]
-        self.writer.write_table(pa.Table.from_arrays(lists, schema=ids_schema(self.width)), max_chunksize=BATCH)
+        self.writer.write_table(pa.Table.from_arrays(lists, schema=self.schema), max_chunksize=BATCH)
         self.sequences += len(mask) // self.width
         self.waiting, self.held = [rest.tobytes()], len(rest)
 
@@ -82,9 +83,10 @@ class StreamFile:
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, number: int, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask) of one sequence of an open file, without copying when the file is mapped."""
+    """(ids, mask) of one sequence of an open file; ids are not copied when the file is mapped (bits of the mask are unpacked)."""
     got = reader.get_batch(number // batch)
-    return tuple(got.column(i).slice(number % batch, 1).flatten().to_numpy() for i in (0, 1))
+    ids, mask = (got.column(i).slice(number % batch, 1).flatten() for i in (0, 1))
+    return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
 
 def _write(folder: str, tokenizer: str, end: bytes, width: int):
@@ -101,7 +103,7 @@ def _write(folder: str, tokenizer: str, end: bytes, width: int):
                 if bucket != at:
                     if file:
                         yield close()
-                    file, at = StreamFile(folder, width), bucket
+                    file, at = StreamFile(folder, width, to_ids.ids), bucket
                 file.add(doc_id, to_ids(text or "") + end)
         if file:
             yield close()
@@ -140,9 +142,8 @@ def _read(folder: str):
                     for doc_id, start, n in zip(*(index.column(c).to_pylist() for c in INDEX.names), strict=True):
                         while base + len(have) < start + n:
                             got = reader.get_batch(at)
-                            ids, mask = (got.column(c).flatten().to_numpy() for c in ("ids", "mask"))
-                            keep = have[start - base :]
-                            have, base, at = np.concatenate((keep, ids[: int(mask.sum())])), start, at + 1
+                            ids = got.column("ids").flatten().to_numpy()[: got.column("mask").flatten().true_count].astype("<u4")
+                            have, base, at = np.concatenate((have[start - base :], ids)), start, at + 1
                         out.append((doc_id, first + start, n, have[start - base : start - base + n].tobytes()))
                         if len(out) == 1000:
                             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
