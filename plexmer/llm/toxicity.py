@@ -11,7 +11,7 @@ whose expected number by chance is below `SIGNIFICANT` are toxic passages, and
 their log-odds against chance add up to a document's evidence.  A logistic curve
 fitted on training rows turns evidence into a score from 0 to 1.
 
-Only rows whose ``crc32(doc_id as text) mod 5`` is not 0 teach; labels, lang,
+Only rows whose ``crc32(doc_id as text) mod 5`` is not 0 teach, `TRAINING_ROWS` at most; labels, lang,
 source and doc_id are never inputs of a score.
 
 Defined cases: null or empty text has no evidence and scores like any text without
@@ -42,8 +42,8 @@ Z_MIN = 4.0
 PRIOR = 200.0
 #: Expected number of chance segments below which a segment is significant.
 SIGNIFICANT = 0.05
-#: Training rows for the logistic curve, at most (the lowest by a hash of their id).
-CURVE_ROWS = 50_000
+#: Labelled rows that teach, at most: those lowest by a hash of their id.  The bound also makes their broadcast safe.
+TRAINING_ROWS = 20_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -197,7 +197,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    marks = marks.where(fold(F.col("doc_id")) != 0)
+    marks = marks.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
+    marks = F.broadcast(materialise(marks, "training"))  # TRAINING_ROWS pairs of numbers at most
     train = rows.join(marks, "doc_id").select("text", "toxic")
     model, share = learn_words(train)
     held = fold(F.col("doc_id")) == 0
@@ -209,7 +210,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lam = decay(scores, np.full(len(scores), per_word / len(scores)), penalty)
     scored = rows.mapInArrow(_evidence(model, penalty, lam, per_word), "doc_id bigint, evidence double, passages array<struct<first: int, last: int, log_odds: double>>")
     scored = materialise(scored, "evidence")
-    sample = scored.join(marks, "doc_id").select("evidence", "toxic", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(CURVE_ROWS).collect()
+    sample = scored.join(marks, "doc_id").select("evidence", "toxic").collect()
     a, b = _curve(np.log1p(np.array([r["evidence"] for r in sample])), np.array([float(r["toxic"]) for r in sample]))
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("evidence"))))
     return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
