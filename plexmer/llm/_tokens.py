@@ -31,11 +31,18 @@ def default_tokenizer(name: str) -> str:
 _WORD_MARK = re.compile(rb"(\x20?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: bytes that print stand for themselves, the others for code points from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: chr(b if b in prints else next(others)) for b in range(256)}
+
+
 class _Memory(dict):
     """Chunk -> packed ids; a word and the punctuation after it are looked up apart, so few distinct pieces are encoded."""
 
-    def __init__(self, encode: Callable[[str], bytes], lower: bool) -> None:
-        self.encode, self.lower, self.pieces = encode, lower, {}
+    def __init__(self, encode: Callable[[str], bytes], encode_one: Callable[[str], bytes], lower: bool) -> None:
+        self.encode, self.encode_one, self.lower, self.pieces = encode, encode_one, lower, {}
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= REMEMBERED:
@@ -54,7 +61,7 @@ class _Memory(dict):
         if ids is None:
             if len(self.pieces) >= WORDS:
                 self.pieces.clear()
-            ids = self.pieces[text] = self.encode(text)
+            ids = self.pieces[text] = self.encode_one(text)
         return ids
 
 
@@ -67,7 +74,10 @@ class Encoder:
         tokenizer = Tokenizer.from_file(path)
         self.ids = tokenizer.get_vocab_size()
         self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.memory = _Memory(self.whole, kind == "word")
+        # a single pre-token needs the merges alone
+        model, letters = tokenizer.model, _byte_letters()
+        one = lambda text: np.array([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+        self.memory = _Memory(self.whole, one, kind == "word")
         self.split = bytes.split if kind == "word" else _BYTE_CHUNKS.findall
 
     def __call__(self, text: str) -> bytes:
