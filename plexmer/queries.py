@@ -1,10 +1,261 @@
-"""Queries of the library's own operators over the driver tables, and their DuckDB SQL."""
+"""Queries of the library's own operators over the driver tables, and their DuckDB SQL.
+
+Bindings: a feature is a part, a sample a nation, a group a region, a value the
+quantity ordered; texts folded to four letters are reads and sources their samples; users
+are individuals, event types runs and hours iterations; orders are sets of parts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import kmers as K
+from .operators import discretize, matrix, redundancy, runs, stats
+from .plans import search
+
+K_DNA = 6
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("grp"))
+
+
+def long_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    lines = _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    orders = _t(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    customers = _t(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return joined.groupBy(F.col("l_partkey").alias("kmer_id"), F.col("c_nationkey").alias("ord")).agg(F.sum("l_quantity").alias("val"))
+
+
+def reads(spark: SparkSession, sf: str) -> DataFrame:
+    return _t(spark, sf, "documents").select(F.col("source").alias("sample"), K.fold_text(F.col("text")).alias("seq"))
+
+
+def scores(spark: SparkSession, sf: str) -> DataFrame:
+    events = _t(spark, sf, "events")
+    return events.groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("ind")).agg(F.max("value").alias("score"))
+
+
+def individuals(spark: SparkSession, sf: str) -> DataFrame:
+    genes = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("kmers"))
+    return genes.join(_t(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_orderpriority").alias("run"), F.col("l_orderkey").alias("iter"), "kmers", F.col("o_totalprice").alias("score"))
+
+
+def run_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.occurrences(individuals(spark, sf), "run")
+
+
+def _r(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+_M = """m AS (SELECT l_partkey AS kmer_id, c_nationkey AS ord, sum(l_quantity) AS val
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"""
+_ANOVA = _M + """, z AS (SELECT n_regionkey AS grp, count(*) AS n FROM nation GROUP BY 1),
+c AS (SELECT kmer_id, n_regionkey AS grp, sum(val) AS s, sum(val * val) AS q FROM m JOIN nation ON n_nationkey = ord GROUP BY 1, 2),
+u AS (SELECT kmer_id, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS b FROM c JOIN z USING (grp) GROUP BY 1),
+t AS (SELECT sum(n) AS n, count(*) AS g FROM z),
+f AS (SELECT kmer_id, ((b - s * s / n) / (g - 1)) / nullif((q - b) / (n - g), 0) AS f FROM u, t)"""
+_FOLD = "translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACTGACTGACTGACTGACTGACTGAC')"
+_KMERS = f"""r AS (SELECT source AS sample, {_FOLD} AS seq FROM documents),
+w AS (SELECT sample, unnest(list_transform(range(1, CAST(length(seq) - {K_DNA} + 2 AS BIGINT)), lambda i: substr(seq, i, {K_DNA}))) AS kmer FROM r WHERE length(seq) >= {K_DNA}),
+k AS (SELECT sample, least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) AS kmer, count(*) AS cnt FROM w GROUP BY 1, 2)"""
+_ID = " + ".join(f"(position(substr(kmer, {i + 1}, 1) IN 'ACTG') - 1) * {4 ** (K_DNA - 1 - i)}" for i in range(K_DNA))
+_S = "s AS (SELECT event_type AS run, user_id AS ind, max(value) AS score FROM events GROUP BY 1, 2)"
+_I = "i AS (SELECT o_orderpriority AS run, l_orderkey AS iter, kmers, o_totalprice AS score FROM (SELECT l_orderkey, list_sort(list(DISTINCT l_partkey)) AS kmers FROM lineitem GROUP BY 1) JOIN orders ON l_orderkey = o_orderkey)"
+_O = _I + ", o AS (SELECT run, unnest(kmers) AS kmer_id, score FROM i), q AS (SELECT run, kmer_id, count(*) AS nview, sum(score) AS score_cum FROM o GROUP BY 1, 2)"
+_RANK = "k AS (SELECT *, count(*) OVER (PARTITION BY run) + 1 - rank() OVER (PARTITION BY run ORDER BY score) AS rank FROM s)"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+@_query(f"WITH {_ANOVA} SELECT kmer_id, round(f, 6) AS f FROM f")
+def anova_features(spark, sf):
+    return _r(stats.anova(long_matrix(spark, sf), samples(spark, sf)), "f")
+
+
+@_query(f"WITH {_ANOVA} SELECT kmer_id, round(f, 6) AS f FROM f WHERE f IS NULL OR f >= 2.8660814020156584")
+def anova_filter(spark, sf):
+    return _r(stats.anova_filter(long_matrix(spark, sf), samples(spark, sf), 0.05), "f")
+
+
+@_query(f"WITH {_KMERS} SELECT sample, kmer, cnt FROM k")
+def kmer_counts(spark, sf):
+    return matrix.count_kmers(reads(spark, sf), K_DNA)
+
+
+@_query(f"WITH {_KMERS} SELECT DISTINCT kmer, CAST({_ID} AS BIGINT) AS kmer_id, kmer AS decoded FROM k")
+def kmer_encode_decode(spark, sf):
+    found = matrix.count_kmers(reads(spark, sf), K_DNA).select("kmer").distinct().withColumn("kmer_id", K.encode(F.col("kmer")))
+    return found.withColumn("decoded", K.decode(F.col("kmer_id"), K_DNA))
+
+
+@_query(f"WITH {_KMERS}, t AS (SELECT sample, sum(cnt) AS total FROM k GROUP BY 1) SELECT sample, CAST({_ID} AS BIGINT) AS kmer_id, round(cnt * 1e6 / total, 6) AS val FROM k JOIN t USING (sample) WHERE cnt > 5")
+def kmer_matrix(spark, sf):
+    return _r(matrix.normalise(matrix.count_kmers(reads(spark, sf), K_DNA), 5), "val")
+
+
+@_query("SELECT n_regionkey AS grp, count(*) AS n FROM nation GROUP BY 1")
+def group_sizes(spark, sf):
+    return matrix.group_sizes(samples(spark, sf))
+
+
+@_query("SELECT n_nationkey AS ord, n_name AS name, n_regionkey AS grp, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS replicate FROM nation")
+def replicate_numbers(spark, sf):
+    return matrix.replicates(samples(spark, sf)).withColumn("replicate", F.col("replicate").cast("bigint"))
+
+
+_DENSE = _M + ", d AS (SELECT kmer_id, list_transform(range(25), lambda o: coalesce(map_extract(c, CAST(o AS INT))[1], 0)) AS vals FROM (SELECT kmer_id, map_from_entries(list((ord, val))) AS c FROM m GROUP BY 1))"
+
+
+@_query(f"WITH {_DENSE} SELECT kmer_id, array_to_string(list_transform(vals, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',') AS vals FROM d")
+def dense_matrix(spark, sf):
+    m = long_matrix(spark, sf)
+    merged = matrix.merge(m.where("ord < 10"), m.where("ord >= 10"))
+    return matrix.dense(merged, 25).select("kmer_id", F.array_join(F.transform("vals", lambda v: v.cast("bigint").cast("string")), ",").alias("vals"))
+
+
+@_query(f"WITH {_M} SELECT kmer_id, ord, round(val, 6) AS val FROM m WHERE kmer_id IN (SELECT kmer_id FROM m WHERE val <> 0 GROUP BY 1 HAVING count(*) > 15)")
+def informative_features(spark, sf):
+    return _r(matrix.informative(long_matrix(spark, sf), 15), "val")
+
+
+@_query(f"WITH {_ANOVA}, keep AS (SELECT kmer_id FROM f WHERE f IS NULL OR f >= 2.8660814020156584) SELECT kmer_id, ord, round(val, 6) AS val FROM m WHERE kmer_id IN (SELECT kmer_id FROM keep)")
+def real_counts(spark, sf):
+    m = long_matrix(spark, sf)
+    return _r(matrix.keep_listed(m, stats.anova_filter(m, samples(spark, sf), 0.05)), "val")
+
+
+def _dense_with(spark, sf):
+    return matrix.dense(long_matrix(spark, sf), 25)
+
+
+def _groups(spark, sf) -> list[str]:
+    return [str(r["grp"]) for r in samples(spark, sf).orderBy("ord").collect()]
+
+
+@_query()
+def discretise_ameva(spark, sf):
+    return discretize.discretise(_dense_with(spark, sf), _groups(spark, sf), "ameva")
+
+
+@_query()
+def discretise_mdl(spark, sf):
+    return discretize.discretise(_dense_with(spark, sf), _groups(spark, sf), "mdl")
+
+
+@_query(f"""WITH {_DENSE}, b AS (SELECT kmer_id, p_brand, p_size, list_transform(vals, lambda v: CAST(v > 0 AS INT)) AS st FROM d JOIN part ON p_partkey = kmer_id)
+SELECT a.kmer_id AS id1, b.kmer_id AS id2, CAST(len(list_filter(list_zip(a.st, b.st), lambda p: p[1] <> p[2])) AS INT) AS distance FROM b a JOIN b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.kmer_id < b.kmer_id""")
+def hamming_in_buckets(spark, sf):
+    b = _dense_with(spark, sf).join(_t(spark, sf, "part"), F.col("p_partkey") == F.col("kmer_id")).select("kmer_id", "p_brand", "p_size", F.transform("vals", lambda v: (v > 0).cast("int")).alias("st"))
+    other = b.select(F.col("kmer_id").alias("id2"), "p_brand", "p_size", F.col("st").alias("st2"))
+    return b.join(other, ["p_brand", "p_size"]).where("kmer_id < id2").select(F.col("kmer_id").alias("id1"), "id2", redundancy.hamming(F.col("st"), F.col("st2")).alias("distance"))
+
+
+@_query()
+def redundancy_filter(spark, sf):
+    b = _dense_with(spark, sf).join(_t(spark, sf, "part"), F.col("p_partkey") == F.col("kmer_id"))
+    return redundancy.drop_redundant(b.select(F.col("p_brand").alias("bucket"), "kmer_id", F.transform("vals", lambda v: F.width_bucket(v, F.lit(0.0), F.lit(100.0), F.lit(4)).cast("int")).alias("states")), 1)
+
+
+@_query(f"WITH {_S}, {_RANK} SELECT run, ind, round(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM k")
+def fitness_rank(spark, sf):
+    return _r(runs.fitness_rank(scores(spark, sf)), "score").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@_query(f"""WITH {_S}, {_RANK}, a AS (SELECT run, min(score) - 2 * median(score) AS g, sum(score) AS t, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT run, ind, rank, (score + g) / nullif(t + n * g, 0) AS p FROM k JOIN a USING (run))
+SELECT run, ind, CAST(rank AS BIGINT) AS rank, round(p, 6) AS p, round(sum(p) OVER (PARTITION BY run ORDER BY rank RANGE UNBOUNDED PRECEDING), 6) AS cumulated FROM p""")
+def roulette(spark, sf):
+    return _r(runs.roulette(scores(spark, sf)), "p", "cumulated").select("run", "ind", F.col("rank").cast("bigint").alias("rank"), "p", "cumulated")
+
+
+@_query(f"WITH {_S} SELECT run, round(avg(score), 6) AS top_mean FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, ind) AS r FROM s) WHERE r <= 10 GROUP BY 1")
+def top10_mean(spark, sf):
+    return _r(runs.top_mean(scores(spark, sf)), "top_mean")
+
+
+@_query(f"WITH {_S} SELECT run, ind, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, ind) AS r FROM s) WHERE r = 1")
+def winners(spark, sf):
+    return _r(runs.winner(scores(spark, sf)), "score")
+
+
+@_query(f"WITH {_O} SELECT kmer_id, CAST(sum(nview) AS BIGINT) AS nview, round(sum(score_cum), 2) AS score_cum FROM q GROUP BY 1")
+def kmer_occurrences(spark, sf):
+    return _r(runs.occurrences(individuals(spark, sf)), "score_cum", digits=2)
+
+
+@_query(f"WITH {_O}, g AS (SELECT kmer_id, sum(nview) AS nview FROM q GROUP BY 1) SELECT kmer_id, CAST(nview AS BIGINT) AS nview FROM g WHERE nview > 2 * (SELECT avg(nview) FROM g)")
+def mean_cut(spark, sf):
+    return runs.mean_cut(runs.occurrences(individuals(spark, sf))).select("kmer_id", "nview")
+
+
+@_query(f"""WITH {_O}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY nview DESC, kmer_id) AS r FROM q),
+h AS (SELECT run, kmer_id, 100.0 * nview / sum(nview) OVER (PARTITION BY run) AS share FROM r WHERE r <= 200)
+SELECT kmer_id, round(sum(share) / (SELECT count(DISTINCT run) FROM q), 6) AS view, count(*) AS viewinfold FROM h GROUP BY 1""")
+def merged_runs(spark, sf):
+    return _r(runs.merge_runs(run_occurrences(spark, sf), 200), "view")
+
+
+@_query(f"""WITH {_O}, n AS (SELECT run, count(*) AS n FROM q GROUP BY 1)
+SELECT a.run AS run1, b.run AS run2, count(*) AS shared, round(count(*) / least(any_value(x.n), any_value(y.n)), 6) AS ratio
+FROM q a JOIN q b ON a.kmer_id = b.kmer_id AND a.run < b.run JOIN n x ON x.run = a.run JOIN n y ON y.run = b.run GROUP BY 1, 2""")
+def run_overlap(spark, sf):
+    return _r(runs.run_overlap(run_occurrences(spark, sf)), "ratio")
+
+
+@_query(f"""WITH {_I} SELECT individual, round(max(score), 2) AS score, count(*) AS nbview FROM (SELECT array_to_string(list_sort(list_transform(kmers, lambda x: CAST(x AS VARCHAR))), ',') AS individual, score FROM i) GROUP BY 1 ORDER BY max(score) DESC, 1 LIMIT 50""")
+def top_individuals(spark, sf):
+    return _r(runs.top_distinct(individuals(spark, sf), 50), "score", digits=2)
+
+
+@_query(f"WITH {_I}, f AS (SELECT kmer_id, min(iter) AS first FROM (SELECT iter, unnest(kmers) AS kmer_id FROM i) GROUP BY 1) SELECT CAST(floor(first / 500) AS BIGINT) AS bin, count(*) AS new_kmers FROM f GROUP BY 1")
+def first_seen(spark, sf):
+    return runs.first_seen(individuals(spark, sf), 500)
+
+
+_NET = _I + ", e AS (SELECT id1, id2, max(score) AS w_max, avg(score) AS w_avg, sum(score) AS w_sum FROM (SELECT score, id1, unnest(kmers) AS id2 FROM (SELECT score, unnest(kmers) AS id1, kmers FROM i)) WHERE id1 < id2 GROUP BY 1, 2)"
+
+
+@_query(f"WITH {_NET} SELECT id1, id2, round(w_max, 2) AS w_max, round(w_avg, 4) AS w_avg, round(w_sum, 2) AS w_sum FROM e")
+def kmer_network(spark, sf):
+    return _r(_r(runs.network(individuals(spark, sf)), "w_max", "w_sum", digits=2), "w_avg", digits=4)
+
+
+@_query(f"WITH {_NET} SELECT kmer_id, round(sum(w_sum), 2) AS strength FROM (SELECT id1 AS kmer_id, w_sum FROM e UNION ALL SELECT id2, w_sum FROM e) GROUP BY 1")
+def node_strength(spark, sf):
+    return _r(runs.strength(runs.network(individuals(spark, sf))), "strength", digits=2)
+
+
+@_query("""SELECT vec_id, round(n, 4) AS norm, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) / nullif(n, 0) * 1.0)), 4) AS total
+FROM (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)""")
+def l2_normalise(spark, sf):
+    e = _t(spark, sf, "embeddings").withColumn("n", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))))
+    unit = e.withColumn("u", F.transform("embedding", lambda x: F.try_divide(x.cast("double"), F.col("n"))))
+    return _r(unit.select("vec_id", F.col("n").alias("norm"), F.aggregate("u", F.lit(0.0), lambda s, x: s + x).alias("total")), "norm", "total", digits=4)
+
+
+@_query()
+def feature_search(spark, sf):
+    """A short seeded search over the dense matrix: the history of its generations."""
+    m = long_matrix(spark, sf)
+    return search.run(spark, matrix.dense(m, 25), _groups(spark, sf), search.Config(individuals=40, generations=4, kmers=5, outer_rate=0.2, seed=1))
