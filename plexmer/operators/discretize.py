@@ -77,11 +77,16 @@ METHODS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"ameva": l
 
 
 def discretise(matrix: DataFrame, groups: list[str], method: str = "ameva") -> DataFrame:
-    """(kmer_id, vals) -> (kmer_id, states); `groups` has each sample's group.  Rows are independent: no shuffle."""
+    """(kmer_id, vals) -> (kmer_id, states); `groups` has each sample's group.
+
+    Rows are independent.  The kernel costs milliseconds a row, so rows are dealt over
+    all shuffle partitions first (adaptive execution would merge so few bytes into one task).
+    """
     y, kernel = np.unique(groups, return_inverse=True)[1], METHODS[method]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"kmer_id": frame["kmer_id"], "states": [kernel(np.asarray(v, float), y).tolist() for v in frame["vals"]]})
 
-    return matrix.select("kmer_id", "vals").mapInPandas(run, "kmer_id bigint, states array<int>")
+    width = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return matrix.select("kmer_id", "vals").repartition(width, "kmer_id").mapInPandas(run, "kmer_id bigint, states array<int>")

@@ -35,8 +35,14 @@ def long_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy(F.col("l_partkey").alias("kmer_id"), F.col("c_nationkey").alias("ord")).agg(F.sum("l_quantity").alias("val"))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Deal rows over all cores where the files have fewer pieces than there are cores; large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(4 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select(F.col("source").alias("sample"), K.fold_text(F.col("text")).alias("seq"))
+    return _spread(_t(spark, sf, "documents").select("source", "text")).select(F.col("source").alias("sample"), K.fold_text(F.col("text")).alias("seq"))
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
