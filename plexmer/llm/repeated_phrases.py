@@ -114,10 +114,16 @@ def _stretches(window: int, gram: int):
             for cid, text, wanted, words in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), _word_hashes(batch.column("text")), strict=True):
                 at, grams = anchors(words, window, gram)
                 pieces = text.encode().split()
-                for place in wanted:
-                    low, high = np.searchsorted(at, place), np.searchsorted(at, place, "right")
+                i = 0
+                while i < len(wanted):
+                    # neighbouring anchors of one gram (a text that repeats a word) share a stretch
+                    j = i
+                    while j + 1 < len(wanted) and wanted[j + 1] == wanted[j] + 1 and grams[wanted[j + 1]] == grams[wanted[i]]:
+                        j += 1
+                    low, high = np.searchsorted(at, wanted[i]), np.searchsorted(at, wanted[j], "right")
                     if high > low:
-                        out.append((int(grams[place].view(np.int64)), cid, int(low), b" ".join(pieces[low : high - 1 + window]).decode()))
+                        out.append((int(grams[wanted[i]].view(np.int64)), cid, int(low), b" ".join(pieces[low : high - 1 + window]).decode()))
+                    i = j + 1
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
