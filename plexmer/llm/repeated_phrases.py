@@ -78,6 +78,9 @@ def _scan(window: int, gram: int):
                 at, hashes = anchors(words, window, gram)
                 at = at[np.flatnonzero(np.diff(at, prepend=-1))]
                 sizes.append(len(words))
+                # of neighbouring anchors with one gram two tell that it recurs; the others are found again from them
+                again = np.concatenate(([False], (np.diff(at) == 1) & (hashes[at[1:]] == hashes[at[:-1]]))) if len(at) else np.zeros(0, bool)
+                at = at[~(again & np.concatenate(([False], again[:-1])))]
                 grams.append(hashes[at].view(np.int64))
                 places.append(at.astype(np.int32))
             keys = [hashlib.sha256(joined(t)).digest() for t in batch.column("text").to_pylist()]
@@ -114,16 +117,19 @@ def _stretches(window: int, gram: int):
             for cid, text, wanted, words in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), _word_hashes(batch.column("text")), strict=True):
                 at, grams = anchors(words, window, gram)
                 pieces = text.encode().split()
-                i = 0
-                while i < len(wanted):
+                chosen = np.zeros(len(grams) + 1, bool)
+                chosen[at] = True
+                done = -1
+                for place in wanted:
+                    if place <= done:
+                        continue
                     # neighbouring anchors of one gram (a text that repeats a word) share a stretch
-                    j = i
-                    while j + 1 < len(wanted) and wanted[j + 1] == wanted[j] + 1 and grams[wanted[j + 1]] == grams[wanted[i]]:
-                        j += 1
-                    low, high = np.searchsorted(at, wanted[i]), np.searchsorted(at, wanted[j], "right")
+                    done = place
+                    while chosen[done + 1] and grams[done + 1] == grams[place]:
+                        done += 1
+                    low, high = np.searchsorted(at, place), np.searchsorted(at, done, "right")
                     if high > low:
-                        out.append((int(grams[wanted[i]].view(np.int64)), cid, int(low), b" ".join(pieces[low : high - 1 + window]).decode()))
-                    i = j + 1
+                        out.append((int(grams[place].view(np.int64)), cid, int(low), b" ".join(pieces[low : high - 1 + window]).decode()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
