@@ -5,12 +5,17 @@ their targets share all words by weight, stop at `MOST` times the source's size,
 the excess is shared anew by weight until none is above.  Each document of a source
 is due ``target / source size`` copies; the whole part is certain, and the
 fractional parts are rounded by the pivotal method: two documents meet, one passes
-mass to the other at random until one of them is integral, and the rest goes on.
-Documents meet in blocks of about the same size, by rising size, so that words as well
-as copies come near the target; each block leaves one residual, and residuals meet in blocks again
-until one is left for each source (a reduction tree of fan-in `FAN_IN`).
+words to the other at random until one of them is all in or all out, and the rest goes
+on.  A meeting keeps the sum of words due, and on average what each document is due.
 
-Everything is exact in 2**-30 units, and randomness is a hash of ids and a seed, so
+1. The fewer than `HEAD` documents of a source with more than a `HEAD`-th of its words
+   meet, largest first, all smaller ones as one body, whose due changes evenly.
+2. The others meet in blocks of about the same size, by rising size, so that copies too
+   come near the target; each block leaves one residual, and residuals meet in blocks
+   again until one is left for each source (a reduction tree of fan-in `FAN_IN`).
+
+So the words of a source miss its target by about one of its small documents.
+Randomness is a hash of ids and a seed, and the order of meetings is fixed, so
 reruns agree, whatever the partitioning.
 
 Defined cases: null text has size 0 (and is never counted as words, though it takes
@@ -30,6 +35,7 @@ from ._common import SPACE, materialise
 
 MOST = 3
 FAN_IN = 128
+HEAD = 256
 UNIT = 1 << 30
 
 
@@ -57,32 +63,40 @@ def targets(sizes: list[int], most: float = MOST) -> list[float]:
     return goal
 
 
-#: aggregate() over items (p, h, row): `held` keeps a fraction, `out` gets the rows that became integral.
-_PIVOT = """
+#: aggregate() over items (m, c, h, row), m of c due, in 2**-30 words: `held` keeps a fraction, `out` gets the rows that became integral.
+_ROW = "STRUCT<doc_id: BIGINT, size: BIGINT>"
+_ITEM = f"STRUCT<m: BIGINT, c: BIGINT, h: BIGINT, row: {_ROW}>"
+_TO_HELD, _TO_NEXT = "least(s.held.c - s.held.m, x.m)", "least(s.held.m, x.c - x.m)"
+_PIVOT = f"""
 aggregate(items,
-  CAST(named_struct('held', null, 'out', array()) AS STRUCT<held: {item}, out: ARRAY<STRUCT<one: INT, row: {row}>>>),
+  CAST(named_struct('held', null, 'out', array()) AS STRUCT<held: {_ITEM}, out: ARRAY<STRUCT<one: INT, row: {_ROW}>>>),
   (s, x) -> CASE
-    WHEN x.p = 0 THEN named_struct('held', s.held, 'out', array_append(s.out, named_struct('one', 0, 'row', x.row)))
+    WHEN x.m = 0 THEN named_struct('held', s.held, 'out', array_append(s.out, named_struct('one', 0, 'row', x.row)))
     WHEN s.held IS NULL THEN named_struct('held', x, 'out', s.out)
-    WHEN s.held.p + x.p < {unit} THEN
-      IF((x.h % (s.held.p + x.p)) < s.held.p,
-        named_struct('held', named_struct('p', s.held.p + x.p, 'h', s.held.h, 'row', s.held.row), 'out', array_append(s.out, named_struct('one', 0, 'row', x.row))),
-        named_struct('held', named_struct('p', s.held.p + x.p, 'h', x.h, 'row', x.row), 'out', array_append(s.out, named_struct('one', 0, 'row', s.held.row))))
-    WHEN s.held.p + x.p = {unit} THEN
-      named_struct('held', CAST(null AS {item}), 'out', concat(s.out, array(
-        named_struct('one', IF((x.h % {unit}) < s.held.p, 1, 0), 'row', s.held.row), named_struct('one', IF((x.h % {unit}) < s.held.p, 0, 1), 'row', x.row))))
-    ELSE
-      IF((x.h % (2 * {unit} - s.held.p - x.p)) < {unit} - x.p,
-        named_struct('held', named_struct('p', s.held.p + x.p - {unit}, 'h', x.h, 'row', x.row), 'out', array_append(s.out, named_struct('one', 1, 'row', s.held.row))),
-        named_struct('held', named_struct('p', s.held.p + x.p - {unit}, 'h', s.held.h, 'row', s.held.row), 'out', array_append(s.out, named_struct('one', 1, 'row', x.row))))
+    ELSE element_at(transform(
+      array(IF(x.h % ({_TO_HELD} + {_TO_NEXT}) < {_TO_NEXT}, {_TO_HELD}, -{_TO_NEXT})),
+      d -> named_struct(
+        'held', CASE
+          WHEN s.held.m + d NOT IN (0, s.held.c) THEN named_struct('m', s.held.m + d, 'c', s.held.c, 'h', s.held.h, 'row', s.held.row)
+          WHEN x.m - d NOT IN (0, x.c) THEN named_struct('m', x.m - d, 'c', x.c, 'h', x.h, 'row', x.row) END,
+        'out', concat(s.out,
+          filter(array(named_struct('one', CASE s.held.m + d WHEN 0 THEN 0 WHEN s.held.c THEN 1 END, 'row', s.held.row),
+                       named_struct('one', CASE x.m - d WHEN 0 THEN 0 WHEN x.c THEN 1 END, 'row', x.row)), o -> o.one IS NOT NULL)))), 1)
   END)
 """
-_ROW = "STRUCT<doc_id: BIGINT, size: BIGINT>"
-_ITEM = f"STRUCT<p: BIGINT, h: BIGINT, row: {_ROW}>"
+#: Copies due, in 2**-30, by what is left of the target and of the words.
+_DUE = f"coalesce(CAST(least({{most}} * {UNIT}D, greatest(0D, round(try_divide(s.left, s.words) * {UNIT}))) AS BIGINT), 0L)"
+#: aggregate() over the large documents: each is settled, and the target of the rest takes up the difference.
+_LARGE = f"""
+aggregate(items,
+  CAST(named_struct('left', target, 'words', source_size, 'out', array()) AS STRUCT<left: DOUBLE, words: DOUBLE, out: ARRAY<STRUCT<copies: BIGINT, row: {_ROW}>>>),
+  (s, x) -> element_at(transform(array({_DUE}), due -> element_at(transform(array(due DIV {UNIT}L + IF(x.h % {UNIT}L < due % {UNIT}L, 1L, 0L)),
+    n -> named_struct('left', s.left - n * CAST(x.row.size AS DOUBLE), 'words', s.words - CAST(x.row.size AS DOUBLE), 'out', array_append(s.out, named_struct('copies', n, 'row', x.row)))), 1)), 1))
+"""
 
 
 def _source_table(rows: DataFrame, most: float) -> DataFrame:
-    """One row a source: its size, target, certain copies (whole) and fractional part.
+    """One row a source: its size and target.
 
     One row for each source, not for each document, goes through the driver.
     """
@@ -91,10 +105,9 @@ def _source_table(rows: DataFrame, most: float) -> DataFrame:
     goal = targets([r["source_size"] for r in found], most)
     table = []
     for r, t in zip(found, goal, strict=True):
-        due = round(t / r["source_size"] * UNIT) if r["source_size"] else 0
-        cells = (("source", r["source"], "string"), ("source_size", r["source_size"], "bigint"), ("target", t, "double"), ("whole", due // UNIT, "bigint"), ("part", due % UNIT, "bigint"))
+        cells = (("source", r["source"], "string"), ("source_size", r["source_size"], "bigint"), ("target", t, "double"))
         table.append(F.struct(*(F.lit(v).cast(kind).alias(name) for name, v, kind in cells)))
-    empty = "CAST(array() AS ARRAY<STRUCT<source: STRING, source_size: BIGINT, target: DOUBLE, whole: BIGINT, part: BIGINT>>)"
+    empty = "CAST(array() AS ARRAY<STRUCT<source: STRING, source_size: BIGINT, target: DOUBLE>>)"
     return rows.sparkSession.range(1).select(F.inline(F.array(*table) if table else F.expr(empty)))
 
 
@@ -103,38 +116,47 @@ def mix(docs: DataFrame, most: float = MOST, seed: int = 0) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
     rows = materialise(rows, "sizes")
     sources = materialise(_source_table(rows, most), "sources")
+    named = sources.withColumnRenamed("source", "s")
+    same = F.col("source").eqNullSafe(F.col("s"))
+    hashed = F.expr(f"shiftrightunsigned(xxhash64(doc_id, size, {seed + 1}L), 1)")
+    is_large = F.col("size").cast("double") * HEAD > F.col("source_size")
+    large = rows.join(named, same).where(is_large).select("s", F.struct((-F.col("size")).alias("by"), F.col("doc_id"), hashed.alias("h"), F.struct("doc_id", "size").alias("row")).alias("item"))
+    # fewer than HEAD rows a source
+    large = large.groupBy(F.col("s").alias("large")).agg(F.array_sort(F.collect_list("item")).alias("items"))
+    settled = named.join(large, F.col("s").eqNullSafe(F.col("large")), "left").withColumn("items", F.expr(f"coalesce(transform(items, x -> named_struct('h', x.h, 'row', x.row)), CAST(array() AS ARRAY<STRUCT<h: BIGINT, row: {_ROW}>>))"))
+    settled = settled.select("s", "source_size", "target", F.expr(_LARGE.format(most=most)).alias("r"))
+    settled = settled.withColumn("due", F.expr(_DUE.replace("s.", "r.").format(most=most)))
+    settled = materialise(settled.select("s", "source_size", "target", F.expr(f"due DIV {UNIT}L").alias("whole"), F.expr(f"due % {UNIT}L").alias("part"), "r.out"), "large")
+    named = settled.drop("out")
+
     # size classes a twelfth of a doubling wide, numbered in order; each has blocks of about FAN_IN documents
-    klass = F.floor(F.log2(F.col("size") + 1) * 12).cast("int")
-    classes = rows.groupBy("source", klass.alias("klass")).agg(F.ceil(F.count("*") / FAN_IN).alias("blocks"))
-    classes = classes.withColumn("from", F.sum("blocks").over(Window.partitionBy("source").orderBy("klass")) - F.col("blocks"))
-    classes = materialise(classes.select(F.col("source").alias("c"), "klass", "blocks", "from"), "classes")
+    small = rows.join(named, same).where(~is_large).withColumn("k", F.floor(F.log2(F.col("size") + 1) * 12).cast("int"))
+    classes = small.groupBy(F.col("source").alias("c"), F.col("k").alias("klass")).agg(F.ceil(F.count("*") / FAN_IN).alias("blocks"))
+    classes = materialise(classes.withColumn("from", F.sum("blocks").over(Window.partitionBy("c").orderBy("klass")) - F.col("blocks")), "classes")
     most_blocks = classes.groupBy("c").agg(F.sum("blocks").alias("n")).agg(F.max("n")).first()[0] or 1
     levels = math.ceil(math.log(most_blocks, FAN_IN) - 1e-9)
 
-    named = sources.withColumnRenamed("source", "s")
-    same = F.col("source").eqNullSafe(F.col("s"))
-    placed = rows.withColumn("k", klass).join(classes, F.col("source").eqNullSafe(F.col("c")) & (F.col("k") == F.col("klass")))
-    items = placed.join(named, same).select(
-        "source", F.col("part").alias("p"), F.struct("doc_id", "size").alias("row"),
-        F.expr(f"`from` + pmod(xxhash64(doc_id, size, {seed}L), blocks)").alias("block"), F.expr(f"shiftrightunsigned(xxhash64(doc_id, size, {seed + 1}L), 1)").alias("h"),
+    items = small.join(classes, F.col("source").eqNullSafe(F.col("c")) & (F.col("k") == F.col("klass"))).select(
+        "source", (F.col("part") * F.col("size")).alias("m"), (F.lit(UNIT).cast("bigint") * F.col("size")).alias("c"), F.struct("doc_id", "size").alias("row"),
+        F.expr(f"`from` + pmod(xxhash64(doc_id, size, {seed}L), blocks)").alias("block"), hashed.alias("h"),
     )
     done = None
     for level in range(levels + 1):
         if level:
             # the residuals of FAN_IN neighbouring blocks meet
-            items = residual.select("source", "p", "row", F.expr(f"block DIV {FAN_IN}").alias("block"), F.expr(f"shiftrightunsigned(xxhash64(row.doc_id, row.size, h, {level}L), 1)").alias("h"))
-        group = items.groupBy("source", "block").agg(F.expr("array_sort(collect_list(named_struct('size', row.size, 'doc_id', row.doc_id, 'p', p, 'h', h, 'row', row)))").alias("items"))
-        group = group.withColumn("items", F.expr("transform(items, x -> named_struct('p', x.p, 'h', x.h, 'row', x.row))")).withColumn("r", F.expr(_PIVOT.format(item=_ITEM, row=_ROW, unit=f"{UNIT}L")))
+            items = residual.select("source", "m", "c", "row", F.expr(f"block DIV {FAN_IN}").alias("block"), F.expr(f"shiftrightunsigned(xxhash64(row.doc_id, row.size, h, {level}L), 1)").alias("h"))
+        group = items.groupBy("source", "block").agg(F.expr("array_sort(collect_list(named_struct('size', row.size, 'doc_id', row.doc_id, 'm', m, 'c', c, 'h', h, 'row', row)))").alias("items"))
+        group = group.withColumn("items", F.expr("transform(items, x -> named_struct('m', x.m, 'c', x.c, 'h', x.h, 'row', x.row))")).withColumn("r", F.expr(_PIVOT))
         group = materialise(group.select("source", "block", "r"), f"level{level}")
         out = group.select("source", F.inline("r.out"))
         done = out if done is None else done.unionByName(out)
-        residual = group.where("r.held IS NOT NULL").select("source", "block", "r.held.p", "r.held.h", "r.held.row")
+        residual = group.where("r.held IS NOT NULL").select("source", "block", "r.held.m", "r.held.c", "r.held.h", "r.held.row")
     # one residual at most is left for each source
-    last = residual.select("source", F.expr(f"IF(h % {UNIT}L < p, 1, 0)").alias("one"), "row")
+    last = residual.select("source", F.expr("IF(h % c < m, 1, 0)").alias("one"), "row")
     done = done.unionByName(last)
-    joined = done.join(named, same)
-    copies = F.col("whole") + F.col("one")
-    return joined.select("row.doc_id", "source", "row.size", "source_size", "target", copies.alias("copies"), (copies * F.col("row.size")).alias("taken"))
+    counted = done.join(named, same).select("source", "source_size", "target", "row", (F.col("whole") + F.col("one")).alias("copies"))
+    counted = counted.unionByName(settled.select(F.col("s").alias("source"), "source_size", "target", F.inline("out")).select("source", "source_size", "target", "row", "copies"))
+    return counted.select("row.doc_id", "source", "row.size", "source_size", "target", "copies", (F.col("copies") * F.col("row.size")).alias("taken"))
 
 
 def apply_mix(docs: DataFrame, most: float = MOST, seed: int = 0) -> DataFrame:
