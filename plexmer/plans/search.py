@@ -8,8 +8,10 @@ Spark job.  Fitness is held-out accuracy of a one-vs-rest linear classifier
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,18 @@ class Config:
     kmers: int = 5
     elite: int = 1
     kill_ratio: float = 0.5
-    mutation_rate: float = 0.25
-    translocation_rate: float = 0.8
+    algorithm: str = "GA"
+    #: Rates below, at and above the mean score; GA and AGA use the first.
+    mutation: tuple[float, float, float] = (0.25, 0.05, 0.0)
+    translocation: tuple[float, float, float] = (0.8, 0.5, 0.1)
+    #: (highest, lowest, lambda) of the logistic schedule, for mutation and translocation.
+    logistic_mutation: tuple[float, float, float] = (0.25, 0.05, 1.0)
+    logistic_translocation: tuple[float, float, float] = (0.8, 0.5, 1.0)
+    #: Draws of a mate's tournament; 0 takes any individual.
+    tournament: int = 0
+    one_gene_mutation: bool = False
+    #: Every so many generations the elite but its best is redrawn; 0 never.
+    kill_elite_every: int = 0
     outer_rate: float = 0.17
     test_rate: float = 0.3
     rotations: int = 2
@@ -112,14 +124,55 @@ def rank(scores: np.ndarray) -> np.ndarray:
     return len(scores) - np.searchsorted(np.sort(scores), scores, "left")
 
 
-def run(spark: SparkSession, matrix: DataFrame, groups: list[str], config: Config) -> DataFrame:
-    """Search (kmer_id, vals); a row a generation: best score, outer score, mean of the ten best, best individual."""
+def rate(algorithm: str, score: float, scores: np.ndarray, rates: tuple[float, float, float], logistic: tuple[float, float, float]) -> float:
+    """Probability that an individual of this score is changed.
+
+    GA: constant.  AGA: falls in a line from the mean score to 0 at the best one.  IAGA: falls from the first rate at the
+    worst over the second at the mean to the third at the best.  IAGA_Ravindran: logistic above the mean.
+    Where all scores on a side are equal, the rate at the mean holds.
+    """
+    low, mean, high = float(scores.min()), float(scores.mean()), float(scores.max())
+    share = lambda x, span: x / span if span > 0 else 0.0
+    if algorithm == "GA":
+        return rates[0]
+    if algorithm == "AGA":
+        return rates[0] if score < mean else rates[0] * (1 - share(score - mean, high - mean))
+    if algorithm == "IAGA":
+        if score < mean:
+            t = share(score - low, mean - low)
+            return rates[0] + t * (rates[1] - rates[0])
+        return rates[1] + share(score - mean, high - mean) * (rates[2] - rates[1])
+    if algorithm == "IAGA_Ravindran":
+        most, least, slope = logistic
+        return most if score < mean else least / (1 + math.exp(slope * share(score - mean, high - mean)))
+    raise ValueError(f"no such algorithm: {algorithm}")
+
+
+def mate(scores: np.ndarray, draws: int, rng: np.random.Generator) -> int:
+    """Best of `draws` random individuals; with 0 any one."""
+    drawn = rng.integers(len(scores), size=max(1, draws))
+    return int(drawn[np.argmax(scores[drawn])])
+
+
+def grid(**choices: list) -> list[Config]:
+    """One Config for each combination of the listed values."""
+    return [replace(Config(), **dict(zip(choices, values))) for values in itertools.product(*choices.values())]
+
+
+def run(spark: SparkSession, matrix: DataFrame, groups: list[str], config: Config, population: list[tuple[int, ...]] | None = None, outer: np.ndarray | None = None, keep: list[int] | None = None) -> DataFrame:
+    """Search (kmer_id, vals); a row a generation: best score, outer score, mean of the ten best, best individual.
+
+    `population` and `outer` restart a search, `keep` restricts it to the listed k-mers.
+    """
     rng, y = np.random.default_rng(config.seed), np.unique(groups, return_inverse=True)[1]
+    if keep is not None:
+        matrix = matrix.join(F.broadcast(spark.createDataFrame([(int(k),) for k in keep], "kmer_id bigint").distinct()), "kmer_id", "left_semi")  # a list the caller holds
     ids = np.array([r["kmer_id"] for r in matrix.select("kmer_id").orderBy("kmer_id").collect()])
     matrix = matrix.persist()
     draw = lambda: tuple(rng.choice(ids, config.kmers, replace=False).tolist())
-    population = [draw() for _ in range(config.individuals)]
-    outer = outer_holdout(y, config.outer_rate, rng)
+    population = [tuple(p) for p in population or ()][: config.individuals]
+    population += [draw() for _ in range(config.individuals - len(population))]
+    outer = outer_holdout(y, config.outer_rate, rng) if outer is None else np.asarray(outer)
     block: dict[int, np.ndarray] = {}
     history = []
     for generation in range(config.generations):
@@ -146,15 +199,21 @@ def run(spark: SparkSession, matrix: DataFrame, groups: list[str], config: Confi
             if ranks[i] <= config.elite:
                 continue
             genes = list(population[i])
-            if rng.random() < config.mutation_rate:
+            if rng.random() < rate(config.algorithm, scores[i], scores, config.mutation, config.logistic_mutation):
+                if config.one_gene_mutation:
+                    genes[rng.integers(len(genes))] = int(rng.choice(ids))
                 while tuple(sorted(genes)) in known or len(set(genes)) < len(genes):
                     genes[rng.integers(len(genes))] = int(rng.choice(ids))
-            elif rng.random() < config.translocation_rate:
-                other, size = population[rng.integers(len(population))], int(rng.integers(len(genes)))
+            elif rng.random() < rate(config.algorithm, scores[i], scores, config.translocation, config.logistic_translocation):
+                other, size = population[mate(scores, config.tournament, rng)], int(rng.integers(len(genes)))
                 a, b = rng.integers(len(genes) - size + 1), rng.integers(len(genes) - size + 1)
                 mixed = genes[:a] + list(other[b : b + size]) + genes[a + size :]
                 genes = mixed if len(set(mixed)) == len(mixed) and tuple(sorted(mixed)) not in known else genes
             population[i] = tuple(genes)
             known.add(tuple(sorted(genes)))
+        if config.kill_elite_every and (generation + 1) % config.kill_elite_every == 0:
+            for i in np.flatnonzero(ranks < config.elite):
+                if i != best:
+                    population[i] = draw()
     matrix.unpersist()
     return spark.createDataFrame(history, "generation int, best double, outer_score double, top10 double, kmers array<bigint>")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kmers as K
-from .operators import discretize, matrix, redundancy, runs, stats
+from .operators import cuts, discretize, evaluation, history, matrix, redundancy, runs, stats
 from .plans import search
 
 K_DNA = 6
@@ -260,6 +260,169 @@ def l2_normalise(spark, sf):
     return _r(unit.select("vec_id", F.col("n").alias("norm"), F.aggregate("u", F.lit(0.0), lambda s, x: s + x).alias("total")), "norm", "total", digits=4)
 
 
+_Q = _O + ", g AS (SELECT kmer_id, CAST(sum(nview) AS BIGINT) AS nview FROM q GROUP BY 1)"
+
+
+@_query(f"WITH {_I} SELECT kmer_id, count(*) AS nview FROM (SELECT unnest(kmers) AS kmer_id FROM i WHERE iter <= 5000) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
+def bounded_histogram(spark, sf):
+    return history.bounded_histogram(individuals(spark, sf), 5000, 100)
+
+
+@_query(f"""WITH {_I}, e AS (SELECT iter, unnest(kmers) AS kmer_id FROM i), z AS (SELECT max(iter) AS z FROM i),
+f AS (SELECT kmer_id FROM e GROUP BY 1 ORDER BY count(*) DESC, kmer_id LIMIT 100),
+b AS (SELECT unnest(range(1, CAST(floor(z / 1000) AS BIGINT) + 1)) * 1000 AS bound FROM z),
+c AS (SELECT bound, kmer_id, row_number() OVER (PARTITION BY bound ORDER BY count(*) DESC, kmer_id) AS r FROM b JOIN e ON iter <= bound GROUP BY 1, 2)
+SELECT bound AS iter, (SELECT count(*) FROM f) - count(f.kmer_id) AS distance FROM b LEFT JOIN c USING (bound) LEFT JOIN f ON f.kmer_id = c.kmer_id AND r <= 100 GROUP BY 1""")
+def head_distances(spark, sf):
+    return history.head_distances(individuals(spark, sf), 1000, 100)
+
+
+@_query(f"WITH {_I} SELECT CAST(floor(iter / 500) AS BIGINT) AS bin, round(max(score), 2) AS score FROM i WHERE score >= 1000 GROUP BY 1")
+def bin_maxima(spark, sf):
+    return _r(history.bin_maxima(individuals(spark, sf), 500, 1000), "score", digits=2)
+
+
+@_query(f"""WITH {_I}, e AS (SELECT run, iter, unnest(kmers) AS kmer_id, unnest(range(len(kmers))) AS pos FROM i), f AS (SELECT run, kmer_id, min(iter * 1000 + pos) AS first FROM e GROUP BY 1, 2)
+SELECT run, kmer_id, CAST(dense_rank() OVER (PARTITION BY run ORDER BY first) AS INT) AS appearance FROM f""")
+def appearance(spark, sf):
+    return history.appearance(individuals(spark, sf))
+
+
+@_query(f"WITH {_I} SELECT run, iter, round(score, 2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY iter DESC) - 1 AS b FROM i) WHERE b % 100 = 0")
+def strided_history(spark, sf):
+    return _r(history.strided(individuals(spark, sf), 100), "score", digits=2).select("run", "iter", "score")
+
+
+@_query(f"""WITH {_I}, t AS (SELECT run, iter, kmers, unnest(kmers) AS kmer_id FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score DESC, iter) AS r FROM i) WHERE r <= 200)
+SELECT a.run, a.iter AS iter1, b.iter AS iter2, round(count(*) / greatest(len(a.kmers), len(b.kmers)), 6) AS similarity FROM t a JOIN t b ON a.run = b.run AND a.kmer_id = b.kmer_id AND a.iter < b.iter GROUP BY a.run, a.iter, b.iter, a.kmers, b.kmers""")
+def similar_individuals(spark, sf):
+    return _r(history.similar_individuals(history.best_individuals(individuals(spark, sf), 200)), "similarity")
+
+
+@_query(f"""WITH {_O}, r AS (SELECT run, kmer_id, row_number() OVER (PARTITION BY run ORDER BY nview DESC, kmer_id) AS r FROM q QUALIFY r <= 300),
+p AS (SELECT x.run AS run1, y.run AS run2, x.r AS r1, y.r AS r2 FROM r x JOIN r y ON x.kmer_id = y.kmer_id AND x.run < y.run),
+d AS (SELECT a.run1, a.run2, count(*) AS n FROM p a JOIN p b ON a.run1 = b.run1 AND a.run2 = b.run2 AND a.r1 < b.r1 AND a.r2 > b.r2 GROUP BY 1, 2)
+SELECT run1, run2, CAST(count(*) AS INT) AS shared, CAST(coalesce(any_value(n), 0) AS INT) AS discordant FROM p LEFT JOIN d USING (run1, run2) GROUP BY 1, 2""")
+def kendall_distance(spark, sf):
+    return history.kendall(run_occurrences(spark, sf), 300)
+
+
+@_query("SELECT l_linenumber AS gen, round(corr(l_quantity, l_extendedprice), 6) AS corr, round(avg(l_quantity - l_extendedprice), 4) AS difference FROM lineitem GROUP BY 1")
+def score_correlations(spark, sf):
+    lines = _t(spark, sf, "lineitem").withColumnRenamed("l_linenumber", "gen")
+    return _r(_r(history.correlations(lines, "gen", "l_quantity", "l_extendedprice"), "corr"), "difference", digits=4)
+
+
+@_query(f"WITH {_O}, a AS (SELECT DISTINCT kmer_id FROM q WHERE run = '1-URGENT'), b AS (SELECT DISTINCT kmer_id FROM q WHERE run = '5-LOW') SELECT (SELECT count(*) FROM a) AS size_a, (SELECT count(*) FROM a SEMI JOIN b USING (kmer_id)) AS both, (SELECT count(*) FROM b) AS size_b")
+def list_overlap(spark, sf):
+    occ = run_occurrences(spark, sf)
+    return history.list_overlap(occ.where("run = '1-URGENT'"), occ.where("run = '5-LOW'"))
+
+
+@_query(f"WITH {_O} SELECT run, round(avg(nview), 6) AS mean, max(nview) AS most, round(stddev_pop(nview), 6) AS deviation FROM q GROUP BY 1")
+def view_profile(spark, sf):
+    return _r(cuts.view_profile(run_occurrences(spark, sf)), "mean", "deviation")
+
+
+@_query(f"WITH {_Q}, z AS (SELECT min(nview) AS l, max(nview) AS h FROM g) SELECT CAST(least(20, floor((nview - l) * 20 / coalesce(nullif(h - l, 0), 1)) + 1) AS INT) AS bin, count(*) AS n FROM g, z GROUP BY 1")
+def view_bins(spark, sf):
+    return cuts.view_bins(runs.occurrences(individuals(spark, sf)))
+
+
+@_query(f"""WITH {_M}, f AS (SELECT n_nationkey AS ord FROM nation WHERE n_regionkey = (SELECT n_regionkey FROM nation GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) ORDER BY 1 LIMIT 6),
+c AS (SELECT * FROM m SEMI JOIN f USING (ord) WHERE val <> 0), k AS (SELECT kmer_id FROM c GROUP BY 1 HAVING (SELECT count(*) FROM f) - count(*) >= (SELECT count(*) - floor(count(*) / 3) FROM f)),
+h AS (SELECT val, count(*) AS n FROM c SEMI JOIN k USING (kmer_id) GROUP BY 1) SELECT coalesce(max(val) FILTER (n >= 0.02 * (SELECT sum(n) FROM h)), -1.0) AS threshold FROM h""")
+def noise_threshold(spark, sf):
+    return spark.createDataFrame([(cuts.noise_threshold(long_matrix(spark, sf), samples(spark, sf)),)], "threshold double")
+
+
+@_query()
+def winner_cut(spark, sf):
+    return cuts.winner_cut(runs.occurrences(individuals(spark, sf))).select("kmer_id", "nview")
+
+
+@_query()
+def slope_cut(spark, sf):
+    return cuts.slope_cut(runs.occurrences(individuals(spark, sf))).select("kmer_id", "nview")
+
+
+@_query(f"""WITH {_DENSE}, c AS (SELECT kmer_id, n_regionkey AS grp, ord, val FROM (SELECT kmer_id, unnest(vals) AS val, unnest(range(25)) AS ord FROM d) JOIN nation ON n_nationkey = ord),
+h AS (SELECT *, median(val) OVER (PARTITION BY kmer_id, grp) AS mid FROM c), k AS (SELECT *, median(abs(val - mid)) OVER (PARTITION BY kmer_id, grp) AS mad FROM h)
+SELECT kmer_id, CAST(ord AS INT) AS ord, round(coalesce((val - mid) / nullif(mad, 0), 0), 6) AS spread FROM k""")
+def group_spread(spark, sf):
+    return _r(cuts.group_spread(_dense_with(spark, sf), samples(spark, sf)), "spread")
+
+
+@_query(f"""WITH {_M}, s AS (SELECT kmer_id, sum(val) AS total FROM m GROUP BY 1), c AS (SELECT total, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT total, CAST(floor((sum(n) OVER (ORDER BY total) - 1) / (SELECT max(n) FROM c)) AS BIGINT) AS bucket FROM c) SELECT kmer_id, total, bucket FROM s JOIN p USING (total)""")
+def sum_buckets(spark, sf):
+    return cuts.sum_buckets(long_matrix(spark, sf))
+
+
+@_query(f"""WITH {_DENSE}, r AS (SELECT kmer_id, round(list_avg(vals) / nullif(list_var_samp(vals), 0), 9) AS ratio FROM d), w AS (SELECT kmer_id, ratio FROM r WHERE ratio IS NOT NULL),
+b AS (SELECT kmer_id, ratio, CAST(floor((rank() OVER (ORDER BY ratio) - 1) * 20 / count(*) OVER ()) AS BIGINT) AS bin FROM w)
+SELECT kmer_id, round(ratio, 6) AS ratio, bin, round((ratio - avg(ratio) OVER (PARTITION BY bin)) / nullif(stddev_samp(ratio) OVER (PARTITION BY bin), 0), 4) AS z FROM b""")
+def variability(spark, sf):
+    return _r(_r(cuts.variability(_dense_with(spark, sf)), "z", digits=4), "ratio")
+
+
+_DIST = _M + """, x AS (SELECT a.ord AS o1, b.ord AS o2, sum(a.val * b.val) AS dot FROM m a JOIN m b USING (kmer_id) GROUP BY 1, 2),
+y AS (SELECT p.o1, p.o2, sqrt(u.dot + v.dot - 2 * p.dot) AS dist FROM x p JOIN x u ON u.o1 = p.o1 AND u.o2 = p.o1 JOIN x v ON v.o1 = p.o2 AND v.o2 = p.o2 WHERE p.o1 <> p.o2)"""
+_KNN = _DIST + """, w AS (SELECT o1, n_regionkey AS vote, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY o1 ORDER BY round(dist, 6), o2) AS r FROM y) JOIN nation ON n_nationkey = o2 WHERE r <= 5 GROUP BY 1, 2),
+v AS (SELECT o1 AS ord, n_regionkey AS grp, vote AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY o1 ORDER BY n DESC, vote) AS r FROM w) JOIN nation ON n_nationkey = o1 WHERE r = 1)"""
+
+
+@_query(f"WITH {_DIST} SELECT o1 AS ord1, o2 AS ord2, round(dist, 4) AS distance FROM y")
+def sample_distances(spark, sf):
+    return _r(evaluation.sample_distances(long_matrix(spark, sf), samples(spark, sf)), "distance", digits=4)
+
+
+def _predictions(spark, sf):
+    return evaluation.nearest_vote(evaluation.sample_distances(long_matrix(spark, sf), samples(spark, sf)), samples(spark, sf))
+
+
+@_query(f"WITH {_KNN} SELECT ord, grp, predicted FROM v")
+def nearest_vote(spark, sf):
+    return _predictions(spark, sf)
+
+
+@_query(f"WITH {_KNN} SELECT grp, predicted, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY grp), 6) AS percent FROM v GROUP BY 1, 2")
+def confusion(spark, sf):
+    return _r(evaluation.confusion(_predictions(spark, sf)), "percent")
+
+
+@_query(f"""WITH {_DIST}, h AS (SELECT o1, p.n_regionkey AS g1, q.n_regionkey AS g2, avg(dist) AS d FROM y JOIN nation p ON p.n_nationkey = o1 JOIN nation q ON q.n_nationkey = o2 GROUP BY 1, 2, 3),
+s AS (SELECT o1 AS ord, max(d) FILTER (g1 = g2) AS a, min(d) FILTER (g1 <> g2) AS b FROM h GROUP BY 1) SELECT ord, round(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / nullif(greatest(a, b), 0) END, 6) AS silhouette FROM s""")
+def silhouette(spark, sf):
+    return _r(evaluation.silhouette(evaluation.sample_distances(long_matrix(spark, sf), samples(spark, sf)), samples(spark, sf)), "silhouette")
+
+
+_PR = """s AS (SELECT lang AS cls, n_chars AS score, toxic AS label FROM documents JOIN labels USING (doc_id)), c AS (SELECT cls, score, sum(label) AS hits, count(*) AS n FROM s GROUP BY 1, 2),
+p AS (SELECT cls, score, sum(hits) OVER w / sum(n) OVER w AS precision, sum(hits) OVER w / nullif(sum(hits) OVER (PARTITION BY cls), 0) AS recall FROM c WINDOW w AS (PARTITION BY cls ORDER BY score DESC))"""
+
+
+def _scored(spark, sf):
+    labelled = _t(spark, sf, "documents").select("doc_id", "lang", "n_chars").join(_t(spark, sf, "labels"), "doc_id")
+    return labelled.select(F.col("lang").alias("cls"), F.col("n_chars").alias("score"), F.col("toxic").alias("label"))
+
+
+@_query(f"WITH {_PR} SELECT cls, score, round(precision, 6) AS precision, round(recall, 6) AS recall FROM p")
+def precision_recall(spark, sf):
+    return _r(evaluation.precision_recall(_scored(spark, sf)), "precision", "recall")
+
+
+@_query(f"WITH {_PR} SELECT cls, round(sum(precision * rise), 6) AS average_precision FROM (SELECT *, recall - coalesce(lag(recall) OVER (PARTITION BY cls ORDER BY score DESC), 0) AS rise FROM p) GROUP BY 1")
+def average_precision(spark, sf):
+    return _r(evaluation.average_precision(_scored(spark, sf)), "average_precision")
+
+
+@_query("""WITH c AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS axis FROM embeddings),
+s AS (SELECT label, axis, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM c GROUP BY 1, 2), a AS (SELECT axis, sum(s) AS s, sum(q) AS q, sum(n) AS n, sum(s * s / n) AS b, count(*) AS k FROM s GROUP BY 1)
+SELECT round((sum(b - s * s / n) / (max(k) - 1)) / nullif(sum(q - b) / (max(n) - max(k)), 0), 4) AS calinski_harabasz FROM a""")
+def cluster_separation(spark, sf):
+    return _r(evaluation.calinski_harabasz(_t(spark, sf, "embeddings").select(F.col("label").alias("grp"), F.col("embedding").alias("vals"))), "calinski_harabasz", digits=4)
+
+
 @_query()
 def feature_search(spark, sf):
     """A short seeded search over the dense matrix: the history of its generations."""
