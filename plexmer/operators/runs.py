@@ -49,6 +49,12 @@ def merge_runs(occ: DataFrame, top: int) -> DataFrame:
     return share.groupBy("kmer_id").agg((F.sum("share") / n).alias("view"), F.count("*").alias("viewinfold"))
 
 
+def merge_metrics(merged: DataFrame) -> DataFrame:
+    """One row on merged runs (at most runs x top k-mers): correlation of rank and number of runs, distinct k-mers and shared ones in per cent."""
+    ranked = merged.withColumn("r", F.row_number().over(Window.orderBy(F.desc(F.round("view", 9)), "kmer_id")))
+    return ranked.agg(F.corr("r", "viewinfold").alias("rank_corr"), F.try_divide(100.0 * F.count("*"), F.sum("viewinfold")).alias("unique_percent"), (100 * F.avg((F.col("viewinfold") > 1).cast("int"))).alias("shared_percent"))
+
+
 def run_overlap(occ: DataFrame) -> DataFrame:
     """Shared k-mers of every two runs over the smaller list."""
     sizes = occ.groupBy("run").agg(F.count("*").alias("n"))

@@ -222,6 +222,14 @@ def merged_runs(spark, sf):
     return _r(runs.merge_runs(run_occurrences(spark, sf), 200), "view")
 
 
+@_query(f"""WITH {_O}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY nview DESC, kmer_id) AS r FROM q),
+h AS (SELECT run, kmer_id, 100.0 * nview / sum(nview) OVER (PARTITION BY run) AS share FROM r WHERE r <= 200),
+v AS (SELECT kmer_id, sum(share) / (SELECT count(DISTINCT run) FROM q) AS view, count(*) AS f FROM h GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY round(view, 9) DESC, kmer_id) AS r FROM v)
+SELECT round(corr(r, f), 6) AS rank_corr, round(100.0 * count(*) / sum(f), 6) AS unique_percent, round(100 * avg(CAST(f > 1 AS INT)), 6) AS shared_percent FROM k""")
+def merge_metrics(spark, sf):
+    return _r(runs.merge_metrics(runs.merge_runs(run_occurrences(spark, sf), 200)), "rank_corr", "unique_percent", "shared_percent")
+
+
 @_query(f"""WITH {_O}, n AS (SELECT run, count(*) AS n FROM q GROUP BY 1)
 SELECT a.run AS run1, b.run AS run2, count(*) AS shared, round(count(*) / least(any_value(x.n), any_value(y.n)), 6) AS ratio
 FROM q a JOIN q b ON a.kmer_id = b.kmer_id AND a.run < b.run JOIN n x ON x.run = a.run JOIN n y ON y.run = b.run GROUP BY 1, 2""")
