@@ -369,9 +369,9 @@ def sum_buckets(spark, sf):
 
 @_query(f"""WITH {_DENSE}, r AS (SELECT kmer_id, round(list_avg(vals) / nullif(list_var_samp(vals), 0), 9) AS ratio FROM d), w AS (SELECT kmer_id, ratio FROM r WHERE ratio IS NOT NULL),
 b AS (SELECT kmer_id, ratio, CAST(floor((rank() OVER (ORDER BY ratio) - 1) * 20 / count(*) OVER ()) AS BIGINT) AS bin FROM w)
-SELECT kmer_id, round(ratio, 6) AS ratio, bin, round((ratio - avg(ratio) OVER (PARTITION BY bin)) / nullif(stddev_samp(ratio) OVER (PARTITION BY bin), 0), 4) AS z FROM b""")
+SELECT kmer_id, ratio, bin, round((ratio - avg(ratio) OVER (PARTITION BY bin)) / nullif(stddev_samp(ratio) OVER (PARTITION BY bin), 0), 4) AS z FROM b""")
 def variability(spark, sf):
-    return _r(_r(cuts.variability(_dense_with(spark, sf)), "z", digits=4), "ratio")
+    return _r(cuts.variability(_dense_with(spark, sf)), "z", digits=4)
 
 
 _DIST = _M + """, x AS (SELECT a.ord AS o1, b.ord AS o2, sum(a.val * b.val) AS dot FROM m a JOIN m b USING (kmer_id) GROUP BY 1, 2),
