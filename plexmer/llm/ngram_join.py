@@ -106,7 +106,7 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         size = sum(b.num_rows for b in held)
-        if streaming or size > 1:
+        if size and (streaming or size > 1):  # a streamed token may end where nothing is held
             yield out(held, np.full(size, COUNT_CAP if streaming else min(size, COUNT_CAP)))
         held.clear()
 

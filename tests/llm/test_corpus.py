@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,17 @@ def test_ngram_join(spark, docs, rows, empty, n, num, den):
     assert ngram_join.ngram_jaccard_join(empty, n, num, den).count() == 0
 
 
+def test_counts_of_streamed_tokens(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COUNT_CAP", 4)
+    for sizes in ([9], [1, 9, 1], [4, 5, 2, 12, 1, 1, 6], [3, 17, 8]):
+        tokens = np.repeat(np.arange(len(sizes)), sizes)
+        want = [(t, i, min(sizes[t], 4)) for i, t in enumerate(tokens.tolist()) if sizes[t] > 1]
+        for rows in range(1, len(tokens) + 1):  # ends at every batch boundary
+            whole = pa.RecordBatch.from_pydict({"token": tokens, "cid": np.arange(len(tokens)), **{c: np.zeros(len(tokens), np.int32) for c in ("n", "slack", "ext")}})
+            got = ngram_join._counted(whole.slice(i, rows) for i in range(0, len(tokens), rows))
+            assert [(r["token"], r["cid"], r["df"]) for b in got for r in b.to_pylist()] == want
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(0)
     for _ in range(40):
