@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column, materialise, run_bounds, shuffle_width, small_batches, whole_groups
+from ._common import bounded_groups, column, materialise, run_bounds, shuffle_width, small_batches, whole_groups
 from ._graph import components
 from ._words import shingle_set, slices, word_hashes, word_spans
 
@@ -156,13 +156,19 @@ def _prefixes(pool: int, num: int, den: int):
     return run
 
 
+def chain(cid: np.ndarray, n: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect a superset of the pairs: neighbours in size, of rows sorted by size."""
+    n = n.astype(np.int64)
+    near = den * n[:-1] >= num * n[1:]
+    return list(zip(cid[:-1][near].tolist(), cid[1:][near].tolist(), strict=True))
+
+
 def forest(cid: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that share a token at these positions and pass the length and position bounds."""
     order = np.lexsort((cid, n))
     cid, n, pos = cid[order], n[order].astype(np.int64), pos[order].astype(np.int64)
-    if len(cid) > GROUP_CAP:  # a superset of the pairs: neighbours in size
-        near = den * n[:-1] >= num * n[1:]
-        return list(zip(cid[:-1][near].tolist(), cid[1:][near].tolist(), strict=True))
+    if len(cid) > GROUP_CAP:
+        return chain(cid, n, num, den)
     label, out, rest = np.arange(len(cid)), [], n - pos
     for i in range(len(cid) - 1):
         to = int(np.searchsorted(n, den * n[i] // num, "right"))
@@ -175,13 +181,17 @@ def forest(cid: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: int)
 
 
 def _candidates(num: int, den: int):
+    """Rows sorted by (token, n, cid) -> candidates; a token above GROUP_CAP rows is chained as it streams by."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "token"):
+        for table, part in bounded_groups(batches, "token", GROUP_CAP):
             token, cid, n, pos = (column(table, c) for c in ("token", "cid", "n", "pos"))
             bounds = run_bounds(token)
             edges = set()
+            if part:
+                edges.update(chain(cid, n, num, den))
+                bounds = bounds[:0]
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 if b - a == 2:
                     least, most = sorted((int(n[a]), int(n[a + 1])))
@@ -334,7 +344,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     )
     counted = tokens.repartition(width, "token").sortWithinPartitions("token").mapInArrow(_counted, "token bigint, cid bigint, n int, slack int, ext int, df int")
     prefixes = counted.repartition(width, "cid").sortWithinPartitions("cid").mapInArrow(_prefixes(pool, num, den), "token bigint, cid bigint, n int, pos int")
-    pairs = prefixes.repartition(width, "token").sortWithinPartitions("token").mapInArrow(_candidates(num, den), "a bigint, b bigint")
+    pairs = prefixes.repartition(width, "token").sortWithinPartitions("token", "n", "cid").mapInArrow(_candidates(num, den), "a bigint, b bigint")
     blocks = components(pairs, "blocks").select(F.col("node").alias("cid"), F.col("component").alias("block"))
 
     member = materialise(blocks.join(classes, "cid"), "members")

@@ -112,6 +112,23 @@ def test_counts_of_streamed_tokens(monkeypatch):
             assert [(r["token"], r["cid"], r["df"]) for b in got for r in b.to_pylist()] == want
 
 
+def test_candidates_of_hot_tokens_stream(monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [3, 1, 40, 2, 25]
+    token = np.repeat(np.arange(len(sizes)), sizes)
+    n = np.concatenate([np.sort(rng.integers(10, 60, k)) for k in sizes]).astype(np.int32)
+    whole = pa.RecordBatch.from_pydict({"token": token, "cid": np.arange(len(token)), "n": n, "pos": np.zeros(len(token), np.int32)})
+    monkeypatch.setattr(ngram_join, "GROUP_CAP", 8)
+    want = {e for t in range(len(sizes)) for e in ngram_join.forest(*(x[token == t] for x in (np.arange(len(token)), n, np.zeros(len(token), int))), 4, 5)}
+    held = []
+    seen = ngram_join.bounded_groups
+    monkeypatch.setattr(ngram_join, "bounded_groups", lambda *a: (held.append(x[0].num_rows) or x for x in seen(*a)))
+    for rows in range(1, 9):
+        got = [(r["a"], r["b"]) for b in ngram_join._candidates(4, 5)(whole.slice(i, rows) for i in range(0, len(token), rows)) for r in b.to_pylist()]
+        assert {tuple(sorted(e)) for e in got} == {tuple(sorted(e)) for e in want}
+    assert max(held) <= 2 * 8  # never a whole hot token
+
+
 def test_prefix_tree():
     rng = np.random.default_rng(0)
     for _ in range(40):
