@@ -222,4 +222,4 @@ def repeated_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 
 def _one_space(text: str) -> F.Column:
-    return F.regexp_replace(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " "), "^ | $", "")
+    return F.regexp_replace(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " "), r"^ | \z", "")

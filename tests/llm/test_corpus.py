@@ -175,6 +175,14 @@ def test_repeated_phrases(spark, docs, rows, empty):
     assert repeated_phrases(empty).count() == 0
 
 
+def test_repeated_phrases_keep_line_separators(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    ends = ["\u0085", "\u2028", "\u2029"]
+    rows = [(i, f"{base} {end}") for i, end in enumerate(ends)] + [(9, f"x {base}")]
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in repeated_phrases(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: (41, 40), 1: (41, 40), 2: (41, 40), 9: (41, 40)}
+
+
 def test_packing_and_token_files(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 
