@@ -4,8 +4,9 @@ The standard library's parser streams a page's events; every block becomes a lin
 with its text, its number of tags and its chain of enclosing elements.  The ratio
 text / tags of the lines is smoothed with a Gaussian kernel, lines above a threshold
 (a share of the ratios' standard deviation) form the content cluster, and the innermost
-element that encloses nearly all of the cluster's text is the content region (Weninger
-and Hsu, 2008, with the page's own tree for the region's ends).  All lines of the region
+element that encloses nearly all of the cluster's text is the core of the content region
+(Weninger and Hsu, 2008).  The region is the outermost article or main around the core;
+in a page without one, the innermost element around all of the cluster.  All lines of the region
 are kept but those below an element that is a menu, header, footer, side column,
 notice, advert, form, script, style or reader comment by its name, role, class or id.
 
@@ -34,7 +35,7 @@ from ._common import small_batches
 SIGMA = 1.0
 #: Lines above this share of the ratios' standard deviation are content.
 THRESHOLD = 0.5
-#: The content region holds this share of the content cluster's text.
+#: The core of the content region holds this share of the content cluster's text.
 REGION = 0.9
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -157,6 +158,26 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
 
 
+def whole(region: _Element, content: list[_Element]) -> _Element:
+    """The outermost article or main around a region; without one, the innermost element that encloses the region and all content lines."""
+    around, at = None, region
+    while at:
+        around = at if at.tag in ("article", "main") else around
+        at = at.parent
+    if around:
+        return around
+    for element in content:
+        above, at = set(), element
+        while at:
+            above.add(at)
+            at = at.parent
+        while region not in above:
+            region = region.parent
+    while region.parent and region.tag not in ("section", "div", "td", "body", "html", "center", "blockquote"):
+        region = region.parent  # a paragraph alone is no region
+    return region
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -184,8 +205,7 @@ def main_text(html: str | None) -> str:
             at = at.parent
         if at and at.depth > best:
             region, best = at, at.depth
-    while region.parent and region.tag not in ("article", "main", "section", "div", "td", "body", "html", "center", "blockquote"):
-        region = region.parent  # a paragraph alone is no region
+    region = whole(region, [element for (_, _, element), keep in zip(lines, content, strict=True) if keep])
 
     def within(at: _Element | None) -> bool:
         while at:

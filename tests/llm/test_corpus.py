@@ -305,3 +305,14 @@ def test_main_text(spark):
     frame = spark.createDataFrame([(1, "u", page, "t"), (None, None, None, None)], "page_id bigint, url string, html string, text string")
     assert {r["page_id"]: len(r["text"]) for r in extract_main_text(frame).collect()} == {1: len(main_text(page)), None: 0}
     assert extract_main_text(frame.limit(0)).count() == 0
+
+
+def test_main_text_of_nested_articles():
+    long = lambda w, n: " ".join([w] * n)
+    page = lambda body: main_text(f"<html><body><nav><a href=x>Home</a></nav>{body}<footer>(c)</footer></body></html>")
+    parts = [f"<h1>Title</h1><p>{long('lead', 8)}</p>", f"<div class=body><p>{long('one', 150)}</p><p>{long('two', 150)}</p></div>", f"<p>{long('closing', 6)}</p>"]
+    whole = "\n".join(["Title", long("lead", 8), long("one", 150), long("two", 150), long("closing", 6)])
+    assert page(f"<article>{''.join(parts)}</article>") == page(f"<main>{parts[0]}<article>{parts[1]}</article>{parts[2]}</main>") == whole
+    assert page(f"<article><section><p>{long('a', 460)}</p></section><section><p>{long('b', 40)}</p></section></article>") == long("a", 460) + "\n" + long("b", 40)
+    assert page(f"<article><blockquote><p>{long('said', 200)}</p></blockquote><p>{long('then', 9)}</p></article>") == long("said", 200) + "\n" + long("then", 9)
+    assert page(f"<div class=page><p>{long('first', 30)}</p><div><p>{long('more', 400)}</p></div><p>{long('last', 30)}</p></div>") == "\n".join([long("first", 30), long("more", 400), long("last", 30)])
