@@ -3,9 +3,11 @@
 A k-mer here is `K` consecutive words; it is a closed syncmer when the smallest hash
 among its inner substrings of `S` words is that of the first or the last one.  The
 choice depends on the k-mer alone, so equal passages have equal anchors whatever
-surrounds them.  A fingerprint is the sketch of the `SKETCH` smallest distinct anchor
-hashes, written in hexadecimal; the likeness of two fingerprints estimates the
-Jaccard similarity of the anchor sets (exact for sets within the sketch).
+surrounds them.  A fingerprint is every anchor in text order, its hash and its place (the
+number of its first word), in 16 hexadecimal digits.  Anchors of two texts are matched by hash, equal
+ones in the order of their places, which gives the pairs of places of what both share;
+the likeness is matched anchors / all anchors of both (Jaccard similarity of the
+multisets), without sampling.
 
 All of it is built-in expressions: no Python runs on the executors.
 
@@ -26,37 +28,53 @@ from ._ranges import bucket_of, id_splitters, wanted_buckets
 
 K = 5
 S = 2
-SKETCH = 128
 
-#: Words -> hashes of the S-word substrings -> (place, hash) of the closed syncmers.
+#: Words -> hash << 32 | place of the closed syncmers; the whole sequence of fewer than K words.
 _WORDS = r"filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
-_ANCHORS = """
+_PLACED = """
 element_at(transform(array({words}), ws ->
-  IF(size(ws) = 0, CAST(array() AS ARRAY<INT>),
-  IF(size(ws) < 5, array(hash(concat_ws(' ', ws))),
+  IF(size(ws) = 0, CAST(array() AS ARRAY<BIGINT>),
+  element_at(transform(array(IF(size(ws) < 5, CAST(array() AS ARRAY<BIGINT>),
     element_at(transform(array(transform(sequence(0, size(ws) - 2), i -> xxhash64(ws[i], ws[i + 1]))), p ->
       filter(transform(sequence(0, size(ws) - 5), i ->
-        IF(least(p[i], p[i + 3]) <= least(p[i + 1], p[i + 2]), hash(p[i], p[i + 2], p[i + 3]), CAST(NULL AS INT))), x -> x IS NOT NULL)), 1)))), 1)
+        IF(least(p[i], p[i + 3]) <= least(p[i + 1], p[i + 2]), shiftleft(CAST(hash(p[i], p[i + 2], p[i + 3]) AS BIGINT), 32) | CAST(i AS BIGINT), CAST(NULL AS BIGINT))), x -> x IS NOT NULL)), 1))), found ->
+    IF(size(ws) < 5, array(shiftleft(CAST(hash(concat_ws(' ', ws)) AS BIGINT), 32)), found)), 1))), 1)
 """
+#: Anchors of both sorted by (hash, side, place) -> runs of one hash that both sides have -> pairs of places.
+_PAIRS = """
+element_at(transform(array(sort_array(concat({a}, transform({b}, x -> x | 2147483648L)))), c ->
+  element_at(transform(array(filter(sequence(0, size(c)), i -> i = 0 OR i = size(c) OR shiftright(c[i], 32) <> shiftright(c[i - 1], 32))), at ->
+    flatten(transform(filter(sequence(0, size(at) - 2), r -> at[r + 1] - at[r] > 1), r ->
+      element_at(transform(array(transform(sequence(at[r], at[r + 1] - 1), i -> c[i])), run ->
+        filter(zip_with(filter(run, x -> x & 2147483648L = 0), filter(run, x -> x & 2147483648L <> 0),
+          (x, y) -> IF(x IS NULL OR y IS NULL, NULL, named_struct('a', CAST(x & 2147483647L AS INT), 'b', CAST(y & 2147483647L AS INT)))), z -> z IS NOT NULL)), 1)))), 1)), 1)
+"""
+
+
+def placed(text: str) -> Column:
+    """Hash and place (number of the first word) of every closed syncmer of a string column, in text order, in one number each."""
+    return F.expr(_PLACED.format(words=_WORDS.format(text=f"coalesce({text}, '')")))
 
 
 def anchors(text: str) -> Column:
     """Hashes of the closed syncmers of a string column, in text order."""
-    return F.expr(_ANCHORS.format(words=_WORDS.format(text=f"coalesce({text}, '')")))
+    return F.transform(placed(text), lambda x: F.shiftright(x, 32).cast("int"))
 
 
-def sketch(text: str) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(anchors(text))), 1, SKETCH)
+def written(of: str) -> Column:
+    return F.expr(f"array_join(transform({of}, x -> lpad(hex(x), 16, '0')), '')")
 
 
-def written(of: str) -> Column:
-    return F.expr(f"array_join(transform({of}, x -> lpad(hex(CAST(x AS BIGINT) & 4294967295L), 8, '0')), '')")
+def matches(a: str, b: str) -> Column:
+    """Places (a, b) of the anchors that two columns of `placed` share: of one hash the first with the first, the second with the second and so on."""
+    none = "CAST(array() AS ARRAY<STRUCT<a: INT, b: INT>>)"
+    return F.expr(f"IF(size({a}) = 0 OR size({b}) = 0, {none}, {_PAIRS.format(a=a, b=b)})")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of the joint sketch that both have."""
-    return F.expr(f"""IF(size({a}) = 0 OR size({b}) = 0, IF(size({a}) = size({b}), 1D, 0D),
-      element_at(transform(array(slice(sort_array(array_union({a}, {b})), 1, {SKETCH})), u -> size(array_intersect(u, array_intersect({a}, {b}))) / CAST(size(u) AS DOUBLE)), 1))""")
+    """Share of all anchors of both that match."""
+    n, both = F.size(matches(a, b)), F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(n / (both - n))
 
 
 def with_next(rows: DataFrame, values: list[str]) -> DataFrame:
@@ -86,9 +104,7 @@ def with_next(rows: DataFrame, values: list[str]) -> DataFrame:
 def syncmer_fingerprints(docs: DataFrame) -> DataFrame:
     """For every row of `docs` (doc_id, text): its fingerprint, that of its text spliced with the next document's, and likenesses."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    own = rows.withColumn("sketch", sketch("text"))
-    near = with_next(own, ["text", "sketch"])
+    near = with_next(rows, ["text"])  # anchors are made after the shuffle, which moves texts only
     edited = near.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("edited", F.expr("concat(substring(text, 1, CAST(n_chars - n_chars DIV 2 AS INT)), substring(next_text, 1, CAST(n_chars DIV 2 AS INT)))"))
-    edited = edited.withColumn("edited_sketch", sketch("edited"))
-    edited = edited.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "sketch", "next_sketch", "edited_sketch")
-    return edited.select("doc_id", "n_chars", "edited_sha256", written("sketch").alias("fingerprint"), written("edited_sketch").alias("edited_fingerprint"), likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"))
+    edited = edited.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), placed("text").alias("own"), placed("next_text").alias("next"), placed("edited").alias("after"))
+    return edited.select("doc_id", "n_chars", "edited_sha256", written("own").alias("fingerprint"), written("after").alias("edited_fingerprint"), likeness("own", "after").alias("near_edited"), likeness("own", "next").alias("near_next"))

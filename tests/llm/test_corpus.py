@@ -249,6 +249,21 @@ def test_syncmers(spark, docs, rows, empty):
     assert set(hashes["b"]) <= set(hashes["a"])  # free of context
 
 
+def test_syncmers_locate_a_passage_in_long_texts(spark):
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, a, b = prose(150), prose(9000), prose(9000)
+    a[4000:4000], b[700:700] = passage, passage
+    frame = spark.createDataFrame([(" ".join(a), " ".join(b), "p q r s t u v p q r s t u v", "p q r s t u v")], "a string, b string, c string, d string")
+    r = frame.select(*(syncmers.placed(c).alias(c) for c in "abcd")).select("*", syncmers.matches("a", "b").alias("found"), syncmers.likeness("a", "b").alias("near"), syncmers.likeness("a", "a").alias("same"), syncmers.likeness("c", "d").alias("twice")).first()
+    pairs = [(x["a"], x["b"]) for x in r["found"] if x["a"] - x["b"] == 3300]
+    assert len(pairs) > 40 and all(4000 <= x <= 4145 for x, _ in pairs) and len(r["found"]) - len(pairs) <= 2
+    hashes = [collections.Counter(x >> 32 for x in r[c]) for c in "abcd"]
+    share = lambda x, y: sum((x & y).values()) / sum((x | y).values())
+    assert r["near"] == pytest.approx(share(*hashes[:2])) and r["same"] == 1 and r["twice"] == pytest.approx(share(*hashes[2:]))
+    assert [x & 0x7FFFFFFF for x in r["a"]] == sorted(x & 0x7FFFFFFF for x in r["a"])
+
+
 def test_maximal_segments():
     rng = random.Random(2)
     for _ in range(200):
