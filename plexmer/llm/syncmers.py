@@ -12,7 +12,7 @@ multisets), without sampling.
 All of it is built-in expressions: no Python runs on the executors.
 
 Defined cases: null text is empty; an empty or blank text has an empty fingerprint; a
-text of fewer than `K` words has one anchor, its whole word sequence; likeness is 1
+text without a closed syncmer (fewer than `K` words always, 5 or 6 words sometimes) has one anchor, its whole word sequence; likeness is 1
 of two empty fingerprints and 0 of an empty and another; null doc_ids come first in
 the order of documents, and rows of equal doc_id are ordered by text; other columns
 are ignored; an empty table gives an empty result.
@@ -29,7 +29,7 @@ from ._ranges import bucket_of, id_splitters, wanted_buckets
 K = 5
 S = 2
 
-#: Words -> hash << 32 | place of the closed syncmers; the whole sequence of fewer than K words.
+#: Words -> hash << 32 | place of the closed syncmers; the whole sequence where there is none.
 _WORDS = r"filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
 _PLACED = """
 element_at(transform(array({words}), ws ->
@@ -38,7 +38,7 @@ element_at(transform(array({words}), ws ->
     element_at(transform(array(transform(sequence(0, size(ws) - 2), i -> xxhash64(ws[i], ws[i + 1]))), p ->
       filter(transform(sequence(0, size(ws) - 5), i ->
         IF(least(p[i], p[i + 3]) <= least(p[i + 1], p[i + 2]), shiftleft(CAST(hash(p[i], p[i + 2], p[i + 3]) AS BIGINT), 32) | CAST(i AS BIGINT), CAST(NULL AS BIGINT))), x -> x IS NOT NULL)), 1))), found ->
-    IF(size(ws) < 5, array(shiftleft(CAST(hash(concat_ws(' ', ws)) AS BIGINT), 32)), found)), 1))), 1)
+    IF(size(found) = 0, array(shiftleft(CAST(hash(concat_ws(' ', ws)) AS BIGINT), 32)), found)), 1))), 1)
 """
 #: Anchors of both sorted by (hash, side, place) -> runs of one hash that both sides have -> pairs of places.
 _PAIRS = """

@@ -249,6 +249,13 @@ def test_syncmers(spark, docs, rows, empty):
     assert set(hashes["b"]) <= set(hashes["a"])  # free of context
 
 
+def test_syncmers_of_short_texts(spark):
+    texts = [" ".join(f"{i}x{j}" for j in range(n)) for n in (1, 4, 5, 6, 7) for i in range(20)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000, "")], "doc_id bigint, text string")
+    got = syncmers.syncmer_fingerprints(frame).where("doc_id < 1000").collect()
+    assert all(r["fingerprint"] for r in got) and all(r["near_next"] == 0 for r in got)
+
+
 def test_syncmers_locate_a_passage_in_long_texts(spark):
     rng = random.Random(4)
     prose = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
