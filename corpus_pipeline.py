@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexmer.llm._common import materialise
+from plexmer.llm._common import materialise, with_row_id
 from plexmer.llm.content_sort import content_sort_dedup
 from plexmer.llm.mixture import apply_mix
 from plexmer.llm.ngram_join import ngram_jaccard_join
@@ -22,23 +22,33 @@ from plexmer.llm.toxicity import toxicity
 ORACLE_SQL = None
 
 
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose row_id is not in `dropped`, without it."""
+    return rows.join(dropped.select("row_id"), "row_id", "left_anti").drop("row_id")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model (5) does not reject; a null doc_id is never rejected by name and stays."""
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.join(scored.where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows that the toxicity model (5) does not reject."""
+    rows = with_row_id(docs, "rows")
+    scored = toxicity(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"), also=("row_id",))
+    return without(rows, scored.where("predicted = 1"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts (8)."""
-    kept = content_sort_dedup(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """One row of each group of equal texts (8)."""
+    rows = with_row_id(docs, "rows")
+    # decided once: which of equal rows is kept may differ between runs
+    found = materialise(content_sort_dedup(rows, also=("row_id",)).where("NOT kept").select("row_id"), "copies")
+    return without(rows, found)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group linked by the n-gram join (2): five words, similarity 0.8 or more."""
-    groups = ngram_jaccard_join(docs, n=5, num=4, den=5, pool=6)
-    others = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """One row, the one with the smallest id, of each group linked by the n-gram join (2): five words, similarity 0.8 or more."""
+    rows = with_row_id(docs, "rows")
+    groups = ngram_jaccard_join(rows, n=5, num=4, den=5, pool=6, also=("row_id",)).select("component", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id").alias("row"))
+    groups = materialise(groups, "groups")
+    first = groups.groupBy("component").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("component", "first")
+    return without(rows, groups.join(first, "component").where("row.row_id <> first.row_id").select("row.row_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space that separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,6 +39,16 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_id(df: DataFrame, tag: str) -> DataFrame:
+    """`df` with row_id, a text that tells every row from all others and is the same whenever the result is read.
+
+    Rows of a plain Parquet table are named by file and number in it; others are written first.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = materialise(df, tag)
+    return df.select("*", F.concat_ws("#", F.col("_metadata.row_index"), F.col("_metadata.file_path")).alias("row_id"))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of `workspace` through Hadoop's file system interface."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

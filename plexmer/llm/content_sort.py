@@ -39,15 +39,15 @@ def _splitters(rows: DataFrame, count: int, buckets: int) -> DataFrame:
     return ranked.select(F.array_distinct(F.filter("all", lambda x, i: (i > 0) & (i % step == 0))).alias("cut"))
 
 
-def content_sort_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs` (doc_id, text)."""
+def content_sort_dedup(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs` (doc_id, text), and its columns `also`."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
     cut = _splitters(rows, rows.count(), wanted_buckets(spark)).first()["cut"]
     cuts = F.array(*(F.struct(F.lit(c["prefix"]).alias("prefix"), F.lit(c["id"]).cast("bigint").alias("id")) for c in cut)) if cut else None
     prefixes = sorted({c["prefix"] for c in cut})
 
-    norm = rows.select("doc_id", normalised().alias("norm"))
+    norm = rows.select("doc_id", normalised().alias("norm"), *also)
     at = F.struct(F.substring("norm", 1, PREFIX).alias("prefix"), F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"))
     bucket = F.size(F.filter(cuts, lambda c: c <= at)) if cut else F.lit(0)
     split = F.substring("norm", 1, PREFIX).isin(prefixes) if prefixes else F.lit(False)
@@ -55,10 +55,10 @@ def content_sort_dedup(docs: DataFrame) -> DataFrame:
     before = F.lag("norm").over(ordered)
     run_start = (before.isNull() | (before != F.col("norm"))).cast("int")
     sorted_rows = norm.withColumn("bucket", bucket).withColumn("start", run_start)
-    runs = sorted_rows.select("bucket", "doc_id", "start", F.sum("start").over(ordered).alias("run"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), F.octet_length("norm").alias("bytes"), split.alias("split"))
+    runs = sorted_rows.select("bucket", "doc_id", "start", F.sum("start").over(ordered).alias("run"), F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"), F.octet_length("norm").alias("bytes"), split.alias("split"), *also)
     # runs are narrow now; the same partitioning holds, so only a sort is added
     own = Window.partitionBy("bucket", "run")
-    local = runs.select("doc_id", "bucket", "start", "text_sha256", "bytes", "split", F.min("doc_id").over(own).alias("keep"), F.count("*").over(own).alias("size"))
+    local = runs.select("doc_id", "bucket", "start", "text_sha256", "bytes", "split", F.min("doc_id").over(own).alias("keep"), F.count("*").over(own).alias("size"), *also)
     local = materialise(local, "runs")
     # runs of one text in several ranges: one row for each range they touch
     several = (
@@ -68,7 +68,7 @@ def content_sort_dedup(docs: DataFrame) -> DataFrame:
     joined = local.join(several, ["text_sha256", "bytes"], "left")
     keep = F.when(F.col("all_size").isNull(), F.col("keep")).otherwise(F.col("all_keep"))
     first = (F.col("start") == 1) & (F.col("keep_bucket").isNull() | (F.col("keep_bucket") == F.col("bucket")))
-    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("all_size", "size").alias("group_size"), first.alias("kept"), "text_sha256")
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("all_size", "size").alias("group_size"), first.alias("kept"), "text_sha256", *also)
 
 
 ORACLE = r"""

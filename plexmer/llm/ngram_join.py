@@ -71,8 +71,8 @@ def set_key(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def _signatures(n: int, num: int, den: int, pool: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int32()), ("key", pa.binary()), ("slack", pa.int32()), ("pool", pa.list_(pa.int64()))])
+def _signatures(n: int, num: int, den: int, pool: int, also: tuple[str, ...] = ()):
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in also), ("n_shingles", pa.int32()), ("key", pa.binary()), ("slack", pa.int32()), ("pool", pa.list_(pa.int64()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +88,7 @@ def _signatures(n: int, num: int, den: int, pool: int):
                 pools.append(inside.view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in pools]))).astype(np.int32)
             flat = pa.array(np.concatenate(pools) if pools else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(slack, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c).cast(pa.string()) for c in also), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary()), pa.array(slack, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), flat)], schema=schema)
 
     return run
 
@@ -326,14 +326,14 @@ def _matched(num: int, den: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, pool: int = POOL, block_tokens: int = 2_000_000) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text)."""
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, pool: int = POOL, block_tokens: int = 2_000_000, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text); with text columns `also`, these and `component`, a number of its own for every component."""
     spark = docs.sparkSession
     small_batches(spark)
     width = shuffle_width(spark)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
 
-    signed = rows.mapInArrow(_signatures(n, num, den, pool), "doc_id bigint, n_shingles int, key binary, slack int, pool array<bigint>")
+    signed = rows.mapInArrow(_signatures(n, num, den, pool, also), f"doc_id bigint, {''.join(c + ' string, ' for c in also)}n_shingles int, key binary, slack int, pool array<bigint>")
     signed = materialise(signed.withColumn("rid", F.monotonically_increasing_id()), "sets")
     classes = materialise(signed.where("key is not null").groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "classes")
 
@@ -358,5 +358,6 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     found = components(links, "links").select(F.col("node").alias("cid"), "component")
     found = materialise(classes.join(found, "cid", "left").select("key", "doc_id", F.coalesce("component", "cid").alias("component")), "found")
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = found.join(least, "component").select("key", "component_id")
-    return signed.select("doc_id", "n_shingles", "key").join(named, "key", "left").select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = found.join(least, "component").select("key", "component_id", "component")
+    own = [*also, F.coalesce("component", "rid").alias("component")] if also else []
+    return signed.select("doc_id", "n_shingles", "key", "rid", *also).join(named, "key", "left").select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *own)

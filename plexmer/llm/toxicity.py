@@ -154,8 +154,8 @@ def decay(scores: np.ndarray, shares: np.ndarray, penalty: float) -> float:
     return high
 
 
-def _evidence(model: dict[str, float], penalty: float, lam: float, k: float):
-    schema = pa.schema([("doc_id", pa.int64()), ("evidence", pa.float64()), ("passages", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("log_odds", pa.float64())])))])
+def _evidence(model: dict[str, float], penalty: float, lam: float, k: float, also: tuple[str, ...] = ()):
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in also), ("evidence", pa.float64()), ("passages", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("log_odds", pa.float64())])))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = Scores(model)
@@ -172,7 +172,7 @@ def _evidence(model: dict[str, float], penalty: float, lam: float, k: float):
                         found.append({"first": first, "last": end - 1, "log_odds": score})
                 evidence.append(total)
                 passages.append(found)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(evidence), pa.array(passages, schema.field(2).type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(c).cast(pa.string()) for c in also), pa.array(evidence), pa.array(passages, schema.field("passages").type)], schema=schema)
 
     return run
 
@@ -191,11 +191,11 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence, passages for every row of `docs` (doc_id, text); `labels`: doc_id, toxic."""
+def toxicity(docs: DataFrame, labels: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence, passages for every row of `docs` (doc_id, text), and its text columns `also`; `labels`: doc_id, toxic."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
     marks = F.broadcast(materialise(marks, "training"))  # TRAINING_ROWS pairs of numbers at most
@@ -203,14 +203,14 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model, share = learn_words(train)
     held = fold(F.col("doc_id")) == 0
     if not model:
-        return rows.select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("evidence"), F.expr("CAST(array() AS ARRAY<STRUCT<first: INT, last: INT, log_odds: DOUBLE>>)").alias("passages"))
+        return rows.select("doc_id", *also, held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("evidence"), F.expr("CAST(array() AS ARRAY<STRUCT<first: INT, last: INT, log_odds: DOUBLE>>)").alias("passages"))
     scores = np.array(list(model.values()))
     per_word = max(share, 1e-6) / 300  # scoring words for each background word (a document of 300 words)
     penalty = max(0.02, 4 * per_word * float(scores.mean()))
     lam = decay(scores, np.full(len(scores), per_word / len(scores)), penalty)
-    scored = rows.mapInArrow(_evidence(model, penalty, lam, per_word), "doc_id bigint, evidence double, passages array<struct<first: int, last: int, log_odds: double>>")
+    scored = rows.mapInArrow(_evidence(model, penalty, lam, per_word, also), f"doc_id bigint, {''.join(c + ' string, ' for c in also)}evidence double, passages array<struct<first: int, last: int, log_odds: double>>")
     scored = materialise(scored, "evidence")
     sample = scored.join(marks, "doc_id").select("evidence", "toxic").collect()
     a, b = _curve(np.log1p(np.array([r["evidence"] for r in sample])), np.array([float(r["toxic"]) for r in sample]))
     score = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.log1p("evidence"))))
-    return scored.select("doc_id", held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "evidence", "passages")
+    return scored.select("doc_id", *also, held.alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"), "evidence", "passages")

@@ -89,3 +89,25 @@ def test_stages(spark, tmp_path):
         assert at <= 2048
     again = corpus_pipeline.run(spark, sf).groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in again} == set(ids["packing"])
+
+
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    sf = f"file://{tmp_path}"
+    texts, toxic = table(spark, sf)
+    schema, bad, fine = "doc_id bigint, text string", texts[min(toxic)], texts[10] + " own"
+    got = lambda stage, rows: collections.Counter((r["doc_id"], " ".join((r["text"] or "").split())) for r in stage(spark, spark.createDataFrame(rows, schema).repartition(3), sf).collect())
+    count = lambda rows: collections.Counter((i, " ".join(t.split())) for i, t in rows)
+
+    known = list(texts.items())
+    mixed = got(corpus_pipeline.drop_toxic, known + [(None, bad), (None, fine), (min(toxic), fine), (None, fine)])
+    assert mixed[None, " ".join(bad.split())] == 0 and mixed[None, " ".join(fine.split())] == 2 and mixed[min(toxic), " ".join(fine.split())] == 1
+
+    rows = [(1, "a b"), (1, "a b"), (2, "a  b"), (2, "q"), (None, "x y"), (None, "x  y"), (None, "z"), (None, "q")]
+    assert got(corpus_pipeline.drop_copies, rows) == count([(1, "a b"), (2, "q"), (None, "x y"), (None, "z")])
+
+    long = lambda mark: [f"{mark}{i}" for i in range(80)]
+    a, b, c, d = (long(x) for x in "abcd")
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, near(a)), (5, " ".join(b)), (5, " ".join(c)), (None, " ".join(d)), (None, near(d)), (6, near(b)), (None, near(c)), (None, "")]
+    kept = got(corpus_pipeline.drop_near_copies, rows)
+    assert sum(kept.values()) == 5 and sum(n for (i, _), n in kept.items() if i is None) == 2 and sum(n for (i, _), n in kept.items() if i == 5) == 2 and kept[None, ""] == 1
