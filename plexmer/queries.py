@@ -433,6 +433,6 @@ def cluster_separation(spark, sf):
 
 @_query()
 def feature_search(spark, sf):
-    """A short seeded search over the dense matrix: the history of its generations."""
+    """A seeded search over the dense matrix at the operator's defaults: the history of its generations."""
     m = long_matrix(spark, sf)
-    return search.run(spark, matrix.dense(m, 25), _groups(spark, sf), search.Config(individuals=40, generations=4, kmers=5, outer_rate=0.2, seed=1))
+    return search.run(spark, matrix.dense(m, 25), _groups(spark, sf), search.Config())

@@ -116,3 +116,13 @@ def test_search_restarts(spark):
     history = search.run(*args, outer=np.r_[-1, [0] * 5, -1, [0] * 5], keep=list(range(10))).collect()
     assert len(history) == 3 and all(max(r["kmers"]) < 10 for r in history)
     assert history == search.run(*args, outer=np.r_[-1, [0] * 5, -1, [0] * 5], keep=list(range(10))).collect()
+
+
+def test_registered_search_has_the_default_size(spark, monkeypatch):
+    from plexmer import queries
+    from plexmer.plans import search
+
+    seen = []
+    monkeypatch.setattr(queries.search, "run", lambda *a: seen.append(a[-1]))
+    queries.QUERIES["feature_search"](spark, "/root/testdata/sf0.001")
+    assert seen == [search.Config()]
