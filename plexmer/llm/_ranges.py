@@ -20,16 +20,21 @@ def id_splitters(df: DataFrame, key: str, buckets: int) -> list[int]:
     return sorted(set(got or []))
 
 
-def bucket_of(key: Column, splitters: list) -> Column:
-    """Number of splitters that are not above the key: a binary search unrolled into nested conditions; null is -1."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key >= F.lit(splitters[middle]), search(middle + 1, high)).otherwise(search(low, middle))
-
-    return F.when(key.isNull(), F.lit(-1)).otherwise(search(0, len(splitters)))
+def not_above(key: Column, cuts: list[Column]) -> Column:
+    """How many of the ascending literals `cuts` are not above the key, by binary search: one comparison for each power of two."""
+    if not cuts:
+        return F.lit(0)
+    table, n = F.array(*cuts), len(cuts)
+    steps = F.array(*(F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)))
+    # transform() over one element names the key, so that it is computed once
+    return F.element_at(
+        F.transform(F.array(key), lambda k: F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(table, at + step - 1) <= k), at + step).otherwise(at))), 1
+    )
+
+
+def bucket_of(key: Column, splitters: list[int]) -> Column:
+    """Number of splitters that are not above the bigint key; null is -1."""
+    return F.when(key.isNull(), F.lit(-1)).otherwise(not_above(key, [F.lit(s).cast("bigint") for s in splitters]))
 
 
 def wanted_buckets(spark: SparkSession) -> int:
