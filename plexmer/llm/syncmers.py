@@ -4,7 +4,8 @@ A k-mer here is `K` consecutive words; it is a closed syncmer when the smallest
 among its inner substrings of `S` words is that of the first or the last one.  The
 choice depends on the k-mer alone, so equal passages have equal anchors whatever
 surrounds them.  A fingerprint is every anchor in text order, its hash and its place (the
-number of its first word), in 16 hexadecimal digits.  Anchors of two texts are matched by hash, equal
+number of its first word), in 16 hexadecimal digits, eight for each.  A hash has 32 bits: of two texts with n and m
+anchors that share no word about n * m / 2**32 match by chance.  Anchors of two texts are matched by hash, equal
 ones in the order of their places, which gives the pairs of places of what both share;
 the likeness is matched anchors / all anchors of both (Jaccard similarity of the
 multisets), without sampling.
@@ -23,22 +24,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
 from ._ranges import bucket_of, id_splitters, wanted_buckets
 
 K = 5
 S = 2
 
-#: Words -> hash << 32 | place of the closed syncmers; the whole sequence where there is none.
+#: Words; hash << 32 | place of the closed syncmers; the whole sequence where there is none.
 _WORDS = r"filter(split({text}, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
 _PLACED = """
 element_at(transform(array({words}), ws ->
   IF(size(ws) = 0, CAST(array() AS ARRAY<BIGINT>),
-  element_at(transform(array(IF(size(ws) < 5, CAST(array() AS ARRAY<BIGINT>),
-    element_at(transform(array(transform(sequence(0, size(ws) - 2), i -> xxhash64(ws[i], ws[i + 1]))), p ->
-      filter(transform(sequence(0, size(ws) - 5), i ->
-        IF(least(p[i], p[i + 3]) <= least(p[i + 1], p[i + 2]), shiftleft(CAST(hash(p[i], p[i + 2], p[i + 3]) AS BIGINT), 32) | CAST(i AS BIGINT), CAST(NULL AS BIGINT))), x -> x IS NOT NULL)), 1))), found ->
-    IF(size(found) = 0, array(shiftleft(CAST(hash(concat_ws(' ', ws)) AS BIGINT), 32)), found)), 1))), 1)
+  element_at(transform(array(IF(size(ws) < {k}, CAST(array() AS ARRAY<BIGINT>),
+    element_at(transform(array(transform(sequence(0, size(ws) - {s}), i -> xxhash64({inner}))), p ->
+      filter(transform(sequence(0, size(ws) - {k}), i ->
+        IF(least(p[i], p[i + {last}]) <= least({between}), (xxhash64({cover}) & -4294967296L) | CAST(i AS BIGINT), CAST(NULL AS BIGINT))), x -> x IS NOT NULL)), 1))), found ->
+    IF(size(found) = 0, array(xxhash64(concat_ws(' ', ws)) & -4294967296L), found)), 1))), 1)
 """
 #: Anchors of both sorted by (hash, side, place) -> runs of one hash that both sides have -> pairs of places.
 _PAIRS = """
@@ -51,14 +51,19 @@ element_at(transform(array(sort_array(concat({a}, transform({b}, x -> x | 214748
 """
 
 
-def placed(text: str) -> Column:
-    """Hash and place (number of the first word) of every closed syncmer of a string column, in text order, in one number each."""
-    return F.expr(_PLACED.format(words=_WORDS.format(text=f"coalesce({text}, '')")))
+def placed(text: str, k: int = K, s: int = S) -> Column:
+    """Hash and place (number of the first word) of every closed syncmer of a string column, in text order, in one number each; 1 <= s <= k - 2."""
+    if not 1 <= s <= k - 2:
+        raise ValueError("inner substrings must be shorter than the k-mer by two words at least")
+    inner = ", ".join(f"ws[i + {j}]" for j in range(s))
+    between = ", ".join(f"p[i + {j}]" for j in ([*range(1, k - s)] * 2)[: max(2, k - s - 1)])  # least() takes two at least
+    cover = ", ".join(f"p[i + {j}]" for j in sorted({*range(0, k - s + 1, s), k - s}))  # inner substrings that cover the k-mer
+    return F.expr(_PLACED.format(words=_WORDS.format(text=f"coalesce({text}, '')"), k=k, s=s, last=k - s, inner=inner, between=between, cover=cover))
 
 
-def anchors(text: str) -> Column:
+def anchors(text: str, k: int = K, s: int = S) -> Column:
     """Hashes of the closed syncmers of a string column, in text order."""
-    return F.transform(placed(text), lambda x: F.shiftright(x, 32).cast("int"))
+    return F.transform(placed(text, k, s), lambda x: F.shiftright(x, 32).cast("int"))
 
 
 def written(of: str) -> Column:

@@ -249,6 +249,46 @@ def test_syncmers(spark, docs, rows, empty):
     assert set(hashes["b"]) <= set(hashes["a"])  # free of context
 
 
+def plain_anchors(text, k=5, s=2):
+    """[(hash, place)] of the closed syncmers by the definition, one k-mer at a time."""
+    import xxhash
+
+    def chained(parts):
+        seed = 42
+        for part in parts:
+            seed = xxhash.xxh64_intdigest(part, seed)
+        return seed
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words, found = words_of(text), []
+    for i in range(len(words) - k + 1):
+        inner = [signed(chained(w.encode() for w in words[i + j : i + j + s])) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            cover = sorted({*range(0, k - s + 1, s), k - s})
+            found.append((chained((inner[j] & (1 << 64) - 1).to_bytes(8, "little") for j in cover) >> 32, i))
+    return found or ([(chained([" ".join(words).encode()]) >> 32, 0)] if words else [])
+
+
+def test_syncmers_against_a_plain_version(spark, docs, rows):
+    written = lambda found: "".join(f"{h:08X}{i:08X}" for h, i in found)
+
+    def near(a, b):
+        a, b = (collections.Counter(h for h, _ in x) for x in (a, b))
+        return sum((a & b).values()) / sum((a | b).values()) if a or b else 1.0
+
+    got = collections.Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in syncmers.syncmer_fingerprints(docs).collect())
+    order, want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), collections.Counter()
+    for row, after in zip(order, order[1:] + order[:1]):
+        text, next_text = row[1] or "", after[1] or ""
+        own, other, edited = (plain_anchors(t) for t in (text, next_text, text[: len(text) - len(text) // 2] + next_text[: len(text) // 2]))
+        want[row[0], written(own), written(edited), round(near(own, edited), 9), round(near(own, other), 9)] += 1
+    assert got == want
+    texts = spark.createDataFrame([(r[1],) for r in rows if r[1] and len(r[1]) < 3000], "t string")
+    for k, s in ((3, 1), (7, 3), (6, 4)):
+        for r in texts.select("t", syncmers.placed("t", k, s).alias("a")).collect():
+            assert [(x >> 32 & 0xFFFFFFFF, x & 0xFFFFFFFF) for x in r["a"]] == plain_anchors(r["t"], k, s)
+
+
 def test_syncmers_of_short_texts(spark):
     texts = [" ".join(f"{i}x{j}" for j in range(n)) for n in (1, 4, 5, 6, 7) for i in range(20)]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000, "")], "doc_id bigint, text string")
