@@ -215,6 +215,37 @@ def test_packing_and_token_files(spark, docs, rows, empty):
     assert token_files.read_token_files(token_files.write_token_files(empty, folder), folder).count() == 0
 
 
+def test_harmonic_bins():
+    rng, size = random.Random(6), packing.tokens
+    for capacity, count in ((64, 0), (64, 1), (64, 300), (256, 400)):
+        bins, closed, want = packing.HarmonicBins(capacity, 0), [], []
+        for i in range(count):
+            n = rng.choice((rng.randint(1, 5), rng.randint(1, capacity // 2), capacity // rng.randint(1, 8), rng.randint(1, 4 * capacity)))
+            want.append(n)
+            closed += bins.put(i, np.arange(n, dtype="<u4").tobytes())
+        in_time = len(closed)
+        for sequence in closed:  # k whole pieces of class k and a head, or a whole sequence
+            k = capacity // max(size(p) for p, *_ in sequence[:-1]) if len(sequence) > 1 else 0
+            assert k in (0, len(sequence), len(sequence) - 1) and all(capacity // size(p) == k for p, *_ in sequence[:-1])
+            assert sum(size(p) for p, *_ in sequence) == capacity
+        assert sum(size(p) for b in bins.open.values() for p in b) < capacity * max(1, len(bins.open))
+        closed += bins.finish()
+        got = collections.defaultdict(list)
+        for sequence in closed[in_time:]:
+            assert (n := sequence[0][3]) == sum(size(p) for p, *_ in sequence) <= capacity and n & (n - 1) == 0
+        for sequence in closed:
+            assert [x[2] for x in sequence] == np.cumsum([0, *(size(p) for p, *_ in sequence[:-1])]).tolist()
+            for p, *_ in sequence:
+                (doc, start, ids, total), n = p, size(p)
+                assert np.frombuffer(ids, "<u4").tolist() == list(range(start, start + n))
+                got[doc].append((start, n))
+                assert total == want[doc]
+        for doc, n in enumerate(want):
+            ends = np.cumsum([0, *(m for _, m in sorted(got[doc]))])
+            assert [start for start, _ in sorted(got[doc])] == ends[:-1].tolist() and ends[-1] == n
+        assert sum(map(len, got.values())) <= count + len(closed)  # a cut a sequence
+
+
 def test_mixture(spark, docs, rows, empty):
     assert mixture.targets([10, 10, 10]) == pytest.approx([5, 10, 15]) and mixture.targets([1, 1, 28]) == pytest.approx([3, 3, 24])
     got = mixture.mix(docs).collect()
