@@ -3,7 +3,8 @@
 Byte-pair merges never leave a pre-token, and pre-tokens never join text on both
 sides of a split made here, so each distinct chunk is encoded once per worker and
 its ids are remembered as packed little-endian 32-bit integers.  Texts with white
-space outside ASCII are encoded whole (rules may treat it as a separator).
+space outside ASCII, or with the string of an added token (which cuts a text before any rule),
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -77,11 +78,13 @@ class Encoder:
         # a single pre-token needs the merges alone
         model, letters = tokenizer.model, _byte_letters()
         one = lambda text: np.array([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+        added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) if added else "(?!)", re.I)
         self.memory = _Memory(self.whole, one, kind == "word")
         self.split = bytes.split if kind == "word" else _BYTE_CHUNKS.findall
 
     def __call__(self, text: str) -> bytes:
-        if _WIDE_SPACE.search(text):
+        if _WIDE_SPACE.search(text) or self.special.search(text):
             return self.whole(text)
         return b"".join(map(self.memory.__getitem__, self.split(text.encode())))
 

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import materialise, small_batches, workspace
@@ -121,9 +121,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     cut = id_splitters(rows, "doc_id", files)
     placed = rows.withColumn("bucket", bucket_of(F.col("doc_id"), cut)).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text")
     manifest = materialise(placed.mapInArrow(_write(folder, path, end_id.to_bytes(4, "little"), width), MANIFEST), "manifest")
-    # a row a file: the ids before each file are a sum over the manifest, not over documents
-    before = manifest.alias("m").join(manifest.select(F.col("bucket").alias("b"), F.col("tokens").alias("t")).alias("o"), F.col("b") < F.col("bucket"), "left")
-    return before.groupBy("bucket", "path", "documents", "tokens", "sequences").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("first"))
+    # a row a file, at most `files`: the ids before each are summed over the manifest, not over documents
+    before = F.sum("tokens").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return manifest.withColumn("first", F.coalesce(before, F.lit(0)).cast("bigint"))
 
 
 def _read(folder: str):

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plexmer.llm import _words, mixture, ngram_join, packing, syncmers, token_files, toxicity, warc
+from plexmer.llm import _tokens, _words, mixture, ngram_join, packing, syncmers, token_files, toxicity, warc
 from plexmer.llm._common import workspace
 from plexmer.llm._graph import components
 from plexmer.llm.content_sort import content_sort_dedup
@@ -246,6 +246,19 @@ def test_harmonic_bins():
         assert sum(map(len, got.values())) <= count + len(closed)  # a cut a sequence
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_ids_of_random_strings(name, kind):
+    from tokenizers import Tokenizer
+
+    path, rng = token_files.default_tokenizer(name), random.Random(9)
+    tokenizer, encode = Tokenizer.from_file(path), _tokens.encoder(path, kind)
+    parts = ["a", "B", "the", "'s", "'LL", "it's", "é", "É", "ß", "e\u0301", "İ", "1", "42", "###", "&&&", "$", ".", ",", "-", "_", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2028", "\u3000", "漢字", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endof", "text|>", "\0"]
+    for _ in range(100):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(1000)]
+        for text, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(encode(text), "<u4").tolist() == want.ids, repr(text)
+
+
 def test_mixture(spark, docs, rows, empty):
     assert mixture.targets([10, 10, 10]) == pytest.approx([5, 10, 15]) and mixture.targets([1, 1, 28]) == pytest.approx([3, 3, 24])
     got = mixture.mix(docs).collect()
