@@ -42,9 +42,12 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 def with_row_id(df: DataFrame, tag: str) -> DataFrame:
     """`df` with row_id, a text that tells every row from all others and is the same whenever the result is read.
 
-    Rows of a plain Parquet table are named by file and number in it; others are written first.
+    Rows of a Parquet table, and of a selection of its columns, are named by file and number in it; others are written first.
     """
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() == "Project":
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
         df = materialise(df, tag)
     return df.select("*", F.concat_ws("#", F.col("_metadata.row_index"), F.col("_metadata.file_path")).alias("row_id"))
 

@@ -9,6 +9,9 @@
 Of records with equal payloads of at least `LEAST` bytes the one with the smallest
 page_id is a response and the others revisit it; shorter ones are all responses.
 
+A record's identifier is made of its page_id and its row's place in the input, so no two are alike and
+the record that a revisit refers to exists.
+
 Files get a name of the task's attempt and count only once they are in the manifest
 that the driver reads (a row a file), so repeated or lost tasks leave no trace in
 results.
@@ -33,7 +36,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_batches
+from ._common import materialise, small_batches, with_row_id
 
 LEAST = 100
 CHUNK = 1 << 20
@@ -46,18 +49,26 @@ def _safe(url: str) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url)
 
 
-def record(page_id: int | None, number: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record, without compression.  A revisit's block is the HTTP header alone, which states the payload's length."""
+def _name(page_id: int | None, row: str) -> str:
+    """Identifier of a page's record; the row tells pages of one id apart."""
+    return f"<urn:page:{'none' if page_id is None else page_id}:{row}>"
+
+
+def record(page_id: int | None, row: str, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_row: str | None) -> bytes:
+    """One WARC/1.1 record, without compression, of a page in a row; a revisit names the record of its response.
+
+    A revisit's block is the HTTP header alone, which states the payload's length.
+    """
     kind = "response" if refers_to is None else "revisit"
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}:{number}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_name(page_id, row)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_safe(url)}")
     if page_id is not None:
         lines.append(f"WARC-Page-ID: {page_id}")
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: {_name(refers_to, refers_row)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + _CRLF + _CRLF
 
@@ -119,12 +130,12 @@ def _write(folder: str, level: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
         for batch in batches:
-            for number, (page_id, url, payload, digest, refers_to) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True)):
+            for page_id, row, url, payload, digest, refers_to, refers_row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "row", "url", "payload", "digest", "refers_to", "refers_row")), strict=True):
                 if out is None:
                     system, root = _open(folder)
                     path = f"{root}/{uuid.uuid4().hex}.warc.gz"
                     out, packer, count, size = system.open_output_stream(path, compression=None), zlib.compressobj(level, zlib.DEFLATED, 31), 0, 0
-                data = packer.compress(record(page_id, number, url, payload, digest, refers_to))
+                data = packer.compress(record(page_id, row, url, payload, digest, refers_to, refers_row))
                 size += len(data)
                 count += 1
                 out.write(data)
@@ -140,12 +151,14 @@ def _write(folder: str, level: int):
 def write_warc(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Write `pages` (page_id, url, html) into whole-file gzip archives below `folder`; the manifest."""
     small_batches(pages.sparkSession, 512)
-    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
+    rows = with_row_id(pages, "pages").withColumn("digest", F.sha2("payload", 256)).withColumn("row", F.substring(F.sha2("row_id", 256), 1, 32)).drop("row_id")
     # one narrow row for each repeated payload; sums are taken before the shuffle
-    repeated = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    refers_to = F.when(F.octet_length("payload") >= LEAST, F.expr("IF(page_id <=> first, null, first)"))
-    joined = rows.join(repeated, "digest", "left").select("page_id", "url", "payload", "digest", refers_to.alias("refers_to"))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "row")))
+    repeated = rows.where(F.octet_length("payload") >= LEAST).groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    is_first = F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    refers = [F.when(~is_first & (F.octet_length("payload") >= LEAST), F.col(f"first.{c}")).alias(f"refers_{x}") for c, x in (("page_id", "to"), ("row", "row"))]
+    joined = rows.join(repeated, "digest", "left").select("page_id", "row", "url", "payload", "digest", *refers)
     return materialise(joined.mapInArrow(_write(folder, level), MANIFEST), "warc-written")
 
 
@@ -193,7 +206,7 @@ def parse_record(whole: bytes) -> tuple:
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"damaged record {headers['warc-record-id']}")
     number, refers = headers.get("warc-page-id"), headers.get("warc-refers-to")
-    return number and int(number), headers.get("warc-target-uri"), kind, refers and int(refers[len("<urn:page:") : -1]), digest, size, payload if kind == "response" else None
+    return number and int(number), headers.get("warc-target-uri"), kind, refers and int(refers.split(":")[2]), digest, size, payload if kind == "response" else None
 
 
 def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -395,6 +395,13 @@ def test_warc(spark):
     size = lambda h: len((h or "").encode())
     digest = lambda h: hashlib.sha256((h or "").encode()).hexdigest()
     assert kinds == collections.Counter((i, "revisit" if h == long and i != 1 else "response", 1 if h == long and i != 1 else None, size(h), digest(h)) for i, _, h in rows)
+    names, refers = [], set()  # identifiers are unique, and those referred to exist
+    for at in {(r["path"]) for r in got}:
+        with pa.OSFile(at) as file:
+            for headers, _ in (x for data in warc.inflated(file.read) for x in cutter.feed(data)) if (cutter := warc.RecordCutter()) else ():
+                names.append(headers["warc-record-id"])
+                refers |= {headers.get("warc-refers-to")} - {None}
+    assert len(names) == len(set(names)) == len(rows) and refers and refers <= set(names)
     none = pages.limit(0)
     folder = workspace(spark, "test")
     assert warc.read_warc(warc.normalise_warc(warc.write_warc(none, f"{folder}/whole"), f"{folder}/records"), folder).count() == 0
