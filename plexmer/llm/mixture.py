@@ -8,18 +8,19 @@ fractional parts are rounded by the pivotal method: two documents meet, one pass
 words to the other at random until one of them is all in or all out, and the rest goes
 on.  A meeting keeps the sum of words due, and on average what each document is due.
 
-1. The fewer than `HEAD` documents of a source with more than a `HEAD`-th of its words
-   meet, largest first, all smaller ones as one body, whose due changes evenly.
-2. The others meet in blocks of about the same size, by rising size, so that copies too
-   come near the target; each block leaves one residual, and residuals meet in blocks
-   again until one is left for each source (a reduction tree of fan-in `FAN_IN`).
-
-So the words of a source miss its target by about one of its small documents.
-Randomness is a hash of ids and a seed, and the order of meetings is fixed, so
-reruns agree, whatever the partitioning.
-
-Defined cases: null text has size 0 (and is never counted as words, though it takes
-part in rounding); repeated rows are rounded one by one; an empty table gives an
+Meetings are in an order that ends with small documents.  Documents meet in `ROUNDS` rounds by their share of
+the source's words, the largest first.  In a round every document meets others of about its
+size in blocks of about `FAN_IN`; each block leaves one residual, and residuals meet in blocks again
+until one is left for each source (a reduction tree).  The last residual of a round meets
+all documents of the later rounds as one body: it becomes integral, and what the body
+passes changes the due of all of its documents evenly.  So the words of a source miss its target by
+the last residual of its last round at most, a document of about the smallest size it has.
+
+Randomness is a hash of ids, sizes and a seed, and the order of meetings is fixed, so
+reruns agree, whatever the partitioning.  Sources stay in tables; a few sums of all of them go through the driver.
+
+Defined cases: null text has size 0 (it takes part in rounding, no word depends on it); null doc_ids are ids like any
+other; rows equal in doc_id, source and size are counted first and rounded one by one, each under a number of its own; an empty table gives an
 empty result; a source without words has target 0 and takes 0; other columns are
 ignored by the plan and kept by `apply_mix`.
 """
@@ -28,43 +29,28 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, materialise
+from ._common import SPACE, materialise, shuffle_width, with_row_id
 
 MOST = 3
 FAN_IN = 128
-HEAD = 256
+#: Rounds, each for documents down to a `STEP`-th of the share of the one before.
+ROUNDS = 7
+STEP = 4
 UNIT = 1 << 30
+#: Equal rows that one row of the count stands for are written out in runs of this length.
+RUN = 4096
 
 
-def n_words(text: str = "text") -> F.Column:
+def n_words(text: str = "text") -> Column:
     """Number of words: the pieces between white space that are not empty."""
     return F.size(F.filter(F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), SPACE), lambda w: w != "")).cast("bigint")
 
 
-def targets(sizes: list[int], most: float = MOST) -> list[float]:
-    """Targets of sources in order; weights 1, 2, 3 repeat."""
-    weights = [1 + i % 3 for i in range(len(sizes))]
-    goal, open_ = [0.0] * len(sizes), set(range(len(sizes)))
-    left = float(sum(sizes))
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        above = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not above:
-            for i in open_:
-                goal[i] = left * weights[i] / weight
-            break
-        for i in above:
-            goal[i] = float(most * sizes[i])
-        left -= sum(goal[i] for i in above)
-        open_ -= set(above)
-    return goal
-
-
 #: aggregate() over items (m, c, h, row), m of c due, in 2**-30 words: `held` keeps a fraction, `out` gets the rows that became integral.
-_ROW = "STRUCT<doc_id: BIGINT, size: BIGINT>"
+_ROW = "STRUCT<doc_id: BIGINT, size: BIGINT, nth: BIGINT>"
 _ITEM = f"STRUCT<m: BIGINT, c: BIGINT, h: BIGINT, row: {_ROW}>"
 _TO_HELD, _TO_NEXT = "least(s.held.c - s.held.m, x.m)", "least(s.held.m, x.c - x.m)"
 _PIVOT = f"""
@@ -84,90 +70,117 @@ aggregate(items,
                        named_struct('one', CASE x.m - d WHEN 0 THEN 0 WHEN x.c THEN 1 END, 'row', x.row)), o -> o.one IS NOT NULL)))), 1)
   END)
 """
-#: Copies due, in 2**-30, by what is left of the target and of the words.
-_DUE = f"coalesce(CAST(least({{most}} * {UNIT}D, greatest(0D, round(try_divide(s.left, s.words) * {UNIT}))) AS BIGINT), 0L)"
-#: aggregate() over the large documents: each is settled, and the target of the rest takes up the difference.
-_LARGE = f"""
-aggregate(items,
-  CAST(named_struct('left', target, 'words', source_size, 'out', array()) AS STRUCT<left: DOUBLE, words: DOUBLE, out: ARRAY<STRUCT<copies: BIGINT, row: {_ROW}>>>),
-  (s, x) -> element_at(transform(array({_DUE}), due -> element_at(transform(array(due DIV {UNIT}L + IF(x.h % {UNIT}L < due % {UNIT}L, 1L, 0L)),
-    n -> named_struct('left', s.left - n * CAST(x.row.size AS DOUBLE), 'words', s.words - CAST(x.row.size AS DOUBLE), 'out', array_append(s.out, named_struct('copies', n, 'row', x.row)))), 1)), 1))
-"""
-
-
-def _source_table(rows: DataFrame, most: float) -> DataFrame:
-    """One row a source: its size and target.
 
-    One row for each source, not for each document, goes through the driver.
-    """
-    found = rows.groupBy("source").agg(F.sum("size").alias("source_size")).collect()
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    goal = targets([r["source_size"] for r in found], most)
-    table = []
-    for r, t in zip(found, goal, strict=True):
-        cells = (("source", r["source"], "string"), ("source_size", r["source_size"], "bigint"), ("target", t, "double"))
-        table.append(F.struct(*(F.lit(v).cast(kind).alias(name) for name, v, kind in cells)))
-    empty = "CAST(array() AS ARRAY<STRUCT<source: STRING, source_size: BIGINT, target: DOUBLE>>)"
-    return rows.sparkSession.range(1).select(F.inline(F.array(*table) if table else F.expr(empty)))
 
-
-def mix(docs: DataFrame, most: float = MOST, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row of `docs` (doc_id, text, source)."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
-    rows = materialise(rows, "sizes")
-    sources = materialise(_source_table(rows, most), "sources")
-    named = sources.withColumnRenamed("source", "s")
-    same = F.col("source").eqNullSafe(F.col("s"))
-    hashed = F.expr(f"shiftrightunsigned(xxhash64(doc_id, size, {seed + 1}L), 1)")
-    is_large = F.col("size").cast("double") * HEAD > F.col("source_size")
-    large = rows.join(named, same).where(is_large).select("s", F.struct((-F.col("size")).alias("by"), F.col("doc_id"), hashed.alias("h"), F.struct("doc_id", "size").alias("row")).alias("item"))
-    # fewer than HEAD rows a source
-    large = large.groupBy(F.col("s").alias("large")).agg(F.array_sort(F.collect_list("item")).alias("items"))
-    settled = named.join(large, F.col("s").eqNullSafe(F.col("large")), "left").withColumn("items", F.expr(f"coalesce(transform(items, x -> named_struct('h', x.h, 'row', x.row)), CAST(array() AS ARRAY<STRUCT<h: BIGINT, row: {_ROW}>>))"))
-    settled = settled.select("s", "source_size", "target", F.expr(_LARGE.format(most=most)).alias("r"))
-    settled = settled.withColumn("due", F.expr(_DUE.replace("s.", "r.").format(most=most)))
-    settled = materialise(settled.select("s", "source_size", "target", F.expr(f"due DIV {UNIT}L").alias("whole"), F.expr(f"due % {UNIT}L").alias("part"), "r.out"), "large")
-    named = settled.drop("out")
-
-    # size classes a twelfth of a doubling wide, numbered in order; each has blocks of about FAN_IN documents
-    small = rows.join(named, same).where(~is_large).withColumn("k", F.floor(F.log2(F.col("size") + 1) * 12).cast("int"))
-    classes = small.groupBy(F.col("source").alias("c"), F.col("k").alias("klass")).agg(F.ceil(F.count("*") / FAN_IN).alias("blocks"))
-    classes = materialise(classes.withColumn("from", F.sum("blocks").over(Window.partitionBy("c").orderBy("klass")) - F.col("blocks")), "classes")
-    most_blocks = classes.groupBy("c").agg(F.sum("blocks").alias("n")).agg(F.max("n")).first()[0] or 1
-    levels = math.ceil(math.log(most_blocks, FAN_IN) - 1e-9)
-
-    items = small.join(classes, F.col("source").eqNullSafe(F.col("c")) & (F.col("k") == F.col("klass"))).select(
-        "source", (F.col("part") * F.col("size")).alias("m"), (F.lit(UNIT).cast("bigint") * F.col("size")).alias("c"), F.struct("doc_id", "size").alias("row"),
-        F.expr(f"`from` + pmod(xxhash64(doc_id, size, {seed}L), blocks)").alias("block"), hashed.alias("h"),
+def ranked_sources(rows: DataFrame) -> DataFrame:
+    """source, source_size, weight for every source of `rows` (source, size, n); numbered in ranges, not in one task."""
+    found = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    by = F.col("source").asc_nulls_last()
+    placed = materialise(found.repartitionByRange(shuffle_width(rows.sparkSession), by).withColumn("part", F.spark_partition_id()), "sources")
+    # a row for each range
+    counts = placed.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1 + F.col("before")
+    return placed.join(F.broadcast(counts), "part").select("source", "source_size", (1 + number % 3).alias("weight"))
+
+
+def with_targets(sources: DataFrame, most: float = MOST) -> DataFrame:
+    """`sources` (source, source_size, weight) with target; each round of sharing is one aggregate."""
+    goal = lambda left, weight: F.lit(float(left)) * F.col("weight") / F.lit(weight)
+    limit = F.lit(float(most)) * F.col("source_size")
+    whole = sources.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    left, weight, stopped = whole["size"] or 0, whole["weight"] or 1, 0
+    while True:
+        above = goal(left, weight) > limit
+        found = sources.agg(F.count_if(above).alias("n"), F.sum(F.when(above, F.col("source_size"))).alias("size"), F.sum(F.when(~above, F.col("weight"))).alias("weight")).first()
+        if (found["n"] or 0) <= stopped or not found["weight"]:
+            return sources.withColumn("target", F.when(above, limit).otherwise(goal(left, weight)))
+        stopped, left, weight = found["n"], (whole["size"] or 0) - most * found["size"], found["weight"]
+
+
+def _tree(items: DataFrame, classes: DataFrame, levels: int, tag: str) -> tuple[DataFrame, DataFrame]:
+    """(source, one, row) of the documents that meetings made integral, and the last residual of each source (source, m, c, h, row)."""
+    items = items.join(classes, items["source"].eqNullSafe(classes["c_source"]) & (items["k"] == classes["klass"])).select(
+        "source", "m", "c", "row", F.expr("`from` + pmod(xxhash64(row.doc_id, row.size, row.nth, h), blocks)").alias("block"), "h"
     )
-    done = None
+    done = residual = None
     for level in range(levels + 1):
         if level:
             # the residuals of FAN_IN neighbouring blocks meet
             items = residual.select("source", "m", "c", "row", F.expr(f"block DIV {FAN_IN}").alias("block"), F.expr(f"shiftrightunsigned(xxhash64(row.doc_id, row.size, h, {level}L), 1)").alias("h"))
-        group = items.groupBy("source", "block").agg(F.expr("array_sort(collect_list(named_struct('size', row.size, 'doc_id', row.doc_id, 'm', m, 'c', c, 'h', h, 'row', row)))").alias("items"))
+        group = items.groupBy("source", "block").agg(F.expr("array_sort(collect_list(named_struct('size', row.size, 'doc_id', row.doc_id, 'nth', row.nth, 'm', m, 'c', c, 'h', h, 'row', row)))").alias("items"))
         group = group.withColumn("items", F.expr("transform(items, x -> named_struct('m', x.m, 'c', x.c, 'h', x.h, 'row', x.row))")).withColumn("r", F.expr(_PIVOT))
-        group = materialise(group.select("source", "block", "r"), f"level{level}")
+        group = materialise(group.select("source", "block", "r"), f"{tag}-{level}")
         out = group.select("source", F.inline("r.out"))
         done = out if done is None else done.unionByName(out)
         residual = group.where("r.held IS NOT NULL").select("source", "block", "r.held.m", "r.held.c", "r.held.h", "r.held.row")
-    # one residual at most is left for each source
-    last = residual.select("source", F.expr("IF(h % c < m, 1, 0)").alias("one"), "row")
-    done = done.unionByName(last)
-    counted = done.join(named, same).select("source", "source_size", "target", "row", (F.col("whole") + F.col("one")).alias("copies"))
-    counted = counted.unionByName(settled.select(F.col("s").alias("source"), "source_size", "target", F.inline("out")).select("source", "source_size", "target", "row", "copies"))
-    return counted.select("row.doc_id", "source", "row.size", "source_size", "target", "copies", (F.col("copies") * F.col("row.size")).alias("taken"))
+    return done, residual
+
+
+def mix(docs: DataFrame, most: float = MOST, seed: int = 0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken for every row of `docs` (doc_id, text, source)."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"))
+    rows = materialise(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n")), "sizes")
+    sources = materialise(with_targets(ranked_sources(rows), most).select(F.col("source").alias("s"), "source_size", "target"), "targets")
+    same = F.col("source").eqNullSafe(F.col("s"))
+
+    share = F.lit(0)
+    for i in range(1, ROUNDS):
+        share = share + (F.col("size").cast("double") * STEP**i <= F.col("source_size")).cast("int")
+    # size classes a twelfth of a doubling wide, numbered in order; each has blocks of about FAN_IN documents
+    klass = F.floor(F.log2(F.col("size") + 1) * 12).cast("int")
+    placed = rows.join(sources.select("s", "source_size"), same).select("doc_id", "source", "size", "n", share.alias("round"), klass.alias("k"))
+    classes = placed.groupBy("round", F.col("source").alias("c_source"), F.col("k").alias("klass")).agg(F.ceil(F.sum("n") / FAN_IN).alias("blocks"), F.sum(F.col("size") * F.col("n")).alias("words"))
+    classes = materialise(classes.withColumn("from", F.sum("blocks").over(Window.partitionBy("round", "c_source").orderBy("klass")) - F.col("blocks")), "classes")
+    most_blocks = dict(classes.groupBy("round", "c_source").agg(F.sum("blocks").alias("n")).groupBy("round").agg(F.max("n")).collect())  # a number for each round
+
+    # what is left of the target, and the words it is left for
+    state = sources.select("s", F.col("target").alias("left"), F.col("source_size").alias("words"))
+    counted = None
+    for i in sorted(most_blocks):
+        due = F.coalesce(F.least(F.lit(most * float(UNIT)), F.greatest(F.lit(0.0), F.round(F.try_divide("left", "words") * UNIT))).cast("bigint"), F.lit(0))
+        state = materialise(state.withColumn("due", due).select("s", "left", "words", F.expr(f"due DIV {UNIT}L").alias("whole"), F.expr(f"due % {UNIT}L").alias("part")), f"due{i}")
+        own = placed.where(F.col("round") == i).withColumn("nth", F.explode(F.expr(f"sequence(0L, (n - 1) DIV {RUN})")))
+        own = own.withColumn("nth", F.explode(F.expr(f"sequence(nth * {RUN}, least(n, (nth + 1) * {RUN}) - 1)")))
+        items = own.join(state, same).select(
+            "source", "k", (F.col("part") * F.col("size")).alias("m"), (F.lit(UNIT).cast("bigint") * F.col("size")).alias("c"), F.struct("doc_id", "size", "nth").alias("row"),
+            F.expr(f"shiftrightunsigned(xxhash64(doc_id, size, nth, {seed}L), 1)").alias("h"),
+        )
+        levels = math.ceil(math.log(most_blocks[i], FAN_IN) - 1e-9)
+        done, residual = _tree(items, classes.where(F.col("round") == i), levels, f"round{i}")
+        # the residual meets the body of all later documents, which takes up the difference
+        done = done.unionByName(residual.select("source", F.expr("IF(h % c < m, 1, 0)").alias("one"), "row"))
+        done = done.join(state.select("s", "whole"), same).select("source", "row", (F.col("whole") + F.col("one")).alias("copies"))
+        counted = done if counted is None else counted.unionByName(done)
+        if i != max(most_blocks):
+            taken = done.groupBy(F.col("source").alias("t")).agg(F.sum(F.col("copies") * F.col("row.size")).alias("taken"), F.sum("row.size").alias("met"))
+            state = state.join(taken, F.col("s").eqNullSafe(F.col("t")), "left").select("s", (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left"), (F.col("words") - F.coalesce("met", F.lit(0))).alias("words"))
+    if counted is None:
+        counted = rows.select("source", F.struct("doc_id", "size", F.lit(0).cast("bigint").alias("nth")).alias("row"), F.lit(0).cast("bigint").alias("copies"))
+    counted = counted.join(sources, same).select("row.doc_id", "source", "row.size", "source_size", "target", "copies")
+    return counted.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def numbered(rows: DataFrame, keys: list[str], row: str, ways: int = 64) -> DataFrame:
+    """`rows` with nth, the number from 1 of each among those of its keys (which may be null); a key's rows are numbered in `ways` parts."""
+    part = rows.withColumn("_part", F.pmod(F.xxhash64(row), F.lit(ways)).cast("int"))
+    counts = part.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    counts = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_part").alias("_p"), (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")).alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(row)) + F.col("_before")
+    return part.join(counts, same).select(*rows.columns, nth.alias("nth"))
 
 
 def apply_mix(docs: DataFrame, most: float = MOST, seed: int = 0) -> DataFrame:
-    """`docs` with every row repeated as often as the mix takes it; rows taken 0 times go.
-
-    Rows that agree in doc_id and source get their copies in order of size.
-    """
-    key = F.xxhash64("doc_id", "source")
-    plan = mix(docs, most, seed).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source")).agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias("_plan"))
-    plan = plan.withColumn("_key", F.xxhash64("_id", "_source"))
-    joined = docs.withColumn("_at", key).join(plan, (F.col("_at") == F.col("_key")) & docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
-    joined = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_at", "_id", "_source").orderBy(n_words())))
-    copies = F.element_at("_plan", F.col("_nth"))["copies"]
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*docs.columns)
+    """`docs` with every row repeated as often as the mix takes it; rows taken 0 times go."""
+    key = ["_id", "_source", "_size"]
+    with_id = with_row_id(docs, "mixed")
+    rows = with_id.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("source").cast("string").alias("_source"), n_words().alias("_size"), F.col("row_id").alias("_row"))
+    # of equal rows so many get each number of copies: a few numbers a key
+    plan = mix(docs, most, seed).groupBy("doc_id", "source", "size", "copies").agg(F.count("*").alias("n"))
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.array_sort(F.collect_list(F.struct("copies", "n"))).alias("plan"))
+    same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
+    at = F.expr("aggregate(plan, named_struct('before', 0L, 'copies', 0L), (s, x) -> IF(nth > s.before, named_struct('before', s.before + x.n, 'copies', x.copies), s))")["copies"]
+    chosen = numbered(rows, key, "_row").join(plan, same).select(F.col("_row").alias("row_id"), at.cast("int").alias("_copies")).where("_copies > 0")
+    return with_id.join(chosen, "row_id").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -260,7 +260,21 @@ def test_ids_of_random_strings(name, kind):
 
 
 def test_mixture(spark, docs, rows, empty):
-    assert mixture.targets([10, 10, 10]) == pytest.approx([5, 10, 15]) and mixture.targets([1, 1, 28]) == pytest.approx([3, 3, 24])
+    for sizes in ([10, 10, 10], [1, 1, 28], [5], [0, 0], [100, 1, 1, 1, 900, 3, 0, 50]):
+        # the plain rule: share by weight, stop at three times the size, share the excess anew
+        want, open_ = [3.0 * n for n in sizes], set(range(len(sizes)))
+        while open_:
+            left, weight = sum(sizes) - sum(want[i] for i in range(len(sizes)) if i not in open_), sum(1 + i % 3 for i in open_)
+            above = {i for i in open_ if left * (1 + i % 3) / weight > 3 * sizes[i]}
+            if not above:
+                for i in open_:
+                    want[i] = left * (1 + i % 3) / weight
+                break
+            open_ -= above
+        names = ["", "A", "B", "a", "ab", "z", "é", "漢"][: len(sizes) - 1] + [None]  # code points in UTF-8 order, null last
+        frame = spark.createDataFrame([(n, size, 1) for n, size in zip(names, sizes)], "source string, size bigint, n bigint")
+        table = {r["source"]: r["target"] for r in mixture.with_targets(mixture.ranked_sources(frame)).collect()}
+        assert [table[n] for n in names] == pytest.approx(want)
     got = mixture.mix(docs).collect()
     assert collections.Counter((r["doc_id"], r["source"], r["size"]) for r in got) == collections.Counter((r[0], r[3], len(words_of(r[1]))) for r in rows)
     assert all(0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] for r in got)
@@ -274,12 +288,42 @@ def test_mixture(spark, docs, rows, empty):
     mixed = mixture.mix(uneven).toPandas()
     by_source = mixed.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert ((by_source["taken"] - by_source["target"]).abs() <= 30).all()
+    assert (mixed.groupby("source")["size"].count() == 20).all()
     mixed["due"], mixed["large"] = mixed["target"] / mixed["source_size"], mixed["size"] == 380
     for _, part in mixed.groupby([mixed["due"].round(6), "large"]):
         assert part["copies"].mean() == pytest.approx(part["due"].iloc[0], abs=0.2)
+    # a hundred thousand equal rows are rounded one by one
+    equal = spark.range(100_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b c").alias("text"), F.expr("IF(id % 4 = 0, 's', 't')").alias("source"))
+    for r in mixture.mix(equal).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).collect():
+        assert abs(r["taken"] - r["target"]) <= 3 and r["n"] in (25_000, 75_000)
+    assert mixture.apply_mix(equal).count() == mixture.mix(equal).agg(F.sum("copies")).first()[0]
     assert mixture.mix(empty).count() == 0
 
 
+def test_meetings(spark):
+    """Blocks of documents against a plain version of their meetings, with the same random numbers."""
+    rng, blocks = random.Random(3), []
+    for b in range(300):
+        sizes = sorted(rng.randint(0, 50) for _ in range(rng.randint(1, 12)))
+        blocks.append((b, [(rng.randrange(size) if size else 0, size, rng.randrange(1 << 40), (i, size, 0)) for i, size in enumerate(sizes)]))
+    frame = spark.createDataFrame(blocks, "b int, items array<struct<m: bigint, c: bigint, h: bigint, row: struct<doc_id: bigint, size: bigint, nth: bigint>>>")
+    for r in frame.select("b", "items", F.expr(mixture._PIVOT).alias("r")).collect():
+        held, out = None, {}
+        for m, c, h, row in r["items"]:
+            if m == 0 or held is None:
+                held, out = (held, {**out, row[0]: 0}) if m == 0 else ([m, c, row[0]], out)
+                continue
+            to_held, to_next = min(held[1] - held[0], m), min(held[0], c - m)
+            d = to_held if h % (to_held + to_next) < to_next else -to_next
+            pair = [[held[0] + d, held[1], held[2]], [m - d, c, row[0]]]
+            out |= {x[2]: int(x[0] == x[1]) for x in pair if x[0] in (0, x[1])}
+            held = next((x for x in pair if x[0] not in (0, x[1])), None)
+        got = r["r"]["held"]
+        assert {o["row"]["doc_id"]: o["one"] for o in r["r"]["out"]} == out and (got and [got["m"], got["c"], got["row"]["doc_id"]]) == held
+        # the sum of words due is kept
+        assert sum(x[0] for x in r["items"]) == sum(x[1] * out.get(x[3][0], 0) for x in r["items"]) + (held[0] if held else 0)
+
+
 def test_syncmers(spark, docs, rows, empty):
     got = {(r["doc_id"], r["n_chars"], r["edited_sha256"]): r for r in syncmers.syncmer_fingerprints(docs).collect()}
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
