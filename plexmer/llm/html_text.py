@@ -72,7 +72,7 @@ _SPACES = re.compile(r"\s+")
 class _Element:
     """An open or closed element: whether its lines are never content, whether its name calls it minor, its silence, and the clusters' text below it."""
 
-    __slots__ = ("tag", "parent", "never", "marked", "silent", "region", "depth", "weight", "inside")
+    __slots__ = ("tag", "parent", "never", "marked", "silent", "region", "depth", "weight")
 
     def __init__(self, tag: str, parent: _Element | None, never: bool = False, marked: bool = False) -> None:
         self.tag, self.parent, self.marked = tag, parent, marked
@@ -81,7 +81,7 @@ class _Element:
         outer = parent.region if parent else None
         self.region = outer or (self if tag in ("article", "main") else None)  # the outermost article or main around
         self.depth = parent.depth + 1 if parent else 0
-        self.weight = self.inside = 0.0  # the clusters' text below, and that of it in regions below
+        self.weight = 0.0  # the clusters' text below
 
 
 class Line:
@@ -212,19 +212,21 @@ def in_clusters(ratios: np.ndarray) -> np.ndarray:
     return np.minimum(smoothed(ratios), ratios) >= THRESHOLD * float(ratios.std())
 
 
-def _minor(line: Line, total: float, inside: float) -> bool:
-    """Whether the line is below a minor block: a marked one that is no wrapper of the content."""
-    return any(e.marked and (e.weight < WRAPPER * total or inside > e.inside) for e in _above(line.at))
+def _marked(at: _Element | None) -> list[_Element]:
+    return [e for e in _above(at) if e.marked]
 
 
-def _weigh(lines: list[Line]) -> tuple[float, float]:
-    """Add the lines' text to the elements around them; the whole, and that in regions."""
+def _minor(line: Line, total: float, articles: set[frozenset[int]]) -> bool:
+    """Whether the line is below a minor block: a marked one that is no wrapper of the content, or has an article elsewhere that is below no other marked one."""
+    return any(e.weight < WRAPPER * total or any(id(e) not in marks and marks <= {id(x) for x in _marked(e.parent)} for marks in articles) for e in _marked(line.at))
+
+
+def _weigh(lines: list[Line]) -> float:
+    """Add the lines' text to the elements around them; the whole."""
     for line in lines:
-        n, region = len(line.text), line.at.region
         for e in _above(line.at):
-            e.weight += n
-            e.inside += n if region and e.depth <= region.depth else 0
-    return float(sum(len(x.text) for x in lines)), float(sum(len(x.text) for x in lines if x.at.region))
+            e.weight += len(line.text)
+    return float(sum(len(x.text) for x in lines))
 
 
 def main_text(html: str | None) -> str:
@@ -238,8 +240,9 @@ def main_text(html: str | None) -> str:
         return ""
     content = in_clusters(np.array([len(x.text) / max(1, x.tags) for x in lines]))
     open_ = [not x.at.never for x in lines]
-    total, inside = _weigh([x for x, c, o in zip(lines, content, open_, strict=True) if c and o])
-    open_ = [o and not _minor(x, total, inside) for x, o in zip(lines, open_, strict=True)]
+    total = _weigh([x for x, c, o in zip(lines, content, open_, strict=True) if c and o])
+    articles = {frozenset(map(id, _marked(x.at))) for x, o in zip(lines, open_, strict=True) if o and x.at.region}
+    open_ = [o and not _minor(x, total, articles) for x, o in zip(lines, open_, strict=True)]
     lines, chosen = [x for x, o in zip(lines, open_, strict=True) if o], [bool(c) for c, o in zip(content, open_, strict=True) if o]
     if not any(chosen):  # none above the threshold is left: what is left is content
         chosen = [True] * len(lines)

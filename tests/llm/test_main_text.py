@@ -86,11 +86,14 @@ def plain(tree):
     cluster = [x for x in lines if x["content"] and not never(x)]
     total = sum(len(x["text"]) for x in cluster)
 
+    marked = lambda e: e[0] == "aside" or e[1] in ("ad", "comments", "sidebar")
+    has = lambda chain, e: any(z is e for z in chain)
+
     def minor(x):
         for depth, e in enumerate(x["chain"]):
-            if e[0] == "aside" or e[1] in ("ad", "comments", "sidebar"):
-                below = [y for y in cluster if any(z is e for z in y["chain"])]
-                elsewhere = any(region(y) and not (any(z is e for z in y["chain"]) and y["chain"].index(region(y)) >= depth) for y in cluster)
+            if marked(e):
+                below = [y for y in cluster if has(y["chain"], e)]
+                elsewhere = any(region(y) and not never(y) and not has(y["chain"], e) and all(has(x["chain"][:depth], z) for z in y["chain"] if marked(z)) for y in lines)
                 if sum(len(y["text"]) for y in below) < 0.9 * total or elsewhere:
                     return True
         return False
