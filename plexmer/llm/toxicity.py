@@ -2,21 +2,26 @@
 
 Words, and word beginnings, get log-odds between toxic and other labelled training documents, with a
 Dirichlet prior that follows the overall word frequencies (Monroe, Colaresi and
-Quinn, 2008); words that lean significantly to the toxic side score their
-log-odds, every other word a small penalty.  All maximal scoring segments of a text
-are found in one linear scan (Ruzzo and Tompa, 1999).  Under the background word
-distribution the best segment of n words follows an extreme-value law
-``P(S >= x) = 1 - exp(-K n exp(-lambda x))`` (Karlin and Altschul, 1990); segments
-whose expected number by chance is below `SIGNIFICANT` are toxic passages, and
+Quinn, 2008), shrunk towards 0 by `SHRINK` standard errors: positive for words that lean to the toxic side, negative for
+those that lean to the other, 0 for the rest.  A piece of text has the log-odds of its word or beginning
+that says most; if these are positive, its n-th occurrence in a text adds 1 / n**2 of them; and every word pays `PENALTY`, so that scores of
+other text fall.  All maximal scoring segments of a text are found in one linear scan (Ruzzo and Tompa, 1999).
+
+The best segment of n background words follows an extreme-value law
+``P(S >= x) = 1 - exp(-K n exp(-lambda x))`` (Karlin and Altschul, 1990).  lambda and K are fitted by maximum likelihood to the best
+segments of training documents that are not toxic: those of one fold, under log-odds learnt without that
+fold.  Segments whose expected number by chance is below `SIGNIFICANT` are toxic passages, and
 their log-odds against chance add up to a document's evidence.  A logistic curve
 fitted on training rows turns evidence into a score from 0 to 1.
 
-Only rows whose ``crc32(doc_id as text) mod 5`` is not 0 teach, `TRAINING_ROWS` at most; labels, lang,
-source and doc_id are never inputs of a score.
+Only rows whose ``crc32(doc_id as text) mod 5`` is not 0 teach, `TRAINING_ROWS` at most; labels, lang, source and
+doc_id are never inputs of a score.  The log-odds are those of words of these rows, so their number is bounded with them.
 
 Defined cases: null or empty text has no evidence and scores like any text without
-it; null labels teach nothing, conflicting labels of one document count as toxic;
-without any labelled training row every score is 0.
+it; very long texts are read whole; null labels teach nothing, conflicting labels of one document count as toxic; rows that repeat a doc_id are
+scored one by one, and each teaches; null doc_ids are scored and teach nothing;
+without training rows of both labels every score is 0; where no row is in the calibration fold, or none there has a
+scoring word, lambda is 1 and K is 1 over its words; other columns are ignored but those asked for; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +37,14 @@ from pyspark.sql import functions as F
 
 from ._common import materialise, small_batches
 
-#: Words in the model at most: its capacity, and the bound of what is sent to workers.
-MODEL_WORDS = 20_000
 #: Words of one worker's counter before it is passed on.
 COUNTER_WORDS = 500_000
-#: Least z-score of a word that scores.
-Z_MIN = 4.0
+#: Standard errors by which log-odds are shrunk.
+SHRINK = 3.0
+#: What every word pays at least.
+PENALTY = 0.5
+#: The fold of training rows that lambda and K are fitted to.
+CALIBRATION = 4
 #: Strength of the prior, in documents' worth of words.
 PRIOR = 200.0
 #: Expected number of chance segments below which a segment is significant.
@@ -51,18 +58,20 @@ def fold(doc_id: Column) -> Column:
 
 
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents that hold each word, by label; the word null counts documents."""
-    schema = pa.schema([("word", pa.string()), ("toxic", pa.int32()), ("n", pa.int64())])
+    """Documents that hold each word, by label and whether they are for calibration; the word null counts documents, the empty one their words."""
+    schema = pa.schema([("word", pa.string()), ("toxic", pa.int32()), ("apart", pa.bool_()), ("n", pa.int64())])
 
     def out(counts: Counter) -> pa.RecordBatch:
-        keys, n = list(counts), list(counts.values())
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(n, pa.int64())], schema=schema)
+        columns = [*zip(*counts, strict=True), list(counts.values())]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     counts: Counter = Counter()
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            counts[None, toxic] += 1
-            counts.update([(f, toxic) for f in {f for w in {*chunks(text)} for f in features(w)}])
+        for text, toxic, apart in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "apart")), strict=True):
+            words = chunks(text)
+            counts[None, toxic, apart] += 1
+            counts["", toxic, apart] += len(words)
+            counts.update([(f, toxic, apart) for f in {f for w in {*words} for f in features(w)}])
         if len(counts) > COUNTER_WORDS:
             yield out(counts)
             counts = Counter()
@@ -87,7 +96,7 @@ def features(chunk: bytes) -> list[str]:
 
 
 class Scores(dict):
-    """Score of a piece: the largest of its features, 0 for none; remembers what it has seen."""
+    """Log-odds of a piece: those of its features that are furthest from 0, 0 for none; remembers what it has seen."""
 
     def __init__(self, model: dict[str, float], most: int = 400_000) -> None:
         self.model, self.most = model, most
@@ -95,30 +104,49 @@ class Scores(dict):
     def __missing__(self, chunk: bytes) -> float:
         if len(self) >= self.most:
             self.clear()
-        score = self[chunk] = max((self.model[f] for f in features(chunk) if f in self.model), default=0.0)
+        score = self[chunk] = max((self.model[f] for f in features(chunk) if f in self.model), key=abs, default=0.0)
         return score
 
-
-def learn_words(train: DataFrame) -> tuple[dict[str, float], float]:
-    """(score of each scoring word, share of scoring words in other documents) from `train` (text, toxic)."""
-    counts = train.mapInArrow(_count, "word string, toxic int, n bigint").groupBy("word").agg(F.sum(F.expr("IF(toxic = 1, n, 0L)")).alias("y1"), F.sum(F.expr("IF(toxic = 1, 0L, n)")).alias("y0"))
+    def hits(self, words: list[bytes]) -> list[tuple[int, float]]:
+        """(place, score) of the words that score; the n-th occurrence of one with a positive score has 1 / n**2 of it."""
+        out, seen = [], {}
+        for i, s in enumerate(map(self.__getitem__, words)):
+            if s > 0:
+                n = seen[words[i]] = seen.get(words[i], 0) + 1
+                out.append((i, s / (n * n)))
+            elif s:
+                out.append((i, s))
+        return out
+
+
+def log_odds(toxic: Column, other: Column, n1: float, n0: float) -> Column:
+    """Shrunk log-odds of a word in that many of n1 toxic and n0 other documents."""
+    prior = F.lit(PRIOR) * (toxic + other) / F.lit(n1 + n0)
+    a, b = toxic + prior, other + prior
+    odds = F.log(a / F.greatest(F.lit(n1 + PRIOR) - a, F.lit(0.5))) - F.log(b / F.greatest(F.lit(n0 + PRIOR) - b, F.lit(0.5)))
+    return F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - F.lit(SHRINK) * F.sqrt(1 / a + 1 / b))
+
+
+def learn_words(train: DataFrame) -> tuple[dict[str, float], dict[str, float], float]:
+    """(log-odds of words, those learnt without the calibration fold, what every word pays) from `train` (text, toxic, apart)."""
+    column = lambda toxic, apart: F.sum(F.expr(f"IF(toxic = {toxic} AND apart = {apart}, n, 0L)"))
+    counts = train.mapInArrow(_count, "word string, toxic int, apart boolean, n bigint").groupBy("word").agg(column(1, False).alias("y1"), column(0, False).alias("y0"), column(1, True).alias("z1"), column(0, True).alias("z0"))
     counts = materialise(counts, "words")
-    docs = counts.where("word IS NULL").first()
-    if docs is None or not docs["y1"] or not docs["y0"]:
-        return {}, 0.0
-    n1, n0 = float(docs["y1"]), float(docs["y0"])
-    prior = F.lit(PRIOR) * (F.col("y1") + F.col("y0")) / (n1 + n0)
-    toxic, other = F.col("y1") + prior, F.col("y0") + prior
-    odds = F.log(toxic / F.greatest(F.lit(n1 + PRIOR) - toxic, F.lit(0.5))) - F.log(other / F.greatest(F.lit(n0 + PRIOR) - other, F.lit(0.5)))
-    z = odds / F.sqrt(1 / toxic + 1 / other)
-    raw = F.log((F.col("y1") + 0.5) / n1) - F.log((F.col("y0") + 0.5) / n0)
-    found = counts.where("word IS NOT NULL AND word <> '' AND y1 >= 3").select("word", "y0", z.alias("z"), F.least(F.lit(8.0), raw).alias("score")).where((F.col("z") >= Z_MIN) & (F.col("score") > 0.5))
-    found = found.orderBy(F.desc("z"), "word").limit(MODEL_WORDS).collect()
-    return {r["word"]: r["score"] for r in found}, sum(r["y0"] for r in found) / n0
+    totals = {r["word"]: r for r in counts.where("word IS NULL OR word = ''").collect()}
+    docs = totals.get(None)
+    if docs is None or not docs["y1"] + docs["z1"] or not docs["y0"] + docs["z0"]:
+        return {}, {}, PENALTY
+    y1, y0, z1, z0 = (F.col(c) for c in ("y1", "y0", "z1", "z0"))
+    whole = log_odds(y1 + z1, y0 + z0, docs["y1"] + docs["z1"], docs["y0"] + docs["z0"])
+    apart = log_odds(y1, y0, docs["y1"], docs["y0"]) if docs["y1"] and docs["y0"] else whole
+    # a word needs several documents to keep log-odds, so these are few beside the words of the training rows
+    found = counts.where("word <> ''").select("word", (y0 + z0).alias("other"), whole.alias("whole"), F.when(y1 + y0 > 0, apart).otherwise(0.0).alias("apart")).where("whole <> 0 OR apart <> 0").collect()
+    chance = sum(r["other"] * max(0.0, r["whole"]) for r in found) / max(1, totals[""]["y0"] + totals[""]["z0"])
+    return {r["word"]: r["whole"] for r in found if r["whole"]}, {r["word"]: r["apart"] for r in found if r["apart"]}, max(PENALTY, 2 * chance)
 
 
 def maximal_segments(hits: list[tuple[int, float]], penalty: float) -> list[tuple[float, int, int]]:
-    """Ruzzo-Tompa over sparse hits (position, score > 0); every word between them costs `penalty`.
+    """Ruzzo-Tompa over sparse hits (position, score); every word pays `penalty`.
 
     (score, first word, one past the last word) of every maximal scoring segment, in order; linear time.
     """
@@ -126,7 +154,9 @@ def maximal_segments(hits: list[tuple[int, float]], penalty: float) -> list[tupl
     total, at = 0.0, 0
     for position, score in hits:
         total -= penalty * (position - at)
-        left, total, at = total, total + score, position + 1
+        left, total, at = total, total + score - penalty, position + 1
+        if total <= left:
+            continue
         first, right = position, total
         while True:
             # the nearest segment before that starts lower, looking back past those that start no lower
@@ -141,17 +171,33 @@ def maximal_segments(hits: list[tuple[int, float]], penalty: float) -> list[tupl
     return [(r - l, a, b) for l, r, a, b in stack]
 
 
-def decay(scores: np.ndarray, shares: np.ndarray, penalty: float) -> float:
-    """Karlin-Altschul lambda: the positive root of sum(share * exp(lambda * score)) = 1."""
-    rest = 1 - shares.sum()
-    low, high = 1e-6, 1.0
-    f = lambda x: float((shares * np.exp(x * scores)).sum() + rest * math.exp(-penalty * x) - 1)
-    while f(high) < 0 and high < 64:
-        high *= 2
-    for _ in range(80):
-        middle = (low + high) / 2
-        low, high = (middle, high) if f(middle) < 0 else (low, middle)
-    return high
+def extreme_values(best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
+    """lambda and K of ``P(S < x) = exp(-K n exp(-lambda x))`` by maximum likelihood, from best scores and numbers of words; a score of 0 stands for none above it."""
+    seen, words = best > 0, np.maximum(words, 1).astype(float)
+    n = int(seen.sum())
+    if not n:
+        return 1.0, 1 / max(1.0, float(words.sum()))
+    rate = lambda lam: n / float((words * np.exp(-lam * best)).sum())  # the best K for a lambda
+    likelihood = lambda lam: n * (math.log(lam) + math.log(rate(lam))) - lam * float(best[seen].sum())
+    low, high = math.log(0.01), math.log(50.0)
+    for _ in range(60):  # golden sections; the likelihood has one peak
+        a, b = high - (high - low) * 0.618, low + (high - low) * 0.618
+        low, high = (low, b) if likelihood(math.exp(a)) > likelihood(math.exp(b)) else (a, high)
+    lam = math.exp((low + high) / 2)
+    return lam, rate(lam)
+
+
+def _best(model: dict[str, float], penalty: float):
+    schema = pa.schema([("best", pa.float64()), ("words", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(model)
+        for batch in batches:
+            texts = [chunks(t) for t in batch.column("text").to_pylist()]
+            best = [max((s for s, _, _ in maximal_segments(scores.hits(words), penalty)), default=0.0) for words in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(best, pa.float64()), pa.array(map(len, texts), pa.int64())], schema=schema)
+
+    return run
 
 
 def _evidence(model: dict[str, float], penalty: float, lam: float, k: float, also: tuple[str, ...] = ()):
@@ -163,9 +209,8 @@ def _evidence(model: dict[str, float], penalty: float, lam: float, k: float, als
             evidence, passages = [], []
             for text in batch.column("text").to_pylist():
                 tokens = chunks(text)
-                hits = [(i, s) for i, s in enumerate(map(scores.__getitem__, tokens)) if s]
                 total, found = 0.0, []
-                for score, first, end in maximal_segments(hits, penalty):
+                for score, first, end in maximal_segments(scores.hits(tokens), penalty):
                     chance = k * len(tokens) * math.exp(-lam * score)
                     if chance < SIGNIFICANT:
                         total -= math.log(max(-math.expm1(-chance), 1e-300))
@@ -199,16 +244,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, also: tuple[str, ...] = ()) ->
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_ROWS)
     marks = F.broadcast(materialise(marks, "training"))  # TRAINING_ROWS pairs of numbers at most
-    train = rows.join(marks, "doc_id").select("text", "toxic")
-    model, share = learn_words(train)
+    train = rows.join(marks, "doc_id").select("text", "toxic", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == CALIBRATION).alias("apart"))
+    model, apart, penalty = learn_words(train)
     held = fold(F.col("doc_id")) == 0
     if not model:
         return rows.select("doc_id", *also, held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("evidence"), F.expr("CAST(array() AS ARRAY<STRUCT<first: INT, last: INT, log_odds: DOUBLE>>)").alias("passages"))
-    scores = np.array(list(model.values()))
-    per_word = max(share, 1e-6) / 300  # scoring words for each background word (a document of 300 words)
-    penalty = max(0.02, 4 * per_word * float(scores.mean()))
-    lam = decay(scores, np.full(len(scores), per_word / len(scores)), penalty)
-    scored = rows.mapInArrow(_evidence(model, penalty, lam, per_word, also), f"doc_id bigint, {''.join(c + ' string, ' for c in also)}evidence double, passages array<struct<first: int, last: int, log_odds: double>>")
+    # at most TRAINING_ROWS pairs of numbers
+    sample = train.where("apart AND toxic = 0").select("text").mapInArrow(_best(apart, penalty), "best double, words bigint").collect()
+    lam, k = extreme_values(np.array([r["best"] for r in sample]), np.array([r["words"] for r in sample]))
+    scored = rows.mapInArrow(_evidence(model, penalty, lam, k, also), f"doc_id bigint, {''.join(c + ' string, ' for c in also)}evidence double, passages array<struct<first: int, last: int, log_odds: double>>")
     scored = materialise(scored, "evidence")
     sample = scored.join(marks, "doc_id").select("evidence", "toxic").collect()
     a, b = _curve(np.log1p(np.array([r["evidence"] for r in sample])), np.array([float(r["toxic"]) for r in sample]))

@@ -399,15 +399,38 @@ def test_syncmers_locate_a_passage_in_long_texts(spark):
     assert [x & 0x7FFFFFFF for x in r["a"]] == sorted(x & 0x7FFFFFFF for x in r["a"])
 
 
+def plain_segments(score):
+    """All maximal scoring segments by their definition: the best segment, and those of what is left on both sides of it."""
+    best = max(((sum(score[a:b]), a - b, a, b) for a in range(len(score)) for b in range(a + 1, len(score) + 1)), default=(0,))
+    if best[0] <= 1e-12:
+        return []
+    _, _, a, b = best
+    return [*plain_segments(score[:a]), (best[0], a, b), *((s, x + b, y + b) for s, x, y in plain_segments(score[b:]))]
+
+
 def test_maximal_segments():
     rng = random.Random(2)
-    for _ in range(200):
-        hits = sorted({rng.randrange(40): rng.choice([0.5, 1.0, 2.0]) for _ in range(rng.randint(1, 12))}.items())
-        score = [dict(hits).get(i, -0.4) for i in range(40)]
-        best = max(sum(score[a:b]) for a in range(40) for b in range(a + 1, 41))
+    for _ in range(400):
+        hits = sorted({rng.randrange(30): rng.uniform(-2, 3) for _ in range(rng.randint(1, 12))}.items())
         found = toxicity.maximal_segments(hits, 0.4)
-        assert max(s for s, _, _ in found) == pytest.approx(best)
-        assert all(s == pytest.approx(sum(score[a:b])) for s, a, b in found) and all(x[2] <= y[1] for x, y in zip(found, found[1:]))
+        want = plain_segments([dict(hits).get(i, 0.0) - 0.4 for i in range(30)])
+        assert [(a, b) for _, a, b in found] == [(a, b) for _, a, b in want] and [s for s, _, _ in found] == pytest.approx([s for s, _, _ in want])
+
+
+def test_extreme_values():
+    rng = np.random.default_rng(5)
+    words = rng.integers(20, 2000, 20_000)
+    best = np.log(0.01 * words / -np.log(rng.random(len(words)))) / 1.7
+    lam, k = toxicity.extreme_values(np.maximum(best, 0), words)
+    assert lam == pytest.approx(1.7, rel=0.05) and k == pytest.approx(0.01, rel=0.1)
+    assert toxicity.extreme_values(np.zeros(3), np.ones(3)) == (1.0, 1 / 3) and toxicity.extreme_values(np.zeros(0), np.zeros(0))[0] == 1.0
+
+
+def test_scores_of_words():
+    scores = toxicity.Scores({"vile": 2.0, "vil*": 0.5, "kind": -1.0, "kin*": 0.3})
+    words = toxicity.chunks("Vile kind vile, kin VILE! village")
+    assert scores.hits(words) == [(0, 2.0), (1, -1.0), (2, 2.0), (4, 2.0), (5, 0.5)]
+    assert scores.hits(toxicity.chunks("vile vile x vile")) == [(0, 2.0), (1, 0.5), (3, pytest.approx(2 / 9))]
 
 
 def test_toxicity(spark, empty):
@@ -426,6 +449,8 @@ def test_toxicity(spark, empty):
     held = [r for r in got if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 400]
     assert len(held) > 40 and sum(r["predicted"] == (r["doc_id"] % 5 == 0) for r in held) >= 0.97 * len(held)
     assert toxicity.toxicity(docs, labels.limit(0)).where("score <> 0").count() == 0
+    odd = spark.createDataFrame([(1, "vile nasty foul", "clash", 0.5), (1, "vile nasty foul", "other", 0.5), (2, "w1 " * 200_000, None, None)], "doc_id bigint, text string, toxic string, score double")
+    assert sorted((r["doc_id"], r["score"]) for r in toxicity.toxicity(odd, labels).collect())[0][0] == 1 and toxicity.toxicity(odd.unionByName(docs, True), labels).count() == 405
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
