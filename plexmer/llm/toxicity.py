@@ -2,8 +2,8 @@
 
 Words, and word beginnings, get log-odds between toxic and other labelled training documents, with a
 Dirichlet prior that follows the overall word frequencies (Monroe, Colaresi and
-Quinn, 2008), shrunk towards 0 by `SHRINK` standard errors: positive for words that lean to the toxic side, negative for
-those that lean to the other, 0 for the rest.  A piece of text has the log-odds of its word or beginning
+Quinn, 2008).  Words whose log-odds are `Z_MIN` standard errors or more from 0 score them: positive for words that lean to the toxic
+side, negative for those that lean to the other.  A piece of text has the log-odds of its word or beginning
 that says most; if these are positive, its n-th occurrence in a text adds 1 / n**2 of them; and every word pays `PENALTY`, so that scores of
 other text fall.  All maximal scoring segments of a text are found in one linear scan (Ruzzo and Tompa, 1999).
 
@@ -39,8 +39,8 @@ from ._common import materialise, small_batches
 
 #: Words of one worker's counter before it is passed on.
 COUNTER_WORDS = 500_000
-#: Standard errors by which log-odds are shrunk.
-SHRINK = 3.0
+#: Standard errors that the log-odds of a scoring word are from 0, at least.
+Z_MIN = 3.0
 #: What every word pays at least.
 PENALTY = 0.5
 #: The fold of training rows that lambda and K are fitted to.
@@ -120,11 +120,11 @@ class Scores(dict):
 
 
 def log_odds(toxic: Column, other: Column, n1: float, n0: float) -> Column:
-    """Shrunk log-odds of a word in that many of n1 toxic and n0 other documents."""
+    """Log-odds of a word in that many of n1 toxic and n0 other documents, 0 where they are not significant."""
     prior = F.lit(PRIOR) * (toxic + other) / F.lit(n1 + n0)
     a, b = toxic + prior, other + prior
     odds = F.log(a / F.greatest(F.lit(n1 + PRIOR) - a, F.lit(0.5))) - F.log(b / F.greatest(F.lit(n0 + PRIOR) - b, F.lit(0.5)))
-    return F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - F.lit(SHRINK) * F.sqrt(1 / a + 1 / b))
+    return F.when(F.abs(odds) >= Z_MIN * F.sqrt(1 / a + 1 / b), odds).otherwise(0.0)
 
 
 def learn_words(train: DataFrame) -> tuple[dict[str, float], dict[str, float], float]:
