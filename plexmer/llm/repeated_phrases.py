@@ -8,17 +8,22 @@ also starts anywhere else in the corpus.  Steps:
    choose the same anchor, so a window recurs only if its anchor's gram does.
    Texts with equal word sequences are one class from here on: all their windows
    recur;
-2. grams that occur at least twice are found in one sorted pass;
-3. around each of their occurrences the stretch of words whose windows chose it goes
-   to the gram's shard.  A shard confirms the windows that truly occur twice, word
-   by word, compiles them into an Aho-Corasick automaton over words (pyahocorasick)
-   and streams all its stretches through it, which gives every occurrence;
-4. the windows found mark the words to remove.
-
-Windows are judged on the input, never on what is left.
+2. grams that occur at least twice are found in one sorted pass over the distinct grams of each
+   `UNIT` rows, so a gram of many texts is few rows;
+3. around each of their occurrences the stretch of words whose windows chose it is written out.  The hashes (128 bits) of its windows are
+   counted over all stretches, with sums before the shuffle; the windows counted twice or more are the confirmed
+   phrases, and the first stretch that holds one gives its words;
+4. phrases are dealt to shards by their anchor's gram, `PHRASES` to an automaton, and each shard's are compiled into
+   Aho-Corasick automata over words (pyahocorasick).  All stretches are streamed through the automata of their gram's shard,
+   which decide, word by word, where each phrase occurs.  A shard with many stretches is
+   streamed in several tasks, each with the automaton; one with too many phrases has several automata, which all its stretches pass;
+5. the windows found mark the words to remove.
+
+A text without a recurring gram holds no phrase, so only the others are streamed.  Windows are judged on the input, never on what is
+left.  Overlapping phrases are not merged: a text may hold a part of the merged passage only.
 
 Defined cases: null or wordless texts have no words and keep the digest of the empty
-text; texts shorter than a window lose nothing; repeated rows are repeats of one
+text; texts shorter than a window lose nothing; very long texts are read whole; repeated rows are repeats of one
 another; null doc_ids are kept as they are; other columns are ignored; an empty
 table gives an empty result.
 """
@@ -26,7 +31,6 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -35,11 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column, materialise, run_bounds, shuffle_width, small_batches, whole_groups
-from ._words import rolling_hashes, slices, word_hashes, word_spans
+from ._common import column, materialise, run_bounds, shuffle_width, small_batches
+from ._words import mix, rolling_hashes, slices, word_hashes, word_spans
 
 WINDOW = 35
 GRAM = 10
+#: Rows of the scan, by their numbers, for which a gram is counted at once; a power of two.
+UNIT = 1024
+#: Phrases of an automaton, at most (about 60 MB).
+PHRASES = 20_000
+#: Stretches streamed by a task through one automaton, about.
+STRETCHES = 100_000
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
@@ -89,8 +99,22 @@ def _scan(window: int, gram: int):
     return run
 
 
+def _unit_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct grams of each unit in a batch, with their numbers."""
+    schema = pa.schema([("gram", pa.int64()), ("unit", pa.int64()), ("n", pa.int32())])
+    for batch in batches:
+        lists = batch.column("grams")
+        gram = lists.flatten().to_numpy(zero_copy_only=False)
+        unit = np.repeat(column(batch, "unit"), np.diff(lists.offsets.to_numpy()))
+        if len(gram):
+            order = np.lexsort((gram, unit))
+            gram, unit = gram[order], unit[order]
+            at = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (unit[1:] != unit[:-1]))))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[at]), pa.array(unit[at]), pa.array(np.diff(np.append(at, len(gram))).astype(np.int32))], schema=schema)
+
+
 def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by gram -> those whose gram occurs at least twice; one row is held between batches."""
+    """Rows sorted by gram -> gram and unit of those whose gram occurs at least twice; one row is held between batches."""
     held, seen = None, False  # the last row, and whether the one before it was equal
     for batch in batches:
         if not batch.num_rows:
@@ -98,14 +122,33 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches([held, batch] if held is not None else [batch])
         grams = column(table, "gram")
         same = grams[1:] == grams[:-1]
-        keep = np.concatenate(([seen if held is not None else False], same)) | np.concatenate((same, [False]))
-        keep[-1] = False  # decided with the next row
-        if keep.any():
-            yield from table.filter(pa.array(keep)).combine_chunks().to_batches()
-        seen = bool(same[-1]) if len(same) else False
+        keep = np.concatenate(([seen if held is not None else False], same)) | np.concatenate((same, [False])) | (column(table, "n") > 1)
+        found = keep.copy()
+        found[-1] = False  # decided with the next row
+        if found.any():
+            yield from table.filter(pa.array(found)).select(["gram", "unit"]).combine_chunks().to_batches()
+        seen = bool(keep[-1])
         held = batch.slice(batch.num_rows - 1)
     if held is not None and seen:
-        yield held
+        yield held.select(["gram", "unit"])
+
+
+def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by unit, first the grams that recur in it (rid null), then its texts -> places of recurring grams in each text."""
+    schema = pa.schema([("cid", pa.int64()), ("places", pa.list_(pa.int32()))])
+    unit, grams = None, np.zeros(0, np.int64)
+    for batch in batches:
+        out = []
+        for at, rid, own, places in zip(*(batch.column(c) for c in ("unit", "rid", "grams", "places")), strict=True):
+            own = own.values.to_numpy(zero_copy_only=False)
+            if rid.as_py() is None:
+                unit, grams = at.as_py(), np.sort(own)
+            elif at.as_py() == unit:
+                found = places.values.to_numpy(zero_copy_only=False)[np.isin(own, grams)]
+                if len(found):
+                    out.append((rid.as_py(), np.sort(found)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
 def _stretches(window: int, gram: int):
@@ -136,35 +179,86 @@ def _stretches(window: int, gram: int):
     return run
 
 
-def locate(stretches: list[tuple[int, list[int]]], window: int) -> list[list[int]]:
-    """For each (group, word numbers): the starts of its windows that occur at least twice in its group."""
-    counts: Counter = Counter()
-    for group, ids in stretches:
-        counts.update((group, *ids[i : i + window]) for i in range(len(ids) - window + 1))
-    phrases = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for phrase, n in counts.items():
-        if n > 1:
-            phrases.add_word(phrase[1:], window)
-    if not len(phrases):
-        return [[] for _ in stretches]
-    phrases.make_automaton()
-    return [[end - window + 1 for end, _ in phrases.iter(tuple(ids))] for _, ids in stretches]
+def window_hashes(array: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Two 64-bit hashes of every window of each text."""
+    for words in _word_hashes(array):
+        yield rolling_hashes(words, window).view(np.int64), rolling_hashes(mix(words), window).view(np.int64)
 
 
-def _located(window: int):
-    schema = pa.schema([("cid", pa.int64()), ("starts", pa.list_(pa.int32()))])
+def _windows(window: int):
+    """Distinct windows of a batch of stretches, with their numbers and the least stretch that holds each."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("sid", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = list(window_hashes(batch.column("words"), window))
+            sid = np.repeat(column(batch, "sid"), [len(a) for a, _ in pairs])
+            if not len(sid):
+                continue
+            h1, h2 = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            order = np.lexsort((sid, h2, h1))
+            h1, h2, sid = h1[order], h2[order], sid[order]
+            at = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
+            yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(np.diff(np.append(at, len(h1))).astype(np.int32)), pa.array(sid[at])], schema=schema)
+
+    return run
+
+
+def _phrases(window: int):
+    """Stretches with the hashes of the windows they are to give -> the words of these windows."""
+    schema = pa.schema([("gram", pa.int64()), ("words", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "gram"):
-            number: dict[bytes, int] = {}
-            stretches = [(g, [number.setdefault(w, len(number)) for w in text.encode().split()]) for g, text in zip(table.column("gram").to_pylist(), table.column("words").to_pylist(), strict=True)]
-            out = [(cid, [start + i for i in found]) for cid, start, found in zip(table.column("cid").to_pylist(), table.column("start").to_pylist(), locate(stretches, window), strict=True) if found]
+        for batch in batches:
+            out = []
+            for gram, text, wanted, (h1, _) in zip(batch.column("gram").to_pylist(), batch.column("words").to_pylist(), batch.column("hashes"), window_hashes(batch.column("words"), window), strict=True):
+                words = text.encode().split()
+                places = np.flatnonzero(np.isin(h1, wanted.values.to_numpy()))
+                first = places[np.unique(h1[places], return_index=True)[1]]
+                out += [(gram, b" ".join(words[i : i + window]).decode()) for i in first.tolist()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
+class Phrases:
+    """An Aho-Corasick automaton over words; the words of its phrases are numbered."""
+
+    def __init__(self, phrases: Iterable[list[bytes]]) -> None:
+        self.number: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for words in phrases:
+            self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in words), len(words))
+        self.automaton.make_automaton()
+
+    def starts(self, words: list[bytes]) -> list[int]:
+        """Where the phrases occur in a text."""
+        return [end - n + 1 for end, n in self.automaton.iter(tuple(self.number.get(w, 0) for w in words))]
+
+
+def _located(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by cell (shard, automaton, task), first its phrases (cid null), then stretches -> starts of phrases in texts.  One automaton is held."""
+    schema = pa.schema([("cid", pa.int64()), ("starts", pa.list_(pa.int32()))])
+    at, waiting, automaton = None, [], None
+    for batch in batches:
+        out = []
+        for cell, cid, start, text in zip(*(batch.column(c).to_pylist() for c in ("cell", "cid", "start", "words")), strict=True):
+            if cell != at:
+                at, waiting, automaton = cell, [], None
+            words = text.encode().split()
+            if cid is None:
+                waiting.append(words)
+                continue
+            if waiting:
+                automaton, waiting = Phrases(waiting), []
+            found = automaton.starts(words) if automaton else []
+            if found:
+                out.append((cid, [start + i for i in found]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
 def _removed(window: int):
     schema = pa.schema([("cid", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -187,6 +281,20 @@ def _removed(window: int):
     return run
 
 
+def _streamed(phrases: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
+    """(cid, starts) of the phrases (gram, words) in the stretches (gram, cid, start, words)."""
+    shards = max(width, -(-2 * phrases.count() // PHRASES))
+    shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard")
+    size = lambda rows, name, most: rows.select(shard).groupBy("shard").agg(F.ceil(F.count("*") / most).alias(name))
+    # a row a shard: how many automata it has, and how many tasks stream through each
+    cells = materialise(size(phrases, "automata", PHRASES).join(size(stretches, "tasks", STRETCHES), "shard"), "shards")
+    cell = F.xxhash64("shard", "automaton", "task").alias("cell")
+    known = phrases.select(shard, "words").join(cells, "shard").withColumn("automaton", F.pmod(F.xxhash64("words"), "automata")).withColumn("task", F.explode(F.expr("sequence(0L, tasks - 1)")))
+    texts = stretches.select(shard, "cid", "start", "words").join(cells, "shard").withColumn("automaton", F.explode(F.expr("sequence(0L, automata - 1)"))).withColumn("task", F.pmod(F.xxhash64("cid", "start"), "tasks"))
+    rows = known.select(cell, F.lit(None).cast("bigint").alias("cid"), F.lit(0).alias("start"), "words").unionByName(texts.select(cell, "cid", "start", "words"))
+    return rows.repartition(width, "cell").sortWithinPartitions("cell", F.col("cid").asc_nulls_first()).mapInArrow(_located, "cid bigint, starts array<int>")
+
+
 def repeated_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, spans (removed words, by number), kept_sha256 for every row of `docs` (doc_id, text)."""
     spark = docs.sparkSession
@@ -197,15 +305,22 @@ def repeated_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     scanned = materialise(scanned.withColumn("rid", F.monotonically_increasing_id()), "scan")
     classes = materialise(scanned.where(F.col("n_words") >= window).groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
 
-    first = scanned.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
-    places = first.select(F.col("rid").alias("cid"), F.explode(F.arrays_zip("grams", "places")).alias("x")).select("cid", F.col("x.grams").alias("gram"), F.col("x.places").alias("place"))
-    repeated = places.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_repeated, "cid bigint, gram bigint, place int")
-    wanted = repeated.groupBy("cid").agg(F.sort_array(F.collect_list("place")).alias("places")).join(classes, "cid")
+    unit = F.expr(f"rid DIV {UNIT}").alias("unit")
+    first = materialise(scanned.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(unit, "rid", "grams", "places"), "first")
+    counted = first.select("unit", "grams").mapInArrow(_unit_grams, "gram bigint, unit bigint, n int")
+    repeated = counted.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_repeated, "gram bigint, unit bigint")
+    recurring = repeated.groupBy("unit").agg(F.collect_set("gram").alias("grams"))  # grams of UNIT rows
+    both = recurring.select("unit", F.lit(None).cast("bigint").alias("rid"), "grams", F.expr("CAST(array() AS ARRAY<INT>)").alias("places")).unionByName(first)
+    wanted = both.repartition(width, "unit").sortWithinPartitions("unit", F.col("rid").asc_nulls_first()).mapInArrow(_wanted, "cid bigint, places array<int>").join(classes, "cid")
 
     texts = rows.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).where(F.sha2(F.encode(_one_space("text"), "UTF-8"), 256) == F.lower(F.hex("key")))
     texts = materialise(texts.select("cid", "text", "places"), "candidates")
     stretches = texts.mapInArrow(_stretches(window, gram), "gram bigint, cid bigint, start int, words string")
-    found = stretches.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_located(window), "cid bigint, starts array<int>")
+    stretches = materialise(stretches.withColumn("sid", F.monotonically_increasing_id()), "stretches")
+    confirmed = stretches.select("sid", "words").mapInArrow(_windows(window), "h1 bigint, h2 bigint, n int, sid bigint").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("sid").alias("sid")).where("n > 1")
+    chosen = confirmed.groupBy("sid").agg(F.collect_list("h1").alias("hashes"))  # windows of one stretch
+    phrases = materialise(stretches.select("sid", "gram", "words").join(chosen, "sid").select("gram", "words", "hashes").mapInArrow(_phrases(window), "gram bigint, words string"), "phrases")
+    found = _streamed(phrases, stretches, width)
     found = found.groupBy("cid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     removed = texts.select("cid", "text").join(found, "cid").mapInArrow(_removed(window), "cid bigint, spans array<struct<first: int, last: int>>, n_removed bigint, kept_sha256 string")
     removed = removed.dropDuplicates(["cid"])

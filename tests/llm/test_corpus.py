@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from plexmer.llm.content_sort import content_sort_dedup
 from plexmer.llm.html_text import extract_main_text, main_text
 from plexmer.llm.repeated_phrases import repeated_phrases
 
+repeated_phrases_module = sys.modules["plexmer.llm.repeated_phrases"]
+
 SCHEMA = "doc_id bigint, text string, lang string, source string, norm string, bucket int"
 
 
@@ -158,7 +161,11 @@ def test_content_sort_joins_a_group_over_ranges(spark):
     assert len(got) == 1000 and {(r["keep_id"], r["group_size"]) for r in got} == {(0, 1000)} and sum(r["kept"] for r in got) == 1
 
 
-def test_repeated_phrases(spark, docs, rows, empty):
+@pytest.mark.parametrize("small", [False, True])
+def test_repeated_phrases(spark, docs, rows, empty, small, monkeypatch):
+    if small:  # shards of several automata and tasks, units of two rows
+        for name, n in (("PHRASES", 7), ("STRETCHES", 2), ("UNIT", 2)):
+            monkeypatch.setattr(repeated_phrases_module, name, n)
     n = 35
     windows = collections.Counter(tuple(w[i : i + n]) for w in (words_of(r[1]) for r in rows) for i in range(len(w) - n + 1))
     want = collections.Counter()
@@ -175,6 +182,22 @@ def test_repeated_phrases(spark, docs, rows, empty):
     assert repeated_phrases(empty).count() == 0
 
 
+def test_automata():
+    rng = random.Random(4)
+    for _ in range(300):
+        text = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(40)]
+        phrases = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(3)) for _ in range(rng.randint(1, 9))}
+        assert repeated_phrases_module.Phrases(map(list, phrases)).starts(text) == [i for i in range(38) if tuple(text[i : i + 3]) in phrases]
+
+
+def test_a_phrase_is_found_by_the_automaton_alone(spark, monkeypatch):
+    frame = spark.createDataFrame([(i, f"x{i} " + " ".join(f"w{j}" for j in range(40))) for i in range(3)], "doc_id bigint, text string")
+    assert {r["n_removed"] for r in repeated_phrases(frame).collect()} == {40}
+    located = repeated_phrases_module._streamed
+    monkeypatch.setattr(repeated_phrases_module, "_streamed", lambda phrases, stretches, width: located(phrases.limit(0), stretches, width))
+    assert {r["n_removed"] for r in repeated_phrases(frame).collect()} == {0}
+
+
 def test_repeated_phrases_keep_line_separators(spark):
     base = " ".join(f"w{i}" for i in range(40))
     ends = ["\u0085", "\u2028", "\u2029"]
