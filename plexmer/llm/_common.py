@@ -92,33 +92,6 @@ def whole_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def bounded_groups(batches: Iterable[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[pa.Table, bool]]:
-    """As `whole_groups`, but a key with more than `most` rows comes in parts, marked true; each part but the first begins with the last row of the one before."""
-    held: list[pa.RecordBatch] = []
-    part = False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bounds = run_bounds(column(batch, key))
-        at = 0
-        if held and held[-1].column(key)[-1] == batch.column(key)[0]:
-            at = int(bounds[1])
-            held.append(batch.slice(0, at))
-            if sum(b.num_rows for b in held) > most:
-                yield pa.Table.from_batches(held), True
-                held, part = [batch.slice(at - 1, 1)], True
-            if at == batch.num_rows:
-                continue
-        if held:
-            yield pa.Table.from_batches(held), part
-        last = int(bounds[-2])
-        if last > at:
-            yield pa.Table.from_batches([batch.slice(at, last - at)]), False
-        held, part = [batch.slice(last)], False
-    if held:
-        yield pa.Table.from_batches(held), part
-
-
 def column(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     return table.column(name).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(name).to_numpy()
 

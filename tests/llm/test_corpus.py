@@ -79,7 +79,7 @@ def test_components(spark):
 
 
 @pytest.mark.parametrize(("n", "num", "den"), [(3, 9, 10), (5, 4, 5)])
-def test_ngram_join(spark, docs, rows, empty, n, num, den):
+def test_ngram_join(spark, docs, rows, empty, n, num, den, monkeypatch):
     def shingles(text):
         w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in words_of(text)]
         return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
@@ -99,8 +99,11 @@ def test_ngram_join(spark, docs, rows, empty, n, num, den):
     want = collections.Counter((r[0], len(sets[i]), least.get(root(i))) for i, r in enumerate(rows))
     got = collections.Counter(map(tuple, ngram_join.ngram_jaccard_join(docs, n, num, den).collect()))
     assert got == want
-    split = ngram_join.ngram_jaccard_join(docs, n, num, den, block_tokens=200)  # blocks cut into chunks
-    assert collections.Counter(map(tuple, split.collect())) == want
+    for most, hubs in ((200, 1), (60, 2)):  # blocks cut into chunks
+        monkeypatch.setattr(ngram_join, "HUBS", hubs)
+        monkeypatch.setattr(ngram_join, "SECOND", 1)
+        split = ngram_join.ngram_jaccard_join(docs, n, num, den, block_tokens=most)
+        assert collections.Counter(map(tuple, split.collect())) == want
     assert ngram_join.ngram_jaccard_join(empty, n, num, den).count() == 0
 
 
@@ -115,32 +118,75 @@ def test_counts_of_streamed_tokens(monkeypatch):
             assert [(r["token"], r["cid"], r["df"]) for b in got for r in b.to_pylist()] == want
 
 
-def test_candidates_of_hot_tokens_stream(monkeypatch):
+def connected(edges):
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[root(a)] = root(b)
+    return root
+
+
+def test_candidates_stream(monkeypatch):
     rng = np.random.default_rng(3)
-    sizes = [3, 1, 40, 2, 25]
-    token = np.repeat(np.arange(len(sizes)), sizes)
-    n = np.concatenate([np.sort(rng.integers(10, 60, k)) for k in sizes]).astype(np.int32)
-    whole = pa.RecordBatch.from_pydict({"token": token, "cid": np.arange(len(token)), "n": n, "pos": np.zeros(len(token), np.int32)})
-    monkeypatch.setattr(ngram_join, "GROUP_CAP", 8)
-    want = {e for t in range(len(sizes)) for e in ngram_join.forest(*(x[token == t] for x in (np.arange(len(token)), n, np.zeros(len(token), int))), 4, 5)}
-    held = []
-    seen = ngram_join.bounded_groups
-    monkeypatch.setattr(ngram_join, "bounded_groups", lambda *a: (held.append(x[0].num_rows) or x for x in seen(*a)))
-    for rows in range(1, 9):
-        got = [(r["a"], r["b"]) for b in ngram_join._candidates(4, 5)(whole.slice(i, rows) for i in range(0, len(token), rows)) for r in b.to_pylist()]
-        assert {tuple(sorted(e)) for e in got} == {tuple(sorted(e)) for e in want}
-    assert max(held) <= 2 * 8  # never a whole hot token
+    for trial in range(20):
+        sizes = rng.integers(1, 60, 5)
+        token = np.repeat(np.arange(len(sizes)), sizes)
+        n = np.concatenate([np.sort(rng.integers(10, 10 + 5 * (trial + 1), k)) for k in sizes]).astype(np.int32)
+        pos = (rng.random(len(n)) * (n - -(-4 * n // 5) + 1)).astype(np.int32)
+        cid = np.arange(len(n))
+        whole = pa.RecordBatch.from_pydict({"token": token, "cid": cid, "n": n, "pos": pos})
+        rest = n - pos
+        pairs = [(i, j) for i in cid for j in cid[i + 1 :] if token[i] == token[j] and 5 * n[i] >= 4 * n[j] and min(rest[i], rest[j]) >= ngram_join.overlap_needed(int(n[i]), int(n[j]), 4, 5)]
+        results = []
+        for rows in (1, 7, len(n)):
+            got = [(r["a"], r["b"]) for b in ngram_join._candidates(4, 5)(whole.slice(i, rows) for i in range(0, len(n), rows)) for r in b.to_pylist()]
+            root = connected(got)
+            assert all(root(i) == root(j) for i, j in pairs) and all(token[i] == token[j] for i, j in got) and len(got) < len(n)
+            assert all((n[i], pos[i]) == (n[j], pos[j]) or (min(i, j), max(i, j)) in pairs for i, j in got)
+            results.append(set(got))
+        assert results[0] == results[1] == results[2]
 
 
 def test_prefix_tree():
     rng = np.random.default_rng(0)
-    for _ in range(40):
+    for trial in range(60):
         base = rng.integers(0, 2**63, 40).astype(np.uint64)
-        sets = list({s.tobytes(): s for s in (np.unique(np.concatenate((base[rng.random(40) < 0.9], rng.integers(0, 2**63, 2).astype(np.uint64)))) for _ in range(20))}.values())
+        keep = 0.9 if trial % 2 else 0.5
+        sets = [np.unique(np.concatenate((base[rng.random(40) < keep], rng.integers(0, 2**63, rng.integers(1, 9)).astype(np.uint64)))) for _ in range(20)]
+        sets = list({s.tobytes(): s for s in [*sets, *(s[:9] for s in sets[:3])]}.values())
         tree = ngram_join.PrefixTree(sets)
-        for i, s in enumerate(sets):
-            want = {j for j, o in enumerate(sets) if 10 * len(np.intersect1d(s, o)) >= 8 * len(np.union1d(s, o))}
-            assert set(tree.links(i, 8, 10).tolist()) == want
+        linked = lambda s, o: 10 * len(np.intersect1d(s, o)) >= 8 * len(np.union1d(s, o))
+        pairs = [(i, j) for i, s in enumerate(sets) for j, o in enumerate(sets) if linked(s, o)]
+        for i in range(len(sets)):
+            assert sorted(tree.links(i, 8, 10)[0].tolist()) == [j for k, j in pairs if k == i]
+        want, label = connected(pairs), rng.integers(0, len(sets), len(sets))
+        got = connected(ngram_join.match_block(list(range(len(sets))), sets, 8, 10))
+        assert all((want(i) == want(j)) == (got(i) == got(j)) for i in range(len(sets)) for j in range(i))
+        known = [(i, j) for i in range(len(sets)) for j in range(i) if label[i] == label[j]]
+        want, got = connected(pairs + known), connected(ngram_join.match_block(list(range(len(sets))), sets, 8, 10, label) + known)
+        assert all((want(i) == want(j)) == (got(i) == got(j)) for i in range(len(sets)) for j in range(i))
+
+
+def test_a_tree_of_many_near_copies_is_walked_once():
+    rng = np.random.default_rng(1)
+    base, sets = rng.integers(0, 2**63, 300).astype(np.uint64), []
+    for _ in range(4000):
+        copy = base.copy()
+        copy[rng.integers(0, 300, 5)] = rng.integers(0, 2**63, 5).astype(np.uint64)
+        sets.append(np.unique(copy))
+    seen = []
+    walk = ngram_join.PrefixTree.links
+    try:
+        ngram_join.PrefixTree.links = lambda *a: (seen.append(r[1]) or r) if (r := walk(*a)) else r
+        links = ngram_join.match_block(list(range(4000)), sets, 9, 10)
+    finally:
+        ngram_join.PrefixTree.links = walk
+    assert len(links) == 3999 and sum(seen) < 20 * 4000
 
 
 def test_content_sort(spark, docs, rows, empty):
