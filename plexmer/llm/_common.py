@@ -22,8 +22,14 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_folder()).rstrip("/")
+    """The cluster's shared folder, `spark.checkpoint.dir`; a folder of this machine only where none is set and all of Spark runs on it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = _own_folder()
+    return folder.rstrip("/")
 
 
 def workspace(spark: SparkSession, tag: str) -> str:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plexmer.llm import _tokens, _words, mixture, ngram_join, packing, syncmers, token_files, toxicity, warc
-from plexmer.llm._common import workspace
+from plexmer.llm._common import shared_folder, workspace
 from plexmer.llm._graph import components
 from plexmer.llm.content_sort import content_sort_dedup
 from plexmer.llm.html_text import extract_main_text, main_text
@@ -72,6 +72,16 @@ def test_word_hashes_do_not_depend_on_place():
     assert (_words.rolling_hashes(x, 7)[5:20] == _words.rolling_hashes(x[5:26], 7)).all()
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as Space
+
+    session = lambda master, folder: Space(conf=Space(get=lambda key, default: folder), sparkContext=Space(master=master))
+    assert shared_folder(session("yarn", "hdfs://x/y/")) == "hdfs://x/y" and shared_folder(session("local[2]", None)).startswith("file:")
+    for master in ("yarn", "spark://a:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 3), (200, 201), (7, 7)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
