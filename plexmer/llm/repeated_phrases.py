@@ -11,8 +11,10 @@ also starts anywhere else in the corpus.  Steps:
 2. grams that occur at least twice are found in one sorted pass over the distinct grams of each
    `UNIT` rows, so a gram of many texts is few rows;
 3. around each of their occurrences the stretch of words whose windows chose it is written out.  The hashes (128 bits) of its windows are
-   counted over all stretches, with sums before the shuffle; the windows counted twice or more are the confirmed
-   phrases, and the first stretch that holds one gives its words;
+   counted over all stretches, with sums before the shuffle; the windows counted twice or more are confirmed, and the first
+   stretch that holds one gives its words.  Neighbouring windows that occur in the same places everywhere (told by a
+   64-bit sum over their places) are merged into one phrase, others are phrases of their own, so that a text which
+   holds a part of a passage is found as well;
 4. phrases are dealt to shards by their anchor's gram, `PHRASES` to an automaton, and each shard's are compiled into
    Aho-Corasick automata over words (pyahocorasick).  All stretches are streamed through the automata of their gram's shard,
    which decide, word by word, where each phrase occurs.  A shard with many stretches is
@@ -20,7 +22,7 @@ also starts anywhere else in the corpus.  Steps:
 5. the windows found mark the words to remove.
 
 A text without a recurring gram holds no phrase, so only the others are streamed.  Windows are judged on the input, never on what is
-left.  Overlapping phrases are not merged: a text may hold a part of the merged passage only.
+left.
 
 Defined cases: null or wordless texts have no words and keep the digest of the empty
 text; texts shorter than a window lose nothing; very long texts are read whole; repeated rows are repeats of one
@@ -46,10 +48,10 @@ WINDOW = 35
 GRAM = 10
 #: Rows of the scan, by their numbers, for which a gram is counted at once; a power of two.
 UNIT = 1024
-#: Phrases of an automaton, at most (about 60 MB).
+#: Phrases of an automaton, at most about (60 MB).
 PHRASES = 20_000
 #: Stretches streamed by a task through one automaton, about.
-STRETCHES = 100_000
+STRETCHES = 20_000
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
 
 
@@ -75,7 +77,7 @@ def joined(text: str | None) -> bytes:
 
 
 def _scan(window: int, gram: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("key", pa.binary()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_words", pa.int64()), ("key", pa.binary()), ("grams", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
 
     def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in arrays]))).astype(np.int32)
@@ -94,7 +96,7 @@ def _scan(window: int, gram: int):
                 grams.append(hashes[at].view(np.int64))
                 places.append(at.astype(np.int32))
             keys = [hashlib.sha256(joined(t)).digest() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists(grams, pa.int64()), lists(places, pa.int32())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists(grams, pa.int64()), lists(places, pa.int32())], schema=schema)
 
     return run
 
@@ -138,17 +140,21 @@ def _wanted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("cid", pa.int64()), ("places", pa.list_(pa.int32()))])
     unit, grams = None, np.zeros(0, np.int64)
     for batch in batches:
-        out = []
-        for at, rid, own, places in zip(*(batch.column(c) for c in ("unit", "rid", "grams", "places")), strict=True):
-            own = own.values.to_numpy(zero_copy_only=False)
-            if rid.as_py() is None:
-                unit, grams = at.as_py(), np.sort(own)
-            elif at.as_py() == unit:
-                found = places.values.to_numpy(zero_copy_only=False)[np.isin(own, grams)]
-                if len(found):
-                    out.append((rid.as_py(), np.sort(found)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        bounds = run_bounds(column(batch, "unit"))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            part = batch.slice(a, b - a)
+            if part.column("rid")[0].as_py() is None:
+                unit, grams = part.column("unit")[0].as_py(), part.column("grams")[0].values.to_numpy(zero_copy_only=False)
+                part = part.slice(1)
+            if not part.num_rows or part.column("unit")[0].as_py() != unit:
+                continue
+            places = part.column("places")
+            found = np.isin(part.column("grams").flatten().to_numpy(zero_copy_only=False), grams)
+            ends = np.concatenate(([0], np.cumsum(found)))[places.offsets.to_numpy() - places.offsets[0].as_py()]
+            some = np.flatnonzero(np.diff(ends))
+            if len(some):
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(places.flatten().to_numpy(zero_copy_only=False)[found]))
+                yield pa.RecordBatch.from_arrays([part.column("rid").take(some), lists.take(some)], schema=schema)
 
 
 def _stretches(window: int, gram: int):
@@ -179,43 +185,71 @@ def _stretches(window: int, gram: int):
     return run
 
 
-def window_hashes(array: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Two 64-bit hashes of every window of each text."""
-    for words in _word_hashes(array):
-        yield rolling_hashes(words, window).view(np.int64), rolling_hashes(mix(words), window).view(np.int64)
+def _turned(marks: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """64-bit marks turned left by so many bits."""
+    by = (by % 64).astype(np.uint64)
+    return (marks << by) | (marks >> (np.uint64(63) - by) >> np.uint64(1))
+
+
+def window_hashes(array: pa.Array, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of every window of the texts: the text's number, the window's in it, and two 64-bit hashes; some texts at a time."""
+    for at, raw, offs in slices(array):
+        starts, ends, first = word_spans(raw, offs)
+        words = word_hashes(raw, starts, ends, lower=False)
+        counts = np.maximum(np.diff(first) - window + 1, 0)
+        text = np.repeat(np.arange(len(counts)), counts)
+        within = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = first[:-1][text] + within
+        yield at + text, within, rolling_hashes(words, window)[place], rolling_hashes(mix(words), window)[place]
 
 
 def _windows(window: int):
-    """Distinct windows of a batch of stretches, with their numbers and the least stretch that holds each."""
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("sid", pa.int64())])
+    """Distinct windows of a batch of stretches, with their numbers, the least stretch that holds each, and a sum (exclusive or) over their places."""
+    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("sid", pa.int64()), ("places", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = list(window_hashes(batch.column("words"), window))
-            sid = np.repeat(column(batch, "sid"), [len(a) for a, _ in pairs])
-            if not len(sid):
-                continue
-            h1, h2 = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            order = np.lexsort((sid, h2, h1))
-            h1, h2, sid = h1[order], h2[order], sid[order]
-            at = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-            yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(np.diff(np.append(at, len(h1))).astype(np.int32)), pa.array(sid[at])], schema=schema)
+            ids = column(batch, "sid")
+            for text, within, h1, h2 in window_hashes(batch.column("words"), window):
+                if not len(text):
+                    continue
+                order = np.lexsort((h2, h1))
+                h1, h2, sid = h1[order], h2[order], ids[text[order]]
+                places = _turned(mix(sid.astype(np.uint64) + np.uint64(1)), within[order])
+                at = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
+                yield pa.RecordBatch.from_arrays([pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), pa.array(np.diff(np.append(at, len(h1))).astype(np.int32)), pa.array(np.minimum.reduceat(sid, at)), pa.array(np.bitwise_xor.reduceat(places, at).view(np.int64))], schema=schema)
 
     return run
 
 
+def merged(h1: np.ndarray, known: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, last) window of each phrase among a stretch's windows with these hashes; `known`: number and sum of places of the confirmed ones."""
+    out: list[tuple[int, int]] = []
+    before = None
+    for i, h in enumerate(h1.tolist()):
+        now = known.pop(h, None)  # a window that comes again is a phrase already
+        if now and before and out[-1][1] == i - 1 and now[0] == before[0] and now[1] == (before[1] << 1 | before[1] >> 63) & 0xFFFFFFFFFFFFFFFF:
+            out[-1] = (out[-1][0], i)
+        elif now:
+            out.append((i, i))
+        before = now
+    return out
+
+
 def _phrases(window: int):
-    """Stretches with the hashes of the windows they are to give -> the words of these windows."""
+    """Stretches with the windows they are to give (hash, number, sum of places) -> the words of the phrases these make."""
     schema = pa.schema([("gram", pa.int64()), ("words", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for gram, text, wanted, (h1, _) in zip(batch.column("gram").to_pylist(), batch.column("words").to_pylist(), batch.column("hashes"), window_hashes(batch.column("words"), window), strict=True):
-                words = text.encode().split()
-                places = np.flatnonzero(np.isin(h1, wanted.values.to_numpy()))
-                first = places[np.unique(h1[places], return_index=True)[1]]
-                out += [(gram, b" ".join(words[i : i + window]).decode()) for i in first.tolist()]
+            grams, texts, wanted = (batch.column(c).to_pylist() for c in ("gram", "words", "windows"))
+            for text, _, h1, _ in window_hashes(batch.column("words"), window):
+                bounds = run_bounds(text)
+                for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    i = int(text[a])
+                    words, known = texts[i].encode().split(), {w["h"] & 0xFFFFFFFFFFFFFFFF: (w["n"], w["places"] & 0xFFFFFFFFFFFFFFFF) for w in wanted[i]}
+                    out += [(grams[i], b" ".join(words[x : y + window]).decode()) for x, y in merged(h1[a:b], known)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
@@ -232,14 +266,14 @@ class Phrases:
             self.automaton.add_word(tuple(self.number.setdefault(w, len(self.number) + 1) for w in words), len(words))
         self.automaton.make_automaton()
 
-    def starts(self, words: list[bytes]) -> list[int]:
-        """Where the phrases occur in a text."""
-        return [end - n + 1 for end, n in self.automaton.iter(tuple(self.number.get(w, 0) for w in words))]
+    def spans(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """Where the phrases occur in a text: first word and one past the last."""
+        return [(end - n + 1, end + 1) for end, n in self.automaton.iter(tuple(self.number.get(w, 0) for w in words))]
 
 
 def _located(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by cell (shard, automaton, task), first its phrases (cid null), then stretches -> starts of phrases in texts.  One automaton is held."""
-    schema = pa.schema([("cid", pa.int64()), ("starts", pa.list_(pa.int32()))])
+    """Rows by cell (shard, automaton, task), first its phrases (cid null), then stretches -> words of texts that phrases cover, first and one past the last.  One automaton is held."""
+    schema = pa.schema([("cid", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))])
     at, waiting, automaton = None, [], None
     for batch in batches:
         out = []
@@ -252,24 +286,24 @@ def _located(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if waiting:
                 automaton, waiting = Phrases(waiting), []
-            found = automaton.starts(words) if automaton else []
+            found = automaton.spans(words) if automaton else []
             if found:
-                out.append((cid, [start + i for i in found]))
+                out.append((cid, [start + a for a, _ in found], [start + b for _, b in found]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def _removed(window: int):
+def _removed():
     schema = pa.schema([("cid", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for cid, text, starts in zip(batch.column("cid").to_pylist(), batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for cid, text, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("cid", "text", "starts", "ends")), strict=True):
                 words = text.encode().split()
                 step = np.zeros(len(words) + 1, np.int64)
                 np.add.at(step, np.array(starts), 1)
-                np.add.at(step, np.array(starts) + window, -1)
+                np.add.at(step, np.array(ends), -1)
                 cover = np.cumsum(step[:-1]) > 0
                 bounds = run_bounds(cover)
                 spans = [{"first": int(a), "last": int(b) - 1} for a, b in zip(bounds[:-1], bounds[1:], strict=True) if cover[a]]
@@ -282,7 +316,7 @@ def _removed(window: int):
 
 
 def _streamed(phrases: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
-    """(cid, starts) of the phrases (gram, words) in the stretches (gram, cid, start, words)."""
+    """(cid, starts, ends) of the phrases (gram, words) in the stretches (gram, cid, start, words)."""
     shards = max(width, -(-2 * phrases.count() // PHRASES))
     shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).alias("shard")
     size = lambda rows, name, most: rows.select(shard).groupBy("shard").agg(F.ceil(F.count("*") / most).alias(name))
@@ -292,7 +326,7 @@ def _streamed(phrases: DataFrame, stretches: DataFrame, width: int) -> DataFrame
     known = phrases.select(shard, "words").join(cells, "shard").withColumn("automaton", F.pmod(F.xxhash64("words"), "automata")).withColumn("task", F.explode(F.expr("sequence(0L, tasks - 1)")))
     texts = stretches.select(shard, "cid", "start", "words").join(cells, "shard").withColumn("automaton", F.explode(F.expr("sequence(0L, automata - 1)"))).withColumn("task", F.pmod(F.xxhash64("cid", "start"), "tasks"))
     rows = known.select(cell, F.lit(None).cast("bigint").alias("cid"), F.lit(0).alias("start"), "words").unionByName(texts.select(cell, "cid", "start", "words"))
-    return rows.repartition(width, "cell").sortWithinPartitions("cell", F.col("cid").asc_nulls_first()).mapInArrow(_located, "cid bigint, starts array<int>")
+    return rows.repartition(width, "cell").sortWithinPartitions("cell", F.col("cid").asc_nulls_first()).mapInArrow(_located, "cid bigint, starts array<int>, ends array<int>")
 
 
 def repeated_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -300,29 +334,29 @@ def repeated_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     spark = docs.sparkSession
     small_batches(spark)
     width = shuffle_width(spark)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scanned = rows.mapInArrow(_scan(window, gram), "doc_id bigint, n_words bigint, key binary, grams array<bigint>, places array<int>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+    scanned = rows.mapInArrow(_scan(window, gram), "doc_id bigint, mark bigint, n_words bigint, key binary, grams array<bigint>, places array<int>")
     scanned = materialise(scanned.withColumn("rid", F.monotonically_increasing_id()), "scan")
-    classes = materialise(scanned.where(F.col("n_words") >= window).groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "classes")
+    classes = materialise(scanned.where(F.col("n_words") >= window).groupBy("key").agg(F.min("rid").alias("cid"), F.count("*").alias("copies")), "classes")
 
     unit = F.expr(f"rid DIV {UNIT}").alias("unit")
-    first = materialise(scanned.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(unit, "rid", "grams", "places"), "first")
+    first = materialise(scanned.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(unit, "rid", "doc_id", "mark", "grams", "places"), "first")
     counted = first.select("unit", "grams").mapInArrow(_unit_grams, "gram bigint, unit bigint, n int")
     repeated = counted.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_repeated, "gram bigint, unit bigint")
     recurring = repeated.groupBy("unit").agg(F.collect_set("gram").alias("grams"))  # grams of UNIT rows
-    both = recurring.select("unit", F.lit(None).cast("bigint").alias("rid"), "grams", F.expr("CAST(array() AS ARRAY<INT>)").alias("places")).unionByName(first)
-    wanted = both.repartition(width, "unit").sortWithinPartitions("unit", F.col("rid").asc_nulls_first()).mapInArrow(_wanted, "cid bigint, places array<int>").join(classes, "cid")
+    both = recurring.select("unit", F.lit(None).cast("bigint").alias("rid"), "grams", F.expr("CAST(array() AS ARRAY<INT>)").alias("places")).unionByName(first.select("unit", "rid", "grams", "places"))
+    wanted = both.repartition(width, "unit").sortWithinPartitions("unit", F.col("rid").asc_nulls_first()).mapInArrow(_wanted, "cid bigint, places array<int>").join(first.select(F.col("rid").alias("cid"), "doc_id", F.col("mark").alias("own")), "cid")
 
-    texts = rows.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).where(F.sha2(F.encode(_one_space("text"), "UTF-8"), 256) == F.lower(F.hex("key")))
+    texts = rows.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("own")))
     texts = materialise(texts.select("cid", "text", "places"), "candidates")
     stretches = texts.mapInArrow(_stretches(window, gram), "gram bigint, cid bigint, start int, words string")
     stretches = materialise(stretches.withColumn("sid", F.monotonically_increasing_id()), "stretches")
-    confirmed = stretches.select("sid", "words").mapInArrow(_windows(window), "h1 bigint, h2 bigint, n int, sid bigint").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("sid").alias("sid")).where("n > 1")
-    chosen = confirmed.groupBy("sid").agg(F.collect_list("h1").alias("hashes"))  # windows of one stretch
-    phrases = materialise(stretches.select("sid", "gram", "words").join(chosen, "sid").select("gram", "words", "hashes").mapInArrow(_phrases(window), "gram bigint, words string"), "phrases")
+    counted = stretches.select("sid", "words").mapInArrow(_windows(window), "h1 bigint, h2 bigint, n int, sid bigint, places bigint").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("sid").alias("sid"), F.bit_xor("places").alias("places"))
+    confirmed = counted.where("n > 1").groupBy("sid").agg(F.collect_list(F.struct(F.col("h1").alias("h"), "n", "places")).alias("windows"))  # windows of one stretch
+    phrases = materialise(stretches.select("sid", "gram", "words").join(confirmed, "sid").select("gram", "words", "windows").mapInArrow(_phrases(window), "gram bigint, words string"), "phrases")
     found = _streamed(phrases, stretches, width)
-    found = found.groupBy("cid").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    removed = texts.select("cid", "text").join(found, "cid").mapInArrow(_removed(window), "cid bigint, spans array<struct<first: int, last: int>>, n_removed bigint, kept_sha256 string")
+    found = found.groupBy("cid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    removed = texts.select("cid", "text").join(found, "cid").mapInArrow(_removed(), "cid bigint, spans array<struct<first: int, last: int>>, n_removed bigint, kept_sha256 string")
     removed = removed.dropDuplicates(["cid"])
 
     named = classes.select("key", "cid", "copies").join(removed, "cid", "left").drop("cid")
@@ -334,7 +368,3 @@ def repeated_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         F.when(whole, every).otherwise(F.coalesce("spans", F.expr("CAST(array() AS ARRAY<STRUCT<first: INT, last: INT>>)"))).alias("spans"),
         F.when(whole, F.lit(EMPTY_SHA256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("key")))).alias("kept_sha256"),
     )
-
-
-def _one_space(text: str) -> F.Column:
-    return F.regexp_replace(F.regexp_replace(F.col(text), r"[\x20\x09-\x0D]+", " "), r"^ | \z", "")

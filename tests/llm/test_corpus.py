@@ -243,7 +243,25 @@ def test_automata():
     for _ in range(300):
         text = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(40)]
         phrases = {tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(3)) for _ in range(rng.randint(1, 9))}
-        assert repeated_phrases_module.Phrases(map(list, phrases)).starts(text) == [i for i in range(38) if tuple(text[i : i + 3]) in phrases]
+        assert repeated_phrases_module.Phrases(map(list, phrases)).spans(text) == [(i, i + 3) for i in range(38) if tuple(text[i : i + 3]) in phrases]
+
+
+def test_windows_that_occur_in_the_same_places_are_merged():
+    rng = random.Random(8)
+    for _ in range(300):
+        base = "".join(rng.choice("ab") for _ in range(30))
+        texts = [base[(a := rng.randrange(20)) : a + rng.randint(4, 12)] for _ in range(rng.randint(2, 5))]
+        stretches, window = [" ".join(t) for t in texts], 4
+        batch = pa.RecordBatch.from_pydict({"sid": pa.array(range(len(texts)), pa.int64()), "words": stretches})
+        rows = [r for b in repeated_phrases_module._windows(window)([batch]) for r in b.to_pylist() if r["n"] > 1]
+        wanted = [[{"h": r["h1"], "n": r["n"], "places": r["places"]} for r in rows if r["sid"] == i] for i in range(len(texts))]
+        whole = pa.RecordBatch.from_pydict({"gram": pa.array([0] * len(texts), pa.int64()), "words": stretches, "windows": pa.array(wanted, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32()), ("places", pa.int64())])))})
+        phrases = [r["words"].replace(" ", "") for b in repeated_phrases_module._phrases(window)([whole]) for r in b.to_pylist()]
+        count = collections.Counter(t[i : i + window] for t in texts for i in range(len(t) - window + 1))
+        for t in texts:  # phrases cover in each text just what windows that occur twice cover
+            want = {i + j for i in range(len(t) - window + 1) if count[t[i : i + window]] > 1 for j in range(window)}
+            got = {i + j for p in phrases for i in range(len(t) - len(p) + 1) if t.startswith(p, i) for j in range(len(p))}
+            assert got == want, (texts, phrases)
 
 
 def test_a_phrase_is_found_by_the_automaton_alone(spark, monkeypatch):
