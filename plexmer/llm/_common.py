@@ -40,9 +40,14 @@ def workspace(spark: SparkSession, tag: str) -> str:
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here, and
     lost executors cost no more than the reading task."""
+    return materialise_at(df, tag)[0]
+
+
+def materialise_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As `materialise`; the folder too, for `drop_folder` once all that reads it is written."""
     path = workspace(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def with_row_id(df: DataFrame, tag: str) -> DataFrame:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column, materialise, run_bounds, shuffle_width, small_batches
+from ._common import column, drop_folder, materialise, materialise_at, run_bounds, shuffle_width, small_batches
 from ._words import mix, rolling_hashes, slices, word_hashes, word_spans
 
 WINDOW = 35
@@ -340,7 +340,7 @@ def repeated_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     classes = materialise(scanned.where(F.col("n_words") >= window).groupBy("key").agg(F.min("rid").alias("cid"), F.count("*").alias("copies")), "classes")
 
     unit = F.expr(f"rid DIV {UNIT}").alias("unit")
-    first = materialise(scanned.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(unit, "rid", "doc_id", "mark", "grams", "places"), "first")
+    first, first_at = materialise_at(scanned.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(unit, "rid", "doc_id", "mark", "grams", "places"), "first")
     counted = first.select("unit", "grams").mapInArrow(_unit_grams, "gram bigint, unit bigint, n int")
     repeated = counted.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(_repeated, "gram bigint, unit bigint")
     recurring = repeated.groupBy("unit").agg(F.collect_set("gram").alias("grams"))  # grams of UNIT rows
@@ -349,12 +349,15 @@ def repeated_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     texts = rows.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("mark") == F.col("own")))
     texts = materialise(texts.select("cid", "text", "places"), "candidates")
+    drop_folder(spark, first_at)
     stretches = texts.mapInArrow(_stretches(window, gram), "gram bigint, cid bigint, start int, words string")
-    stretches = materialise(stretches.withColumn("sid", F.monotonically_increasing_id()), "stretches")
+    stretches, stretches_at = materialise_at(stretches.withColumn("sid", F.monotonically_increasing_id()), "stretches")
     counted = stretches.select("sid", "words").mapInArrow(_windows(window), "h1 bigint, h2 bigint, n int, sid bigint, places bigint").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("sid").alias("sid"), F.bit_xor("places").alias("places"))
     confirmed = counted.where("n > 1").groupBy("sid").agg(F.collect_list(F.struct(F.col("h1").alias("h"), "n", "places")).alias("windows"))  # windows of one stretch
-    phrases = materialise(stretches.select("sid", "gram", "words").join(confirmed, "sid").select("gram", "words", "windows").mapInArrow(_phrases(window), "gram bigint, words string"), "phrases")
-    found = _streamed(phrases, stretches, width)
+    phrases, phrases_at = materialise_at(stretches.select("sid", "gram", "words").join(confirmed, "sid").select("gram", "words", "windows").mapInArrow(_phrases(window), "gram bigint, words string"), "phrases")
+    found = materialise(_streamed(phrases, stretches, width), "found")
+    drop_folder(spark, stretches_at)
+    drop_folder(spark, phrases_at)
     found = found.groupBy("cid").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     removed = texts.select("cid", "text").join(found, "cid").mapInArrow(_removed(), "cid bigint, spans array<struct<first: int, last: int>>, n_removed bigint, kept_sha256 string")
     removed = removed.dropDuplicates(["cid"])
