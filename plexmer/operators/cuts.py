@@ -32,40 +32,75 @@ def view_histogram(occ: DataFrame) -> DataFrame:
 def winner_cut(occ: DataFrame, part: float = 0.005) -> DataFrame:
     """K-mers viewed at least as often as where the drop of the view histogram first falls below `part` of its steepest one.
 
-    Unit bins from 1 to the largest number of views, of which the last two values share one; the histogram, a row
-    for each number of views, goes through the driver.
+    Unit bins from 1 to the largest number of views, of which the last two values share one.  The window is over
+    these bins, a row for each number of views.
     """
-    counts = {int(r["nview"]): r["n"] for r in view_histogram(occ).collect()}
-    most = max(counts, default=0)
-    bins = np.array([counts.get(v, 0) for v in range(1, most)])
-    if len(bins):
-        bins[-1] += counts[most]
-    drops = np.diff(bins)
-    start = 1 + int(np.argmax(drops > drops.min() * part)) + 1 if len(drops) else 1
-    return occ.where(F.col("nview") >= start)
+    most = occ.agg(F.max("nview")).first()[0] or 0
+    if most < 3:
+        return occ
+    counts = view_histogram(occ).select(F.least("nview", F.lit(most - 1)).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n"))
+    bins = occ.sparkSession.range(1, most).join(F.broadcast(counts), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    drops = bins.withColumn("drop", F.lead("n").over(Window.orderBy("id")) - F.col("n")).where("drop IS NOT NULL")
+    steepest = drops.agg(F.min("drop")).first()[0]
+    level = drops.where(F.col("drop") > F.lit(part * steepest)).agg(F.min("id")).first()[0]
+    return occ.where(F.col("nview") > (level or 1))
+
+
+#: Windows of `smooth` by name; each gives so many weights.
+WINDOWS = {"flat": np.ones, "hanning": np.hanning, "hamming": np.hamming, "bartlett": np.bartlett, "blackman": np.blackman}
 
 
 def smooth(x: np.ndarray, length: int = 10, window: str = "hanning") -> np.ndarray:
-    """Convolution of a curve, mirrored at its ends, with a window whose weights sum to 1."""
-    if len(x) < length or length < 3:
+    """Weighted means of `length` neighbours of a curve that goes on as its mirror image; weights sum to 1.
+
+    The result has a value for every stretch that touches the curve.  Shorter curves, and lengths below 3, stay as they are.
+    """
+    if min(len(x), length) < max(length, 3):
         return x
-    weights = np.ones(length) if window == "flat" else {"hanning": np.hanning, "hamming": np.hamming, "bartlett": np.bartlett, "blackman": np.blackman}[window](length)
-    return np.convolve(weights / weights.sum(), np.concatenate((x[length - 1 : 0 : -1], x, x[-2 : -length - 1 : -1])), "valid")
+    weights = WINDOWS[window](length)
+    return np.lib.stride_tricks.sliding_window_view(np.pad(x, length - 1, "reflect"), length) @ (weights / weights.sum())
 
 
 def slope_cut(occ: DataFrame, width: int = 10, part: float = 0.01) -> DataFrame:
     """The k-mers, by falling views, up to where the smoothed slope of block means falls below `part` of the steepest one.
 
-    The curve is drawn from the histogram of views, a row for each number of views, and not from all k-mers; long level
-    stretches are shortened to 40 blocks, as the cut lies at the first of them or before.
+    All is read off the cumulated counts and sums of the histogram, a row for each number of views; the curve of blocks is drawn
+    only as far as the cut, and doubles while it is not found.
     """
-    counts = sorted(((r["nview"], r["n"]) for r in view_histogram(occ).collect()), reverse=True)
-    counts = [(v, n - max(0, n - 40 * width) // width * width) for v, n in counts]
-    curve = np.repeat([v for v, _ in counts], [n for _, n in counts]) if counts else np.zeros(0)
-    means = curve[: len(curve) // width * width].reshape(-1, width).mean(axis=1)
-    slopes = np.diff(means)
-    keep = int(np.argmax(smooth(slopes) > slopes.min() * part)) * width if len(slopes) else 0
-    return occ.orderBy(F.desc("nview"), "kmer_id").limit(keep)
+    counts = np.array(sorted(((r["nview"], r["n"]) for r in view_histogram(occ).collect()), reverse=True), float).reshape(-1, 2)
+    ends = np.concatenate(([0.0], np.cumsum(counts[:, 1])))
+    sums = np.concatenate(([0.0], np.cumsum(counts[:, 0] * counts[:, 1])))
+    blocks = int(ends[-1]) // width
+
+    def slopes(at: np.ndarray) -> np.ndarray:
+        """Mean of the block after each minus its own; sums grow in a line within equal views."""
+        low, middle, high = (np.interp((at + i) * width, ends, sums) for i in range(3))
+        return (high - 2 * middle + low) / width
+
+    if blocks < 2:
+        return occ.limit(0)
+    # slopes differ from 0 only beside blocks where the number of views changes
+    near = np.unique(np.clip((ends[1:-1] // width).astype(int)[:, None] + np.arange(-2, 2), 0, blocks - 2)) if len(counts) > 1 else np.zeros(1, int)
+    steepest, drawn, keep = slopes(near).min(), 0, 0
+    while drawn < blocks - 1 and not keep:
+        drawn = min(blocks - 1, max(1024, 2 * drawn))
+        found = np.flatnonzero(smooth(slopes(np.arange(drawn))) > steepest * part)
+        keep = int(found[0]) if len(found) and (found[0] < drawn or drawn == blocks - 1) else 0  # what lies beyond the drawn part is not mirrored yet
+        if len(found) and not found[0]:
+            break
+    return occ.orderBy(F.desc("nview"), "kmer_id").limit(keep * width)
+
+
+def running_counts(counts: DataFrame, key: str, parts: int = 64) -> DataFrame:
+    """`counts` (key, n), a row a key, with upto: the sum of n of all keys up to its own; keys are cut into `parts` ranges, summed apart."""
+    shares = [i / parts for i in range(1, parts)]
+    cut = sorted(set(counts.agg(F.percentile_approx(key, shares)).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cut)), lambda c: c <= F.col(key))) if cut else F.lit(0)
+    placed = counts.withColumn("_part", part)
+    totals = placed.groupBy("_part").agg(F.sum("n").alias("_n"))
+    before = totals.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row a range
+    own = F.sum("n").over(Window.partitionBy("_part").orderBy(key))
+    return placed.join(F.broadcast(before), "_part").select(*counts.columns, (own + F.col("_before")).alias("upto"))
 
 
 def view_bins(occ: DataFrame, bins: int = 20) -> DataFrame:
@@ -97,7 +132,7 @@ def sum_buckets(matrix: DataFrame) -> DataFrame:
     sums = matrix.groupBy("kmer_id").agg(F.sum("val").alias("total"))
     counts = sums.groupBy("total").agg(F.count("*").alias("n"))
     most = counts.agg(F.max("n")).first()[0] or 1
-    placed = counts.select("total", F.floor((F.sum("n").over(Window.orderBy("total")) - 1) / most).alias("bucket"))
+    placed = running_counts(counts, "total").select("total", F.floor((F.col("upto") - 1) / most).alias("bucket"))
     return sums.join(placed, "total").select("kmer_id", "total", "bucket")
 
 
@@ -112,7 +147,7 @@ def variability(dense: DataFrame, bins: int = 20) -> DataFrame:
     ratio = rows.select("kmer_id", F.round(ratio, 9).alias("ratio")).where("ratio IS NOT NULL")
     counts = ratio.groupBy("ratio").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 1
-    ranked = counts.select("ratio", F.floor((F.sum("n").over(Window.orderBy("ratio")) - F.col("n")) * bins / total).alias("bin"))
+    ranked = running_counts(counts, "ratio").select("ratio", F.floor((F.col("upto") - F.col("n")) * bins / total).alias("bin"))
     binned = ratio.join(ranked, "ratio")
     stats = binned.groupBy("bin").agg(F.avg("ratio").alias("mid"), F.stddev_samp("ratio").alias("dev"))
     return binned.join(F.broadcast(stats), "bin").select("kmer_id", "ratio", "bin", F.try_divide(F.col("ratio") - F.col("mid"), F.col("dev")).alias("z"))  # `bins` rows

@@ -2,32 +2,63 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stats import symmetric_uncertainty
-
 
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def _bits(counts: np.ndarray) -> np.ndarray:
+    """x * log2(x), 0 for 0."""
+    return counts * np.log2(np.where(counts > 0, counts, 1))
+
+
+class StateTable:
+    """Rows of states as 0/1 columns for each state, so that one product counts a row's states against those of all others."""
+
+    def __init__(self, states: np.ndarray) -> None:
+        self.n = states.shape[1]
+        values = np.unique(states)
+        self.hot = np.stack([states == v for v in values], 1).astype(np.float32)  # row, state, sample
+        self.own = _bits(self.hot.sum(axis=2).astype(float)).sum(axis=1)
+
+    def uncertainty(self, row: int, others: np.ndarray) -> np.ndarray:
+        """Symmetric uncertainty of a row and each of the others; 0 where both are constant."""
+        joint = _bits((self.hot[others] @ self.hot[row].T).astype(float)).sum(axis=(1, 2))
+        whole = self.n * np.log2(self.n)
+        apart = 2 * whole - self.own[others] - self.own[row]  # n times both entropies
+        shared = whole - self.own[others] - self.own[row] + joint
+        return np.divide(2 * shared, apart, out=np.zeros(len(joint)), where=apart > 1e-9)
+
+
 def greedy_keep(states: np.ndarray, distance: int, most_su: float = 0.7) -> np.ndarray:
     """Rows kept: in order, those neither within `distance` of a kept row nor above `most_su` with one."""
-    kept: list[int] = []
+    table, kept = StateTable(states), np.zeros(0, int)
     for i, row in enumerate(states):
-        if kept:
-            others = states[kept]
-            if ((others != row).sum(axis=1) <= distance).any():
-                continue
-            if any((0.0 if math.isnan(su := symmetric_uncertainty(row, o)) else su) > most_su for o in others):
-                continue
-        kept.append(i)
-    return np.array(kept, int)
+        if len(kept) and (((states[kept] != row).sum(axis=1) <= distance).any() or (table.uncertainty(i, kept) > most_su).any()):
+            continue
+        kept = np.append(kept, i)
+    return kept
+
+
+def reduced(states: np.ndarray, most_su: float = 0.5) -> np.ndarray:
+    """Rows left when of every two with a symmetric uncertainty above `most_su` the earlier one goes."""
+    table, rows = StateTable(states), np.arange(len(states))
+    return np.array([i for i in rows if not (table.uncertainty(i, rows[i + 1 :]) > most_su).any()], int)
+
+
+def reduce_features(matrix: DataFrame, most_su: float = 0.5) -> DataFrame:
+    """(bucket, kmer_id, states) -> the rows that no later row of their bucket, by kmer_id, says nearly the same as."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("kmer_id", ignore_index=True)
+        return frame.iloc[reduced(np.stack(frame["states"].to_numpy()), most_su)]
+
+    return matrix.select("bucket", "kmer_id", "states").groupBy("bucket").applyInPandas(run, "bucket string, kmer_id bigint, states array<int>")
 
 
 def drop_redundant(matrix: DataFrame, distance: int, most_su: float = 0.7) -> DataFrame:
