@@ -9,6 +9,7 @@ Spark job.  Fitness is held-out accuracy of a one-vs-rest linear classifier
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -42,6 +43,9 @@ class Config:
     test_rate: float = 0.3
     rotations: int = 2
     stop_score: float = 1.1
+    #: Standard deviations of normal noise added to each feature of the training samples, and of the test samples.
+    train_noise: float = 0.0
+    test_noise: float = 0.0
     seed: int = 0
 
 
@@ -91,24 +95,31 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def fitness(spark: SparkSession, population: list[tuple[int, ...]], block: dict[int, np.ndarray], groups: np.ndarray, state: np.ndarray, rotations: int) -> np.ndarray:
-    """Mean accuracy of every individual over rotations, one task a slice of the population."""
+def noisy(x: np.ndarray, factor: float, rng: np.random.Generator) -> np.ndarray:
+    """Each column with normal noise of `factor` times its standard deviation (of the population)."""
+    return x + rng.standard_normal(x.shape) * x.std(axis=0) * factor if factor else x
+
+
+def fitness(spark: SparkSession, population: list[tuple[int, ...]], block: dict[int, np.ndarray], groups: np.ndarray, state: np.ndarray, config: Config, seed: int = 0) -> np.ndarray:
+    """Mean accuracy of every individual over rotations, one task a slice of the population; the genes' rows, a generation's, are broadcast."""
+    shared = spark.sparkContext.broadcast(block)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for genes in frame["genes"]:
-                x = unit_rows(np.stack([block[g] for g in genes], 1))
-                parts = []
-                for r in range(rotations):
+                x = unit_rows(np.stack([shared.value[g] for g in genes], 1))
+                parts, rng = [], np.random.default_rng([seed, *(int(g) % 2**32 for g in genes)])
+                for r in range(config.rotations):
                     test = (state > 0) & ((state >> r) & 1 == 1)
                     train = (state >= 0) & ~test
-                    parts.append(linear_scores(x[train], groups[train], x[test], groups[test]))
+                    parts.append(linear_scores(noisy(x[train], config.train_noise, rng), groups[train], noisy(x[test], config.test_noise, rng), groups[test]))
                 out.append(float(np.mean(parts)))
             yield pd.DataFrame({"ind": frame["ind"], "score": out})
 
     rows = spark.createDataFrame([(i, [int(g) for g in p]) for i, p in enumerate(population)], "ind int, genes array<bigint>")
     got = rows.repartition(min(len(population), spark.sparkContext.defaultParallelism)).mapInPandas(score, "ind int, score double").collect()
+    shared.destroy()
     return np.array([r["score"] for r in sorted(got)])
 
 
@@ -159,61 +170,151 @@ def grid(**choices: list) -> list[Config]:
     return [replace(Config(), **dict(zip(choices, values))) for values in itertools.product(*choices.values())]
 
 
-def run(spark: SparkSession, matrix: DataFrame, groups: list[str], config: Config, population: list[tuple[int, ...]] | None = None, outer: np.ndarray | None = None, keep: list[int] | None = None) -> DataFrame:
+class Pool:
+    """Random features, drawn some thousands at a time: those lowest by a hash of id and draw, so ids stay in the cluster."""
+
+    def __init__(self, matrix: DataFrame, size: int, seed: int, draws: int = 0) -> None:
+        self.matrix, self.size, self.seed, self.draws, self.waiting = matrix, size, seed, draws, []
+
+    def take(self) -> int:
+        if not self.waiting:
+            found = self.matrix.select("kmer_id").orderBy(F.xxhash64("kmer_id", F.lit(self.seed), F.lit(self.draws)), "kmer_id").limit(self.size).collect()
+            self.waiting, self.draws = [int(r["kmer_id"]) for r in found][::-1], self.draws + 1
+            if not self.waiting:
+                raise ValueError("no features to search")
+        return self.waiting.pop()
+
+
+def key(genes: list[int] | tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(sorted(genes))
+
+
+def fresh(pool: Pool, kmers: int, known: set[tuple[int, ...]], tries: int = 1000) -> tuple[int, ...]:
+    """A random individual of distinct features that is not known yet, if `tries` draws give one."""
+    for _ in range(tries):
+        genes: list[int] = []
+        for _ in range(100 * kmers):
+            if len(genes) == kmers:
+                break
+            if (g := pool.take()) not in genes:
+                genes.append(g)
+        if len(genes) < kmers:
+            raise ValueError(f"fewer than {kmers} features to search")
+        if key(genes) not in known:
+            break
+    return tuple(genes)
+
+
+def mutated(genes: tuple[int, ...], gene_rate: float, one: bool, pool: Pool, known: set[tuple[int, ...]], rng: np.random.Generator, tries: int = 1000) -> tuple[int, ...]:
+    """Each gene redrawn with probability `gene_rate`, or `one` alone; genes go on being redrawn until the individual is new and its genes differ."""
+    new = list(genes)
+    hit = np.arange(len(new)) == rng.integers(len(new)) if one else rng.random(len(new)) < gene_rate
+    for i in np.flatnonzero(hit):
+        new[i] = pool.take()
+    for _ in range(tries):
+        if key(new) not in known and len(set(new)) == len(new):
+            return tuple(new)
+        new[rng.integers(len(new))] = pool.take()
+    return genes
+
+
+def translocated(genes: tuple[int, ...], other: tuple[int, ...], pool: Pool, known: set[tuple[int, ...]], rng: np.random.Generator) -> tuple[int, ...]:
+    """A stretch of `other` in place of one of `genes`; what then comes twice is redrawn.  The old individual where the new one is known."""
+    size = int(rng.integers(len(genes)))
+    a, b = rng.integers(len(genes) - size + 1, size=2)
+    new = [*genes[:a], *other[b : b + size], *genes[a + size :]]
+    for i in range(len(new)):
+        for _ in range(100):
+            if new[i] not in new[:i]:
+                break
+            new[i] = pool.take()
+    return tuple(new) if len(set(new)) == len(new) and key(new) not in known else genes
+
+
+def save_state(spark: SparkSession, folder: str, generation: int, state: dict) -> None:
+    """One small text file a generation."""
+    spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/generation={generation:08d}")
+
+
+def last_state(spark: SparkSession, folder: str) -> dict | None:
+    """The newest whole state of a folder, None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return None
+    done = sorted(str(f.getPath()) for f in system.listStatus(path) if system.exists(spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")))
+    return json.loads(spark.read.text(done[-1]).first()["value"]) if done else None
+
+
+def run(spark: SparkSession, matrix: DataFrame, groups: list[str], config: Config, population: list[tuple[int, ...]] | None = None, outer: np.ndarray | None = None, keep: list[int] | None = None, checkpoint: str | None = None) -> DataFrame:
     """Search (kmer_id, vals); a row a generation: best score, outer score, mean of the ten best, best individual.
 
-    `population` and `outer` restart a search, `keep` restricts it to the listed k-mers.
+    `population` and `outer` restart a search, `keep` restricts it to the listed k-mers.  With `checkpoint`, a folder that all
+    machines share, every generation is written there, and a search that finds one goes on after it, to the same history.
     """
     rng, y = np.random.default_rng(config.seed), np.unique(groups, return_inverse=True)[1]
     if keep is not None:
         matrix = matrix.join(F.broadcast(spark.createDataFrame([(int(k),) for k in keep], "kmer_id bigint").distinct()), "kmer_id", "left_semi")  # a list the caller holds
-    ids = np.array([r["kmer_id"] for r in matrix.select("kmer_id").orderBy("kmer_id").collect()])
     matrix = matrix.persist()
-    draw = lambda: tuple(rng.choice(ids, config.kmers, replace=False).tolist())
-    population = [tuple(p) for p in population or ()][: config.individuals]
-    population += [draw() for _ in range(config.individuals - len(population))]
-    outer = outer_holdout(y, config.outer_rate, rng) if outer is None else np.asarray(outer)
+    pool = Pool(matrix, 4 * config.individuals * config.kmers, config.seed)
+    saved = last_state(spark, checkpoint) if checkpoint else None
+    history, start = [], 0
+    if saved:
+        history, start, outer = [tuple(h) for h in saved["history"]], saved["generation"] + 1, np.array(saved["outer"])
+        population, rng.bit_generator.state = [tuple(p) for p in saved["population"]], saved["random"]
+        pool.draws, pool.waiting = saved["draws"], saved["waiting"]
+    else:
+        population = [tuple(p) for p in population or ()][: config.individuals]
+        known = set(map(key, population))
+        while len(population) < config.individuals:
+            population.append(fresh(pool, config.kmers, known))
+            known.add(key(population[-1]))
+        outer = outer_holdout(y, config.outer_rate, rng) if outer is None else np.asarray(outer)
     block: dict[int, np.ndarray] = {}
-    history = []
-    for generation in range(config.generations):
-        new = sorted({g for p in population for g in p} - set(block))
-        if new:
-            listed = F.broadcast(spark.createDataFrame([(int(g),) for g in new], "kmer_id bigint"))  # individuals x kmers ids at most
-            block |= {r["kmer_id"]: np.array(r["vals"]) for r in matrix.join(listed, "kmer_id").collect()}
+    for generation in range(start, config.generations):
+        if history and history[-1][1] >= config.stop_score:
+            break
+        # rows of this generation's genes: individuals x kmers at most
+        genes = {g for p in population for g in p}
+        block = {g: v for g, v in block.items() if g in genes}
+        listed = F.broadcast(spark.createDataFrame([(int(g),) for g in sorted(genes - set(block))], "kmer_id bigint"))
+        block |= {r["kmer_id"]: np.array(r["vals"]) for r in matrix.join(listed, "kmer_id").collect()}
         state = rotate(y, outer, config.test_rate, config.rotations, rng)
-        scores = fitness(spark, population, block, y, state, config.rotations)
+        scores = fitness(spark, population, block, y, state, config, config.seed + generation)
         ranks, best = rank(scores), int(np.argmax(scores))
         x = unit_rows(np.stack([block[g] for g in population[best]], 1))
         held = outer == -1
         outer_score = linear_scores(x[~held], y[~held], x[held], y[held]) if held.any() else float("nan")
         history.append((generation, float(scores[best]), outer_score, float(np.sort(scores)[::-1][:10].mean()), sorted(int(g) for g in population[best])))
-        if scores[best] >= config.stop_score:
-            break
-        p = kill_probabilities(scores)
-        cumulated = np.array([p[ranks <= r].sum() for r in ranks])
-        for i in range(len(population)):
-            if ranks[i] > config.elite and rng.random() <= cumulated[i] * 2 * config.kill_ratio:
-                population[i] = draw()
-        known = {tuple(sorted(q)) for q in population}
-        for i in range(len(population)):
-            if ranks[i] <= config.elite:
-                continue
-            genes = list(population[i])
-            if rng.random() < rate(config.algorithm, scores[i], scores, config.mutation, config.logistic_mutation):
-                if config.one_gene_mutation:
-                    genes[rng.integers(len(genes))] = int(rng.choice(ids))
-                while tuple(sorted(genes)) in known or len(set(genes)) < len(genes):
-                    genes[rng.integers(len(genes))] = int(rng.choice(ids))
-            elif rng.random() < rate(config.algorithm, scores[i], scores, config.translocation, config.logistic_translocation):
-                other, size = population[mate(scores, config.tournament, rng)], int(rng.integers(len(genes)))
-                a, b = rng.integers(len(genes) - size + 1), rng.integers(len(genes) - size + 1)
-                mixed = genes[:a] + list(other[b : b + size]) + genes[a + size :]
-                genes = mixed if len(set(mixed)) == len(mixed) and tuple(sorted(mixed)) not in known else genes
-            population[i] = tuple(genes)
-            known.add(tuple(sorted(genes)))
-        if config.kill_elite_every and (generation + 1) % config.kill_elite_every == 0:
-            for i in np.flatnonzero(ranks < config.elite):
-                if i != best:
-                    population[i] = draw()
+        population = _bred(population, scores, ranks, best, generation, config, pool, rng)
+        if checkpoint:
+            state = {"generation": generation, "history": history, "population": population, "outer": outer.tolist(), "random": rng.bit_generator.state, "draws": pool.draws, "waiting": pool.waiting}
+            save_state(spark, checkpoint, generation, state)
     matrix.unpersist()
     return spark.createDataFrame(history, "generation int, best double, outer_score double, top10 double, kmers array<bigint>")
+
+
+def _bred(population: list[tuple[int, ...]], scores: np.ndarray, ranks: np.ndarray, best: int, generation: int, config: Config, pool: Pool, rng: np.random.Generator) -> list[tuple[int, ...]]:
+    """The next generation: killed ones drawn anew, then mutation or translocation, and now and then a new elite."""
+    population, p = list(population), kill_probabilities(scores)
+    known = set(map(key, population))
+
+    def put(i: int, genes: tuple[int, ...]) -> None:
+        population[i] = tuple(int(g) for g in genes)
+        known.add(key(population[i]))
+
+    for i in range(len(population)):
+        if ranks[i] > config.elite and rng.random() <= p[ranks <= ranks[i]].sum() * 2 * config.kill_ratio:
+            put(i, fresh(pool, config.kmers, known))
+    for i in range(len(population)):
+        if ranks[i] <= config.elite:
+            continue
+        if rng.random() < (chance := rate(config.algorithm, scores[i], scores, config.mutation, config.logistic_mutation)):
+            put(i, mutated(population[i], chance, config.one_gene_mutation, pool, known, rng))
+        elif rng.random() < rate(config.algorithm, scores[i], scores, config.translocation, config.logistic_translocation):
+            put(i, translocated(population[i], population[mate(scores, config.tournament, rng)], pool, known, rng))
+    if config.kill_elite_every and (generation + 1) % config.kill_elite_every == 0:
+        for i in np.flatnonzero(ranks < config.elite):
+            if i != best:
+                put(i, fresh(pool, config.kmers, known))
+    return population
