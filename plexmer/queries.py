@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kmers as K
-from .operators import cuts, discretize, evaluation, history, matrix, redundancy, runs, stats
-from .plans import search
+from .operators import clustering, cuts, discretize, evaluation, history, manifold, matrix, redundancy, reports, runs, stats
+from .plans import comparison, search
 
 K_DNA = 6
 
@@ -436,3 +437,96 @@ def feature_search(spark, sf):
     """A seeded search over the dense matrix at the operator's defaults: the history of its generations."""
     m = long_matrix(spark, sf)
     return search.run(spark, matrix.dense(m, 25), _groups(spark, sf), search.Config())
+
+
+@_query(f"""WITH {_I}, v AS (SELECT run, CAST(ceil(iter / 1000.0) AS BIGINT) AS bin, kmer_id, count(*) AS n FROM (SELECT run, iter, unnest(kmers) AS kmer_id FROM i) GROUP BY 1, 2, 3),
+b AS (SELECT run, unnest(range(1, greatest(max(bin), 1) + 1)) AS bound FROM v GROUP BY run),
+h AS (SELECT b.run, bound, kmer_id, row_number() OVER (PARTITION BY b.run, bound ORDER BY sum(n) DESC, kmer_id) AS r FROM b JOIN v ON v.run = b.run AND v.bin <= bound GROUP BY 1, 2, 3),
+f AS (SELECT run, kmer_id, row_number() OVER (PARTITION BY run ORDER BY sum(n) DESC, kmer_id) AS r FROM v GROUP BY 1, 2)
+SELECT run, CAST(min(bound) * 1000 AS BIGINT) AS bound FROM (SELECT h.run, bound FROM h JOIN f ON f.run = h.run AND f.kmer_id = h.kmer_id AND f.r <= 5 WHERE h.r <= 5 GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1""")
+def settled_heads(spark, sf):
+    return reports.settled(individuals(spark, sf), 1000, 5, 2)
+
+
+@_query(f"WITH {_S} SELECT run, ind, round(score, 6) AS score, row_number() OVER (PARTITION BY run ORDER BY score DESC, ind) AS rank FROM s")
+def unique_rank(spark, sf):
+    return _r(reports.unique_rank(scores(spark, sf)), "score").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@_query(f"WITH {_I} SELECT run, max(iter) AS iter FROM i GROUP BY 1")
+def latest_iteration(spark, sf):
+    return reports.latest(individuals(spark, sf))
+
+
+@_query(f"WITH {_O} SELECT kmer_id, CAST(sum(nview) AS BIGINT) AS nview, round(sum(score_cum) / sum(nview), 2) AS mean_score FROM q GROUP BY 1")
+def mean_scores(spark, sf):
+    return _r(reports.mean_scores(run_occurrences(spark, sf)), "mean_score", digits=2)
+
+
+@_query(f"WITH {_I} SELECT run, iter, round(score, 2) AS score FROM i WHERE score >= 300000")
+def good_individuals(spark, sf):
+    return _r(reports.good_individuals(individuals(spark, sf), 300000).select("run", "iter", "score"), "score", digits=2)
+
+
+@_query(f"""WITH {_I}, d AS (SELECT run, iter, len(kmers) AS n, score, row_number() OVER (PARTITION BY run ORDER BY iter) - 1 AS i, count(*) OVER (PARTITION BY run) AS c FROM i),
+e AS (SELECT *, floor(c / 4) AS q FROM d)
+SELECT run, round(corr(n, score), 6) AS whole, round(corr(n, score) FILTER (WHERE i >= 1 AND i < q), 6) AS first, round(corr(n, score) FILTER (WHERE i >= c - q AND i < c - 1), 6) AS last FROM e GROUP BY 1""")
+def quarter_correlations(spark, sf):
+    rows = individuals(spark, sf).select("run", "iter", F.size("kmers").cast("double").alias("n"), "score")
+    return _r(reports.quarter_correlations(rows, "run", "iter", "n", "score"), "whole", "first", "last")
+
+
+@_query("""WITH r AS (SELECT user_id, count(*) AS events, avg(value) AS mean, max(value) AS most FROM events GROUP BY 1)
+SELECT 'events' AS setting, 'mean' AS outcome, round(corr(events, mean), 6) AS corr FROM r UNION ALL SELECT 'events', 'most', round(corr(events, most), 6) FROM r""")
+def setting_correlations(spark, sf):
+    table = _t(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("events"), F.avg("value").alias("mean"), F.max("value").alias("most"))
+    return _r(reports.correlation_table(table, ["events"], ["mean", "most"]), "corr")
+
+
+@_query(f"""WITH {_O}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY nview DESC, kmer_id) AS r FROM q),
+h AS (SELECT run, kmer_id, 100.0 * nview / sum(nview) OVER (PARTITION BY run) AS share FROM r WHERE r <= 200),
+v AS (SELECT kmer_id, sum(share) / (SELECT count(DISTINCT run) FROM q) AS view, count(*) AS viewinfold FROM h GROUP BY 1),
+t AS (SELECT * FROM v ORDER BY round(view, 9) DESC, kmer_id LIMIT 40)
+SELECT kmer_id, round(view, 6) AS view, run, nview FROM q JOIN t USING (kmer_id)""")
+def top_with_runs(spark, sf):
+    occ = run_occurrences(spark, sf)
+    return _r(reports.top_with_runs(runs.merge_runs(occ, 200), occ), "view")
+
+
+@_query(f"WITH {_M}, d AS (SELECT kmer_id, count(*) FILTER (WHERE val > 50) / 25.0 AS p FROM m GROUP BY 1) SELECT kmer_id, round(CASE WHEN p IN (0, 1) THEN 0 ELSE -p * log2(p) - (1 - p) * log2(1 - p) END, 6) AS entropy FROM d")
+def feature_entropy(spark, sf):
+    return _r(matrix.dense(long_matrix(spark, sf), 25).select("kmer_id", reports.binary_entropy(F.col("vals"), 50.0).alias("entropy")), "entropy")
+
+
+@_query(f"WITH {_I}, f AS (SELECT c AS kmer_id, count(*) AS nview FROM (SELECT l_suppkey % 97 * (l_linenumber % 3) AS c FROM lineitem) GROUP BY 1) SELECT kmer_id, nview FROM f WHERE nview > 2 * (SELECT avg(nview) FROM f)")
+def mean_cut_of_uneven_views(spark, sf):
+    """Views with a heavy head, so that the cut keeps rows."""
+    occ = _t(spark, sf, "lineitem").select((F.col("l_suppkey") % 97 * (F.col("l_linenumber") % 3)).alias("kmer_id")).groupBy("kmer_id").agg(F.count("*").alias("nview"))
+    return runs.mean_cut(occ)
+
+
+def _supplier_table(spark, sf):
+    """Samples (nations) by 40 features, a bounded table that one task holds."""
+    dense = matrix.dense(long_matrix(spark, sf), 25)
+    chosen = dense.orderBy("kmer_id").limit(40).collect()
+    return np.log1p(np.array([r["vals"] for r in chosen], float).T), [r["grp"] for r in samples(spark, sf).orderBy("ord").collect()]
+
+
+@_query(None)
+def classifier_report(spark, sf):
+    x, groups = _supplier_table(spark, sf)
+    return comparison.report(comparison.predictions(spark, x, [str(g) for g in groups]))
+
+
+@_query(None)
+def sample_embeddings(spark, sf):
+    x, _ = _supplier_table(spark, sf)
+    rows = [(m, i, float(a), float(b)) for m in manifold.METHODS for i, (a, b) in enumerate(manifold.embed(m, x, 2, 8))]
+    return spark.createDataFrame(rows, "method string, ord int, x double, y double")
+
+
+@_query(None)
+def sample_clusters(spark, sf):
+    x, _ = _supplier_table(spark, sf)
+    rows = [(m, i, int(c)) for m in clustering.METHODS for i, c in enumerate(clustering.cluster(m, x, 5))]
+    return spark.createDataFrame(rows, "method string, ord int, cluster int")

@@ -20,19 +20,31 @@ def count_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, read_ix, name, seq, qual): four lines a record, whatever the lines begin with; one task a file."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        schema = pa.schema([("file", pa.string()), ("read_ix", pa.int64()), ("name", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
-        for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                lines = content.decode("latin-1").splitlines()
-                n = len(lines) // 4
-                yield pa.RecordBatch.from_arrays([pa.array([file] * n), pa.array(range(n), pa.int64()), pa.array([x[1:] for x in lines[0 : 4 * n : 4]]), pa.array(lines[1 : 4 * n : 4]), pa.array(lines[3 : 4 * n : 4])], schema=schema)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, read_ix bigint, name string, seq string, qual string")
+    """(file, read_ix, name, seq, qual): four lines a record, whatever the lines begin with.
+
+    Files are read in pieces, plain ones by several tasks: lines are numbered within the pieces, and the pieces by their lines.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), "value")
+    numbered = lines.withColumn("id", F.monotonically_increasing_id()).withColumn("part", F.shiftright("id", 33))
+    # a row for each piece of a file
+    counts = numbered.groupBy("file", "block", "part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = counts.select("file", "block", "part", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
+    placed = numbered.join(F.broadcast(before), ["file", "block", "part"]).withColumn("line", F.col("id") - F.col("first") + F.col("before"))
+    cell = lambda i: F.max(F.when(F.col("line") % 4 == i, F.col("value")))
+    reads = placed.groupBy("file", F.floor(F.col("line") / 4).alias("read_ix")).agg(F.substring(cell(0), 2, 1 << 30).alias("name"), cell(1).alias("seq"), cell(3).alias("qual"), F.count("*").alias("n"))
+    return reads.where("n = 4").drop("n")
+
+
+#: A read file's name: sample, mate and ending.
+MATES = r"([^/]+?)[._-]R?([12])(?:_001)?\.f(?:ast)?q(?:\.gz)?$"
+
+
+def fastq_pairs(spark: SparkSession, path: str, names: str = MATES) -> DataFrame:
+    """Reads with sample and mate (1 or 2) from their files' names, so that mates of one number meet; files whose names say neither are their own sample's mate 1."""
+    reads = fastq(spark, path)
+    sample, mate = F.regexp_extract("file", names, 1), F.regexp_extract("file", names, 2)
+    own = F.regexp_extract("file", r"([^/]+)$", 1)
+    return reads.select(F.when(sample == "", own).otherwise(sample).alias("sample"), F.when(mate == "", 1).otherwise(mate.try_cast("int")).alias("mate"), "read_ix", "name", "seq", "qual")
 
 
 def matrix_text(spark: SparkSession, path: str) -> tuple[DataFrame, list[str], list[str]]:
