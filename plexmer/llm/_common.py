@@ -60,7 +60,7 @@ def with_row_id(df: DataFrame, tag: str) -> DataFrame:
         plan = plan.child()
     if plan.getClass().getSimpleName() != "LogicalRelation":
         df = materialise(df, tag)
-    return df.select("*", F.concat_ws("#", F.col("_metadata.row_index"), F.col("_metadata.file_path")).alias("row_id"))
+    return df.select("*", F.concat_ws("#", F.col("_metadata.row_index"), F.md5(F.col("_metadata.file_path").cast("binary"))).alias("row_id"))
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
