@@ -2,6 +2,10 @@
 
 Each stage takes what its predecessor kept, as a Parquet table with the columns of
 documents; the last returns the packed pieces.
+
+Defined cases: rows are told apart by their place in the stage's input, so null and repeated ids, and repeated rows, are decided one by
+one; null and empty texts are no toxic ones, are copies of each other in the exact stage and of nothing in the near one, and are packed as
+their end id; a source of null is one source; other columns are kept up to the last stage; an empty table gives an empty result; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -23,8 +27,11 @@ ORACLE_SQL = None
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows whose row_id is not in `dropped`, without it."""
-    return rows.join(dropped.select("row_id"), "row_id", "left_anti").drop("row_id")
+    """The rows whose row_id is not in `dropped`, without it.
+
+    What goes is written first: it is decided once, and Spark knows its size, so texts are shuffled only where it is large.
+    """
+    return rows.join(materialise(dropped.select("row_id"), "dropped"), "row_id", "left_anti").drop("row_id")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts (8)."""
     rows = with_row_id(docs, "rows")
-    # decided once: which of equal rows is kept may differ between runs
-    found = materialise(content_sort_dedup(rows, also=("row_id",)).where("NOT kept").select("row_id"), "copies")
-    return without(rows, found)
+    return without(rows, content_sort_dedup(rows, also=("row_id",)).where("NOT kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
