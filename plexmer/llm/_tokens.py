@@ -44,9 +44,11 @@ class _Memory(dict):
 
     def __init__(self, encode: Callable[[str], bytes], encode_one: Callable[[str], bytes], lower: bool) -> None:
         self.encode, self.encode_one, self.lower, self.pieces = encode, encode_one, lower, {}
+        # lower-case vocabularies meet fewer distinct words
+        self.most, self.most_pieces = (REMEMBERED // 2, WORDS // 4) if lower else (REMEMBERED, WORDS)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.clear()
         found = _WORD_MARK.fullmatch(chunk)
         if found:
@@ -60,7 +62,7 @@ class _Memory(dict):
     def piece(self, text: str) -> bytes:
         ids = self.pieces.get(text)
         if ids is None:
-            if len(self.pieces) >= WORDS:
+            if len(self.pieces) >= self.most_pieces:
                 self.pieces.clear()
             ids = self.pieces[text] = self.encode_one(text)
         return ids

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from ._common import materialise, small_batches
 
 #: Words of one worker's counter before it is passed on.
-COUNTER_WORDS = 500_000
+COUNTER_WORDS = 200_000
 #: Standard errors that the log-odds of a scoring word are from 0, at least.
 Z_MIN = 3.0
 #: What every word pays at least.
@@ -98,7 +98,7 @@ def features(chunk: bytes) -> list[str]:
 class Scores(dict):
     """Log-odds of a piece: those of its features that are furthest from 0, 0 for none; remembers what it has seen."""
 
-    def __init__(self, model: dict[str, float], most: int = 400_000) -> None:
+    def __init__(self, model: dict[str, float], most: int = 150_000) -> None:
         self.model, self.most = model, most
 
     def __missing__(self, chunk: bytes) -> float:
