@@ -50,9 +50,13 @@ def merge_runs(occ: DataFrame, top: int) -> DataFrame:
 
 
 def merge_metrics(merged: DataFrame) -> DataFrame:
-    """One row on merged runs (at most runs x top k-mers): correlation of rank and number of runs, distinct k-mers and shared ones in per cent."""
+    """One row on merged runs (at most runs x top k-mers): correlation of rank and number of runs, distinct k-mers and shared ones in per cent.
+
+    The correlation is NaN, as in SQL, where ranks or numbers of runs do not vary, and null without k-mers.
+    """
     ranked = merged.withColumn("r", F.row_number().over(Window.orderBy(F.desc(F.round("view", 9)), "kmer_id")))
-    return ranked.agg(F.corr("r", "viewinfold").alias("rank_corr"), F.try_divide(100.0 * F.count("*"), F.sum("viewinfold")).alias("unique_percent"), (100 * F.avg((F.col("viewinfold") > 1).cast("int"))).alias("shared_percent"))
+    corr = F.try_divide(F.covar_pop("r", "viewinfold"), F.stddev_pop("r") * F.stddev_pop("viewinfold"))
+    return ranked.agg(F.when(F.count("*") > 0, F.coalesce(corr, F.lit(float("nan")))).alias("rank_corr"), F.try_divide(100.0 * F.count("*"), F.sum("viewinfold")).alias("unique_percent"), (100 * F.avg((F.col("viewinfold") > 1).cast("int"))).alias("shared_percent"))
 
 
 def run_overlap(occ: DataFrame) -> DataFrame:

@@ -66,6 +66,14 @@ def test_ranks_and_roulette(spark):
     assert (row["a"], row["b"]) == (pytest.approx(0.62), pytest.approx(0.72))
 
 
+def test_merge_metrics_of_level_runs(spark):
+    of = lambda rows: runs.merge_metrics(spark.createDataFrame(rows, "kmer_id bigint, view double, viewinfold bigint")).first()
+    level = of([(1, 60.0, 1), (2, 40.0, 1)])
+    assert math.isnan(level["rank_corr"]) and (level["unique_percent"], level["shared_percent"]) == (100.0, 0.0)
+    assert math.isnan(of([(1, 100.0, 2)])["rank_corr"]) and of([])["rank_corr"] is None
+    assert of([(1, 50.0, 3), (2, 30.0, 1), (3, 20.0, 1)])["rank_corr"] == pytest.approx(np.corrcoef([1, 2, 3], [3, 1, 1])[0, 1])
+
+
 def test_matrix_normalises_to_a_million(spark):
     reads = spark.createDataFrame([("a", "ACGTACGTTT"), ("b", "GGGTTTACAC")], "sample string, seq string")
     got = matrix.normalise(matrix.count_kmers(reads, 3), threshold=-1).groupBy("sample").agg(F.sum("val").alias("t")).collect()
