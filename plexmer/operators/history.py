@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import heads
+
 
 def set_similarity(a: Column, b: Column) -> Column:
     """Shared members over the larger set."""
@@ -25,20 +27,17 @@ def bounded_histogram(individuals: DataFrame, last: int, top: int) -> DataFrame:
 def head_distances(individuals: DataFrame, step: int, top: int) -> DataFrame:
     """(iter, distance): how many of the final `top` k-mers are not in the head list of each bound `step`, 2 `step`, ..., the last whole one included.
 
-    Views are summed per k-mer and bin once; a k-mer's running count then holds until the bin
-    of its next view, so one row for each k-mer and bound is ranked, and no iteration is read twice.
+    Views are summed per k-mer and bin once, and `heads.running_heads` goes through the bins; the list holds in bins without views.
     """
-    per_bin = individuals.select(F.ceil(F.col("iter") / step).cast("bigint").alias("bin"), F.explode("kmers").alias("kmer_id")).groupBy("kmer_id", "bin").agg(F.count("*").alias("n"))
-    by_kmer = Window.partitionBy("kmer_id").orderBy("bin")
-    running = per_bin.select("kmer_id", "bin", F.sum("n").over(by_kmer).alias("nview"), F.lead("bin").over(by_kmer).alias("next"))
     last = individuals.agg(F.floor(F.max("iter") / step).cast("bigint")).first()[0] or 0
-    until = F.coalesce(F.col("next") - 1, F.lit(last))
-    held = running.where((F.col("bin") <= last) & (until >= F.col("bin"))).select("kmer_id", "nview", F.explode(F.sequence(F.greatest("bin", F.lit(1)), until)).alias("bound"))
-    head = held.withColumn("r", F.row_number().over(Window.partitionBy("bound").orderBy(F.desc("nview"), "kmer_id"))).where(F.col("r") <= top)
-    final = bounded_histogram(individuals, (1 << 62), top).select("kmer_id")  # at most `top` rows
-    kept = head.join(F.broadcast(final), "kmer_id").groupBy("bound").agg(F.count("*").alias("kept"))
-    bounds = individuals.sparkSession.range(1, last + 1).withColumnRenamed("id", "bound")
-    return bounds.join(kept, "bound", "left").select((F.col("bound") * step).alias("iter"), (F.lit(final.count()) - F.coalesce("kept", F.lit(0))).alias("distance"))
+    found = heads.running_heads(heads.views(individuals, step), top)
+    final = heads.final(found).select("kmer_id")  # at most `top` rows
+    here = F.broadcast(final.withColumn("here", F.lit(1)))
+    kept = found.where(F.col("bin") <= last).join(here, "kmer_id", "left").groupBy(F.col("bin").alias("bound")).agg(F.count("here").alias("kept"))
+    # a row for each bound
+    held = F.coalesce(F.last("kept", True).over(Window.orderBy("bound")), F.lit(0))
+    bounds = individuals.sparkSession.range(1, last + 1).withColumnRenamed("id", "bound").join(kept, "bound", "left")
+    return bounds.select((F.col("bound") * step).alias("iter"), (F.lit(final.count()) - held).alias("distance"))
 
 
 def converged(distances: DataFrame, slope: float = 0.01) -> bool:
