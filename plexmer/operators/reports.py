@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import heads
+
 
 def unique_rank(scores: DataFrame) -> DataFrame:
     """(run, ind, score) -> rank from the best without ties: equal scores by ind."""
@@ -37,19 +39,13 @@ def mean_scores(occ: DataFrame) -> DataFrame:
 def settled(individuals: DataFrame, step: int, top: int = 5, least: int = 3) -> DataFrame:
     """(run, bound): the first multiple of `step` iterations by which `least` of the run's final `top` k-mers, by views, are in its running `top`.
 
-    A k-mer's running views change only in bins that view it; each is ranked among those held at the bound.  Ties go to the smaller k-mer.
+    Head lists change only in bins that view a k-mer, so `heads.running_heads` has a row only for these.  Ties go to the smaller k-mer.
     Runs that never get there have no row.
     """
-    views = individuals.select("run", F.ceil(F.col("iter") / step).cast("bigint").alias("bin"), F.explode("kmers").alias("kmer_id")).groupBy("run", "bin", "kmer_id").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("run", "kmer_id").orderBy("bin")
-    running = views.select("run", "kmer_id", "bin", F.sum("n").over(by).alias("nview"), F.lead("bin").over(by).alias("next"))
-    last = views.groupBy("run").agg(F.max("bin").alias("last"))
-    order = lambda *keys: Window.partitionBy(*keys).orderBy(F.desc("nview"), "kmer_id")
-    final = running.where("next IS NULL").withColumn("r", F.row_number().over(order("run"))).where(F.col("r") <= top).select("run", "kmer_id", F.lit(1).alias("final"))
-    held = running.join(last, "run").withColumn("bound", F.explode(F.expr("sequence(greatest(bin, 1), coalesce(next - 1, greatest(last, 1)))"))).where("next IS NULL OR next > greatest(bin, 1)")
-    heads = held.withColumn("r", F.row_number().over(order("run", "bound"))).where(F.col("r") <= top).join(final, ["run", "kmer_id"])
-    enough = heads.groupBy("run", "bound").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return enough.groupBy("run").agg((F.min("bound") * step).alias("bound"))
+    found = heads.running_heads(heads.views(individuals, step, "run"), top)
+    final = heads.final(found)  # at most `top` rows a run
+    enough = found.where(F.col("bin") < heads.LATE).join(final, ["run", "kmer_id"]).groupBy("run", "bin").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return enough.groupBy("run").agg((F.min("bin") * step).alias("bound"))
 
 
 def neighbour_cut(counts: DataFrame) -> int | None:

@@ -1,3 +1,4 @@
+import collections
 import math
 import random
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plexmer.operators import cuts, evaluation, history, trimming
+from plexmer.operators import cuts, evaluation, history, reports, trimming
 from plexmer.plans import search
 
 OCC = "run string, kmer_id bigint, nview bigint"
@@ -77,6 +78,55 @@ def test_history(spark):
     assert row["s"] == pytest.approx(1 / 3) and row["m"] == pytest.approx(0.8)
 
 
+def _most_rows(spark, run):
+    """Rows out of the largest step of any plan that `run` executes."""
+    items = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {x.executionId() for x in items(store.executionsList())}
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    found = [0]
+    for i in {x.executionId() for x in items(store.executionsList())} - before:
+        values = store.executionMetrics(i)
+        for node in items(store.planGraph(i).allNodes().toSeq()):
+            for m in items(node.metrics().toSeq()):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    found.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return max(found)
+
+
+def _lists(rows, step, top):
+    """The head list at each bound and at the end, counted plainly."""
+    def at(last):
+        n = collections.Counter(k for _, i, kmers, _ in rows for k in kmers if last is None or (i is not None and i <= last))
+        return set(sorted(n, key=lambda k: (-n[k], k))[:top])
+
+    most = max(i for _, i, *_ in rows if i is not None)
+    return {b: at(b) for b in range(step, most + 1, step)}, at(None)
+
+
+def test_head_lists_with_gaps_and_odd_iterations(spark):
+    rng = random.Random(9)
+    at = [-3, 0, None, None, *(i for i in range(1, 400) if not 120 < i < 260)]
+    rows = [(rng.choice("ab"), i, rng.sample(range(max(0, (i or 0) // 9 - 12), (i or 0) // 9 + 9), 4), 0.5) for i in at]
+    ind = spark.createDataFrame(rows, "run string, iter bigint, kmers array<bigint>, score double")
+    lists, end = _lists(rows, 5, 6)
+    assert {r["iter"]: r["distance"] for r in history.head_distances(ind, 5, 6).collect()} == {b: len(end - x) for b, x in lists.items()}
+    assert history.head_distances(ind.where("iter IS NULL OR iter < 5"), 5, 6).count() == 0
+    want = {}
+    for run in "ab":
+        lists, end = _lists([r for r in rows if r[0] == run], 5, 6)
+        want[run] = next(b for b, x in [*lists.items(), (400, end)] if len(x & end) >= 2)
+    assert {r["run"]: r["bound"] for r in reports.settled(ind, 5, 6, 2).collect()} == want
+
+
+def test_head_lists_hold_no_row_for_each_kmer_and_bound(spark):
+    rows = [("r", i, [i, i + 1], 0.5) for i in range(1, 2001)]
+    ind = spark.createDataFrame(rows, "run string, iter bigint, kmers array<bigint>, score double")
+    for run in (lambda: history.head_distances(ind, 1, 5).collect(), lambda: reports.settled(ind, 1, 5, 2).collect()):
+        assert 4_000 <= _most_rows(spark, run) < 100_000  # of 2,000 k-mers and 2,000 bounds
+
+
 def test_evaluation(spark):
     vals = {0: [0.0, 1.0], 1: [0.0, 2.0], 2: [9.0, 9.0], 3: [9.0, 8.0], 4: [0.0, 0.0]}
     m = spark.createDataFrame([(k, o, v) for o, x in vals.items() for k, v in enumerate(x) if v], "kmer_id bigint, ord int, val double")
