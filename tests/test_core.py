@@ -57,6 +57,26 @@ def test_entropy_and_redundancy():
     assert all((states[a] != states[b]).sum() > 2 for a in kept for b in kept if a < b)
 
 
+def test_redundancy_judges_equal_states_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    states = rng.choice(4, (300, 14), p=[0.55, 0.2, 0.15, 0.1])
+    plain, table = [], redundancy.StateTable(states)
+    for i in range(len(states)):
+        others = np.array(plain, int)
+        if not ((states[others] != states[i]).sum(axis=1) <= 2).any() and not (table.uncertainty(i, others) > 0.5).any():
+            plain.append(i)
+    assert 20 < len(plain) < 290 and redundancy.greedy_keep(states, 2, 0.5).tolist() == plain
+    sizes, own = [], redundancy.StateTable
+    monkeypatch.setattr(redundancy, "StateTable", lambda x: sizes.append(len(x)) or own(x))
+    assert redundancy.greedy_keep(np.tile(states, (20, 1)), 2, 0.5).tolist() == plain and sizes == [len(np.unique(states, axis=0))]
+    monkeypatch.undo()
+    constant = np.ones((3, 5), int)
+    assert redundancy.greedy_keep(constant, 0).tolist() == [0] and redundancy.greedy_keep(constant, -1).tolist() == [0, 1, 2]
+    rows = [("b", i + 300 * c, [int(v) for v in x]) for c in range(3) for i, x in enumerate(states)]
+    frame = spark.createDataFrame(rows, "bucket string, kmer_id bigint, states array<int>")
+    assert sorted(r["kmer_id"] for r in redundancy.drop_redundant(frame, 2, 0.5).collect()) == plain
+
+
 def test_ranks_and_roulette(spark):
     s = spark.createDataFrame([("r", i, v) for i, v in enumerate((0.9, 0.5, 0.9, 0.1))], "run string, ind int, score double")
     assert [r["rank"] for r in runs.fitness_rank(s).orderBy("ind").collect()] == [2, 3, 2, 4] == search.rank(np.array([0.9, 0.5, 0.9, 0.1])).tolist()
