@@ -38,7 +38,6 @@ class StateTable:
         shared = whole - self.own[others] - self.own[row] + joint
         return np.divide(2 * shared, apart, out=np.zeros(len(joint)), where=apart > 1e-9)
 
-
     def alike(self, rows: np.ndarray, others: np.ndarray, distance: int, most_su: float) -> np.ndarray:
         """Of every row and other, whether they are within `distance` or their symmetric uncertainty is above `most_su`."""
         k = self.hot.shape[1]
