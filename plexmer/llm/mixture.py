@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, materialise, shuffle_width, with_row_id
+from ._common import SPACE, materialise, materialise_at, shuffle_width, with_row_id
 
 MOST = 3
 FAN_IN = 128
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, most: float = MOST, seed: int = 0) -> DataFrame:
 
     # what is left of the target, and the words it is left for
     state = sources.select("s", F.col("target").alias("left"), F.col("source_size").alias("words"))
-    counted = None
+    counted = []
     for i in sorted(most_blocks):
         due = F.coalesce(F.least(F.lit(most * float(UNIT)), F.greatest(F.lit(0.0), F.round(F.try_divide("left", "words") * UNIT))).cast("bigint"), F.lit(0))
         state = materialise(state.withColumn("due", due).select("s", "left", "words", F.expr(f"due DIV {UNIT}L").alias("whole"), F.expr(f"due % {UNIT}L").alias("part")), f"due{i}")
@@ -150,11 +150,15 @@ def mix(docs: DataFrame, most: float = MOST, seed: int = 0) -> DataFrame:
         # the residual meets the body of all later documents, which takes up the difference
         done = done.unionByName(residual.select("source", F.expr("IF(h % c < m, 1, 0)").alias("one"), "row"))
         done = done.join(state.select("s", "whole"), same).select("source", "row", (F.col("whole") + F.col("one")).alias("copies"))
-        counted = done if counted is None else counted.unionByName(done)
+        # each round is written, so that no later plan holds its meetings once more
+        done, folder = materialise_at(done, f"done{i}")
+        counted.append(folder)
         if i != max(most_blocks):
             taken = done.groupBy(F.col("source").alias("t")).agg(F.sum(F.col("copies") * F.col("row.size")).alias("taken"), F.sum("row.size").alias("met"))
             state = state.join(taken, F.col("s").eqNullSafe(F.col("t")), "left").select("s", (F.col("left") - F.coalesce("taken", F.lit(0))).alias("left"), (F.col("words") - F.coalesce("met", F.lit(0))).alias("words"))
-    if counted is None:
+    if counted:
+        counted = docs.sparkSession.read.schema(done.schema).parquet(*counted)
+    else:
         counted = rows.select("source", F.struct("doc_id", "size", F.lit(0).cast("bigint").alias("nth")).alias("row"), F.lit(0).cast("bigint").alias("copies"))
     counted = counted.join(sources, same).select("row.doc_id", "source", "row.size", "source_size", "target", "copies")
     return counted.withColumn("taken", F.col("copies") * F.col("size"))
@@ -183,4 +187,4 @@ def apply_mix(docs: DataFrame, most: float = MOST, seed: int = 0) -> DataFrame:
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
     at = F.expr("aggregate(plan, named_struct('before', 0L, 'copies', 0L), (s, x) -> IF(nth > s.before, named_struct('before', s.before + x.n, 'copies', x.copies), s))")["copies"]
     chosen = numbered(rows, key, "_row").join(plan, same).select(F.col("_row").alias("row_id"), at.cast("int").alias("_copies")).where("_copies > 0")
-    return with_id.join(chosen, "row_id").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return with_id.join(materialise(chosen, "chosen"), "row_id").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)

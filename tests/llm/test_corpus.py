@@ -356,6 +356,13 @@ def test_ids_of_random_strings(name, kind):
             assert np.frombuffer(encode(text), "<u4").tolist() == want.ids, repr(text)
 
 
+def test_mixture_reads_rounds_once(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', CAST(1 + pow(id % 40, 2) AS INT))").alias("text"), F.expr("concat('s', id % 4)").alias("source"))
+    for plan in (mixture.mix(docs), mixture.apply_mix(docs)):  # the driver compiles the plan: it holds the meetings of no round
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("Relation [") <= 2 and text.count("Join ") <= 1 and "Union" not in text
+
+
 def test_mixture(spark, docs, rows, empty):
     for sizes in ([10, 10, 10], [1, 1, 28], [5], [0, 0], [100, 1, 1, 1, 900, 3, 0, 50]):
         # the plain rule: share by weight, stop at three times the size, share the excess anew
