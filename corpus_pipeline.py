@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plexmer.llm._common import materialise, with_row_id
+from plexmer.llm._common import materialise, place, with_row_id, with_values
 from plexmer.llm.content_sort import content_sort_dedup
 from plexmer.llm.mixture import apply_mix
 from plexmer.llm.ngram_join import ngram_jaccard_join
@@ -29,9 +29,11 @@ ORACLE_SQL = None
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     """The rows whose row_id is not in `dropped`, without it.
 
-    What goes is written first: it is decided once, and Spark knows its size, so texts are shuffled only where it is large.
+    What goes is written first, a byte a row: it is decided once, and texts are not shuffled.
     """
-    return rows.join(materialise(dropped.select("row_id"), "dropped"), "row_id", "left_anti").drop("row_id")
+    file, number = place("row_id")
+    gone = dropped.select(file.alias("file"), number.alias("number"), F.lit(1).alias("value"))
+    return with_values(rows, (file, number), gone, "dropped").where("_value = 0").drop("row_id", "_value")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

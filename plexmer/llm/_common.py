@@ -9,9 +9,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A note holds the values of 2**NOTE numbers, a character each; up to `NOTES` of them (32 MB) are broadcast.
+NOTE, NOTES = 10, 1 << 15
+#: Largest value of a note.
+MOST_NOTED = 79
+
 #: ASCII white space that separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -63,6 +68,28 @@ def with_row_id(df: DataFrame, tag: str) -> DataFrame:
     return df.select("*", F.concat_ws("#", F.col("_metadata.row_index"), F.md5(F.col("_metadata.file_path").cast("binary"))).alias("row_id"))
 
 
+def place(row_id: str) -> tuple[Column, Column]:
+    """File and number in it of a row_id."""
+    return F.substring_index(row_id, "#", -1), F.substring_index(row_id, "#", 1).cast("bigint")
+
+
+def with_values(rows: DataFrame, at: tuple[Column, Column], values: DataFrame, tag: str) -> DataFrame:
+    """`rows` with _value: what `values` (file, number, value from 0 to `MOST_NOTED`) has for the place `at`, 0 where it has nothing.
+
+    Values of neighbouring numbers are written as one note, so a value costs a byte and `rows`, which may hold
+    whole texts, is not shuffled; above `NOTES` notes it is joined like any other table.
+    """
+    entries = f"array_sort(collect_set((number & {(1 << NOTE) - 1}) * 128 + value))"
+    note = F.expr(f"aggregate({entries}, '', (s, e) -> concat(rpad(s, CAST(e DIV 128 AS INT), '0'), chr(48 + e % 128)))")
+    notes = materialise(values.groupBy(F.col("file").alias("_file"), F.shiftright("number", NOTE).alias("_nth")).agg(note.alias("_note")), tag)
+    file, number = at
+    placed = rows.select("*", file.alias("_file"), F.shiftright(number, NOTE).alias("_nth"), number.bitwiseAND(F.lit((1 << NOTE) - 1)).cast("int").alias("_at"))
+    joined = placed.join(F.broadcast(notes) if notes.count() <= NOTES else notes, ["_file", "_nth"], "left")
+    # past the end of a note, and without one, there is no character
+    value = F.greatest(F.lit(0), F.ascii(F.substring(F.coalesce("_note", F.lit("")), F.col("_at") + 1, F.lit(1))) - 48)
+    return joined.select(*rows.columns, value.alias("_value"))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of `workspace` through Hadoop's file system interface."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -32,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE, materialise, materialise_at, shuffle_width, with_row_id
+from ._common import MOST_NOTED, SPACE, materialise, materialise_at, place, shuffle_width, with_row_id, with_values
 
 MOST = 3
 FAN_IN = 128
@@ -187,4 +187,10 @@ def apply_mix(docs: DataFrame, most: float = MOST, seed: int = 0) -> DataFrame:
     same = F.col("_id").eqNullSafe(F.col("doc_id")) & F.col("_source").eqNullSafe(F.col("source")) & (F.col("_size") == F.col("size"))
     at = F.expr("aggregate(plan, named_struct('before', 0L, 'copies', 0L), (s, x) -> IF(nth > s.before, named_struct('before', s.before + x.n, 'copies', x.copies), s))")["copies"]
     chosen = numbered(rows, key, "_row").join(plan, same).select(F.col("_row").alias("row_id"), at.cast("int").alias("_copies")).where("_copies > 0")
-    return with_id.join(materialise(chosen, "chosen"), "row_id").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    if most < MOST_NOTED:
+        file, number = place("row_id")
+        taken = with_values(with_id, (file, number), chosen.select(file.alias("file"), number.alias("number"), F.col("_copies").alias("value")), "chosen")
+        taken = taken.withColumnRenamed("_value", "_copies").where("_copies > 0")
+    else:
+        taken = with_id.join(materialise(chosen, "chosen"), "row_id")
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import column, materialise, run_bounds, shuffle_width, small_batches, whole_groups
+from ._common import NOTE, NOTES, column, materialise, run_bounds, shuffle_width, small_batches, whole_groups, with_values
 from ._graph import components
 from ._words import shingle_set, slices, word_hashes, word_spans
 
@@ -51,6 +51,8 @@ POOL = 3
 COUNT_CAP = 1 << 16
 #: Sets of a large block that all of its chunks hold.
 HUBS = 8
+#: Slots for each member's id, and of all at most, in the filter of texts that are read again.
+SLOTS, MOST_SLOTS = 8, NOTES << NOTE
 #: Cells of the second pass over large blocks hold so many times `block_tokens` of each side.
 SECOND = 10
 
@@ -413,6 +415,14 @@ def _links(whole: DataFrame, num: int, den: int, block_tokens: int, width: int)
     return links.unionByName(materialise(matched(second), "links"))
 
 
+def _perhaps(rows: DataFrame, key: str, members: DataFrame) -> DataFrame:
+    """`rows` (column `key`) without most of those whose key is no doc_id of `members`, and with all others; each id sets one of many slots."""
+    slots = F.lit(max(1, min(MOST_SLOTS, SLOTS * members.count())))
+    slot = lambda c: F.pmod(F.xxhash64(c), slots)
+    found = with_values(rows, (F.lit(""), slot(key)), members.select(F.lit("").alias("file"), slot("doc_id").alias("number"), F.lit(1).alias("value")), "slots")
+    return found.where("_value = 1").drop("_value")
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, pool: int = POOL, block_tokens: int = 200_000, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text); with text columns `also`, these and `component`, a number of its own for every component."""
     spark = docs.sparkSession
@@ -424,8 +434,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     signed = materialise(signed.withColumn("rid", F.monotonically_increasing_id()), "sets")
     classes = materialise(signed.where("key is not null").groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "classes")
 
+    # pools of the rows that stand for a class; only numbers of rows are told, so pools are not shuffled for it
+    first = classes.select(F.lit("").alias("file"), F.col("cid").alias("number"), F.lit(1).alias("value"))
     tokens = (
-        signed.where("key is not null").join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
+        with_values(signed, (F.lit(""), F.col("rid")), first, "first").where("_value = 1")
         .select(F.col("rid").alias("cid"), F.col("n_shingles").alias("n"), "slack", F.posexplode("pool").alias("at", "token"))
         .select("token", "cid", "n", "slack", F.expr(f"IF(shiftrightunsigned(token, 60) < {pool}, -1, at)").cast("int").alias("ext"))
     )
@@ -437,7 +449,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     member = materialise(blocks.join(classes, "cid"), "members")
     sizes = member.groupBy("block").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("chunks"))
     member = member.join(sizes, "block")
-    texts = rows.withColumnRenamed("doc_id", "id").join(member.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "key", "block", "chunks", "cid", "n")
+    texts = _perhaps(rows.withColumnRenamed("doc_id", "id"), "id", member).join(member.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "key", "block", "chunks", "cid", "n")
     whole = texts.mapInArrow(_whole_sets(n), "block bigint, chunks int, cid bigint, n int, tokens binary").where("tokens is not null")
     links = _links(materialise(whole, "whole"), num, den, block_tokens, width)
 

@@ -5,7 +5,7 @@ import random
 import re
 
 import corpus_pipeline
-from plexmer.llm import mixture
+from plexmer.llm import _common, mixture, ngram_join
 
 
 def table(spark, folder):
@@ -111,3 +111,37 @@ def test_rows_are_decided_one_by_one(spark, tmp_path):
     rows = [(1, " ".join(a)), (1, near(a)), (5, " ".join(b)), (5, " ".join(c)), (None, " ".join(d)), (None, near(d)), (6, near(b)), (None, near(c)), (None, "")]
     kept = got(corpus_pipeline.drop_near_copies, rows)
     assert sum(kept.values()) == 5 and sum(n for (i, _), n in kept.items() if i is None) == 2 and sum(n for (i, _), n in kept.items() if i == 5) == 2 and kept[None, ""] == 1
+
+
+def test_texts_are_not_shuffled_to_drop_or_repeat_rows(spark, tmp_path, monkeypatch):
+    sf = f"file://{tmp_path}"
+    table(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if what is decided were large
+    try:
+        rows = corpus_pipeline.with_row_id(docs, "rows")
+        assert "SortMergeJoin" not in plan(corpus_pipeline.without(rows, rows.where("doc_id % 7 = 0")))
+        assert "SortMergeJoin" not in plan(mixture.apply_mix(docs))
+        edges, whole = [], []
+        monkeypatch.setattr(ngram_join, "components", lambda df, tag, f=ngram_join.components: (edges.append(plan(df)), f(df, tag))[1])
+        monkeypatch.setattr(ngram_join, "materialise", lambda df, tag, f=ngram_join.materialise: (whole.append(plan(df)) if tag == "whole" else None, f(df, tag))[1])
+        ngram_join.ngram_jaccard_join(docs).count()
+        assert "SortMergeJoin" not in edges[0]  # pools of the rows that stand for a class
+        assert "BroadcastHashJoin" in whole[0]  # texts of no member stay where they are
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_values_of_places(spark, monkeypatch):
+    rng = random.Random(1)
+    numbers = [*rng.sample(range(5000), 600), 0, 1023, 1024, *((7 << 33) + i for i in range(0, 3000, 61))]
+    values = {(f, n): rng.randrange(80) for f in "ab" for n in numbers if rng.random() < 0.7}
+    rows = [(f, n) for f in "abc" for n in [*numbers, 6000]]
+    given = spark.createDataFrame([(*at, x) for at, x in values.items()], "file string, number bigint, value int")
+    places = spark.createDataFrame(rows, "f string, n bigint")
+    for most in (_common.NOTES, 0):  # broadcast, and too many notes for that
+        monkeypatch.setattr(_common, "NOTES", most)
+        got = _common.with_values(places, (places["f"], places["n"]), given, "values").collect()
+        assert collections.Counter(map(tuple, got)) == collections.Counter((f, n, values.get((f, n), 0)) for f, n in rows)
