@@ -14,9 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Distinct chunks, and distinct words, remembered by a worker (about 300 MB); then it starts afresh.
-REMEMBERED = 500_000
-WORDS = 1_000_000
+#: Distinct chunks remembered by a worker (about 170 MB); then it starts afresh.
+REMEMBERED = 1_000_000
 _WIDE_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: A space belongs to the word after it; of other white space the last character before a word stands alone.
 _BYTE_CHUNKS = re.compile(rb"[ ]?[^ \t-\r]+|[ \t-\r]+(?=[ ][^ \t-\r])|[ \t-\r]+(?=[\t-\r][^ \t-\r])|[ \t-\r]+")
@@ -40,31 +39,41 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memory(dict):
-    """Chunk -> packed ids; a word and the punctuation after it are looked up apart, so few distinct pieces are encoded."""
+    """Chunk -> packed ids; a word and the punctuation after it are looked up apart, so few distinct pieces are encoded.
 
-    def __init__(self, encode: Callable[[str], bytes], encode_one: Callable[[str], bytes], lower: bool) -> None:
-        self.encode, self.encode_one, self.lower, self.pieces = encode, encode_one, lower, {}
+    A word is remembered once, under its own (lowered) bytes; other spellings of it are added when the word is met again.
+    """
+
+    def __init__(self, encode: Callable[[str], bytes], encode_one: Callable[[bytes], bytes], lower: bool) -> None:
+        self.encode, self.encode_one, self.lower, self.marks = encode, encode_one, lower, {}
         # lower-case vocabularies meet fewer distinct words
-        self.most, self.most_pieces = (REMEMBERED // 2, WORDS // 4) if lower else (REMEMBERED, WORDS)
+        self.most = REMEMBERED // 2 if lower else REMEMBERED
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        found = _WORD_MARK.fullmatch(chunk)
-        if found:
+        if chunk.isalpha():  # ASCII letters alone
+            word, mark = chunk.lower() if self.lower else chunk, b""
+        elif found := _WORD_MARK.fullmatch(chunk):
             word, mark = found.groups()
-            ids = self.piece(word.decode().lower() if self.lower else word.decode()) + (self.piece(mark.decode()) if mark else b"")
+            if self.lower:
+                word = word.decode().lower().encode()
         else:
-            ids = self.encode(chunk.decode())
-        self[chunk] = ids
+            self[chunk] = ids = self.encode(chunk.decode())
+            return ids
+        ids = self.get(word)
+        if ids is None:
+            self[word] = ids = self.encode_one(word)
+            return ids + self.mark(mark) if mark else ids
+        self[chunk] = ids = ids + self.mark(mark) if mark else ids
         return ids
 
-    def piece(self, text: str) -> bytes:
-        ids = self.pieces.get(text)
+    def mark(self, mark: bytes) -> bytes:
+        ids = self.marks.get(mark)
         if ids is None:
-            if len(self.pieces) >= self.most_pieces:
-                self.pieces.clear()
-            ids = self.pieces[text] = self.encode_one(text)
+            if len(self.marks) >= self.most // 4:
+                self.marks.clear()
+            ids = self.marks[mark] = self.encode_one(mark)
         return ids
 
 
@@ -79,7 +88,13 @@ class Encoder:
         self.whole = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         # a single pre-token needs the merges alone
         model, letters = tokenizer.model, _byte_letters()
-        one = lambda text: np.array([t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+        packed, space = [i.to_bytes(4, "little") for i in range(1 + max(tokenizer.get_vocab().values()))], letters[32]
+
+        def one(piece: bytes) -> bytes:
+            # ASCII pieces are letters and marks, which stand for themselves, and a space before them
+            text = piece.decode().replace(" ", space) if piece.isascii() else piece.decode("latin-1").translate(letters)
+            return b"".join([packed[t.id] for t in model.tokenize(text)])
+
         added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) if added else "(?!)", re.I)
         self.memory = _Memory(self.whole, one, kind == "word")

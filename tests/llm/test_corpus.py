@@ -356,6 +356,24 @@ def test_ids_of_random_strings(name, kind):
             assert np.frombuffer(encode(text), "<u4").tolist() == want.ids, repr(text)
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_words_are_remembered_once(name, kind, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path, rng = token_files.default_tokenizer(name), random.Random(4)
+    words = sorted({"".join(rng.choice("abcdeéß") for _ in range(8)) for _ in range(2000)})
+    texts = [" " + " ".join(words), " " + " ".join(w + rng.choice([".", "", "***"]) for w in words), " ".join(w.title() + rng.choice(["!", ""]) for w in words)] * 2
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for limit in (_tokens.REMEMBERED, 100):  # the second starts afresh again and again
+        monkeypatch.setattr(_tokens, "REMEMBERED", limit)
+        encode = _tokens.Encoder(path, kind)
+        held = lambda: len(encode.memory) + sum(len(x) for x in vars(encode.memory).values() if isinstance(x, dict))  # noqa: B023, E731
+        assert np.frombuffer(encode(texts[0]), "<u4").tolist() == want[0]
+        assert held() <= min(len(words), limit)
+        assert [np.frombuffer(encode(text), "<u4").tolist() for text in texts] == want
+        assert limit > 100 or held() <= 2 * limit
+
+
 def test_mixture_reads_rounds_once(spark):
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', CAST(1 + pow(id % 40, 2) AS INT))").alias("text"), F.expr("concat('s', id % 4)").alias("source"))
     for plan in (mixture.mix(docs), mixture.apply_mix(docs)):  # the driver compiles the plan: it holds the meetings of no round
