@@ -14,8 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Distinct chunks remembered by a worker (about 170 MB); then it starts afresh.
-REMEMBERED = 1_000_000
+#: Distinct chunks remembered by a worker (about 80 MB); then it starts afresh.
+REMEMBERED = 500_000
 _WIDE_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 #: A space belongs to the word after it; of other white space the last character before a word stands alone.
 _BYTE_CHUNKS = re.compile(rb"[ ]?[^ \t-\r]+|[ \t-\r]+(?=[ ][^ \t-\r])|[ \t-\r]+(?=[\t-\r][^ \t-\r])|[ \t-\r]+")
@@ -46,8 +46,7 @@ class _Memory(dict):
 
     def __init__(self, encode: Callable[[str], bytes], encode_one: Callable[[bytes], bytes], lower: bool) -> None:
         self.encode, self.encode_one, self.lower, self.marks = encode, encode_one, lower, {}
-        # lower-case vocabularies meet fewer distinct words
-        self.most = REMEMBERED // 2 if lower else REMEMBERED
+        self.most = REMEMBERED
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.most:

@@ -120,7 +120,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     files = files or 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     cut = id_splitters(rows, "doc_id", files)
     placed = rows.withColumn("bucket", bucket_of(F.col("doc_id"), cut)).repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text")
-    manifest = materialise(placed.mapInArrow(_write(folder, path, end_id.to_bytes(4, "little"), width), MANIFEST), "manifest")
+    written = placed.mapInArrow(_write(folder, path, end_id.to_bytes(4, "little"), width), MANIFEST)
+    # a row a file: one table file holds them all, not one for each writing task
+    manifest = materialise(written.repartition(1), "manifest")
     # a row a file, at most `files`: the ids before each are summed over the manifest, not over documents
     before = F.sum("tokens").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     return manifest.withColumn("first", F.coalesce(before, F.lit(0)).cast("bigint"))

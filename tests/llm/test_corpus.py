@@ -312,6 +312,18 @@ def test_packing_and_token_files(spark, docs, rows, empty):
     assert token_files.read_token_files(token_files.write_token_files(empty, folder), folder).count() == 0
 
 
+def test_token_files_manifest_is_one_file(spark, docs):
+    key, folder = "spark.sql.adaptive.coalescePartitions.enabled", workspace(spark, "test")
+    spark.conf.set(key, "false")
+    try:
+        manifest = token_files.write_token_files(docs, folder, files=12)
+        assert manifest.select("path").distinct().count() > 4 and len(manifest.inputFiles()) == 1
+        got = [(r["start"], r["n_tokens"]) for r in token_files.read_token_files(manifest, folder).orderBy("start").collect()]
+    finally:
+        spark.conf.unset(key)
+    assert [start for start, _ in got] == np.cumsum([0, *(n for _, n in got[:-1])]).tolist() and len(got) == docs.count()
+
+
 def test_harmonic_bins():
     rng, size = random.Random(6), packing.tokens
     for capacity, count in ((64, 0), (64, 1), (64, 300), (256, 400)):
