@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +21,9 @@ MOST_NOTED = 79
 #: ASCII white space that separates words, as a regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: What a worker process keeps from task to task.
+_kept: dict[Hashable, object] = {}
+
 
 @lru_cache(maxsize=1)
 def _own_folder() -> str:
@@ -102,6 +106,38 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def kept(name: Hashable, make: Callable[[], object]) -> object:
+    """What this worker process keeps under `name`, made where there is nothing yet."""
+    if name not in _kept:
+        _kept[name] = make()
+        forget(name)  # what only the making needed
+    return _kept[name]
+
+
+def forget(but: Hashable = None) -> None:
+    """Drop all that this worker process keeps, except under the name `but`, and give freed memory back to the system."""
+    for name in [k for k in _kept if k != but]:
+        del _kept[name]
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: Hashable = None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow, such that a worker, which idles beside later steps or runs them, holds nothing of earlier ones but what is kept under the name `keeps`."""
+
+    def leaving(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
+        try:
+            yield from run(batches)
+        finally:
+            forget(keeps)
+
+    return leaving
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

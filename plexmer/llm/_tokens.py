@@ -14,6 +14,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from ._common import kept
+
 #: Distinct chunks remembered by a worker (about 80 MB); then it starts afresh.
 REMEMBERED = 500_000
 _WIDE_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
@@ -105,11 +107,6 @@ class Encoder:
         return b"".join(map(self.memory.__getitem__, self.split(text.encode())))
 
 
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
 def encoder(path: str, kind: str) -> Encoder:
-    """One encoder a worker process."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+    """One encoder a worker process, until it runs another operator's tasks."""
+    return kept((path, kind), lambda: Encoder(path, kind))

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import NOTE, NOTES, column, materialise, run_bounds, shuffle_width, small_batches, whole_groups, with_values
+from ._common import NOTE, NOTES, column, lean, materialise, run_bounds, shuffle_width, small_batches, whole_groups, with_values
 from ._graph import components
 from ._words import shingle_set, slices, word_hashes, word_spans
 
@@ -387,7 +387,7 @@ def _links(whole: DataFrame, num: int, den: int, block_tokens: int, width: int)
     """(a, b) that connect all linked sets of each block of `whole` (block, chunks, cid, n, tokens)."""
 
     def matched(cells: DataFrame) -> DataFrame:
-        return cells.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_matched(num, den), "a bigint, b bigint")
+        return cells.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(lean(_matched(num, den)), "a bigint, b bigint")
 
     large = whole.where("chunks > 1")
     first = F.min(F.struct(F.xxhash64("cid").alias("h"), "cid"))["cid"].alias("cid")
@@ -430,7 +430,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
     width = shuffle_width(spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *also)
 
-    signed = rows.mapInArrow(_signatures(n, num, den, pool, also), f"doc_id bigint, {''.join(c + ' string, ' for c in also)}n_shingles int, key binary, slack int, pool array<bigint>")
+    signed = rows.mapInArrow(lean(_signatures(n, num, den, pool, also)), f"doc_id bigint, {''.join(c + ' string, ' for c in also)}n_shingles int, key binary, slack int, pool array<bigint>")
     signed = materialise(signed.withColumn("rid", F.monotonically_increasing_id()), "sets")
     classes = materialise(signed.where("key is not null").groupBy("key").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")), "classes")
 
@@ -441,16 +441,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5,
         .select(F.col("rid").alias("cid"), F.col("n_shingles").alias("n"), "slack", F.posexplode("pool").alias("at", "token"))
         .select("token", "cid", "n", "slack", F.expr(f"IF(shiftrightunsigned(token, 60) < {pool}, -1, at)").cast("int").alias("ext"))
     )
-    counted = tokens.repartition(width, "token").sortWithinPartitions("token").mapInArrow(_counted, "token bigint, cid bigint, n int, slack int, ext int, df int")
-    prefixes = counted.repartition(width, "cid").sortWithinPartitions("cid").mapInArrow(_prefixes(pool, num, den), "token bigint, cid bigint, n int, pos int")
-    pairs = prefixes.repartition(width, "token").sortWithinPartitions("token", "n", "cid").mapInArrow(_candidates(num, den), "a bigint, b bigint")
+    counted = tokens.repartition(width, "token").sortWithinPartitions("token").mapInArrow(lean(_counted), "token bigint, cid bigint, n int, slack int, ext int, df int")
+    prefixes = counted.repartition(width, "cid").sortWithinPartitions("cid").mapInArrow(lean(_prefixes(pool, num, den)), "token bigint, cid bigint, n int, pos int")
+    pairs = prefixes.repartition(width, "token").sortWithinPartitions("token", "n", "cid").mapInArrow(lean(_candidates(num, den)), "a bigint, b bigint")
     blocks = components(pairs, "blocks").select(F.col("node").alias("cid"), F.col("component").alias("block"))
 
     member = materialise(blocks.join(classes, "cid"), "members")
     sizes = member.groupBy("block").agg(F.ceil(F.sum("n") / block_tokens).cast("int").alias("chunks"))
     member = member.join(sizes, "block")
     texts = _perhaps(rows.withColumnRenamed("doc_id", "id"), "id", member).join(member.hint("merge"), F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "key", "block", "chunks", "cid", "n")
-    whole = texts.mapInArrow(_whole_sets(n), "block bigint, chunks int, cid bigint, n int, tokens binary").where("tokens is not null")
+    whole = texts.mapInArrow(lean(_whole_sets(n)), "block bigint, chunks int, cid bigint, n int, tokens binary").where("tokens is not null")
     links = _links(materialise(whole, "whole"), num, den, block_tokens, width)
 
     found = components(links, "links").select(F.col("node").alias("cid"), "component")

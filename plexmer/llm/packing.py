@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import small_batches
+from ._common import lean, small_batches
 from ._tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -130,4 +130,4 @@ def harmonic_pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_pack(lambda: encoder(path, "word"), end_id.to_bytes(4, "little"), capacity), SCHEMA)
+    return rows.mapInArrow(lean(_pack(lambda: encoder(path, "word"), end_id.to_bytes(4, "little"), capacity), (path, "word")), SCHEMA)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, small_batches
+from ._common import lean, materialise, small_batches
 
 #: Words of one worker's counter before it is passed on.
 COUNTER_WORDS = 200_000
@@ -130,7 +130,7 @@ def log_odds(toxic: Column, other: Column, n1: float, n0: float) -> Column:
 def learn_words(train: DataFrame) -> tuple[dict[str, float], dict[str, float], float]:
     """(log-odds of words, those learnt without the calibration fold, what every word pays) from `train` (text, toxic, apart)."""
     column = lambda toxic, apart: F.sum(F.expr(f"IF(toxic = {toxic} AND apart = {apart}, n, 0L)"))
-    counts = train.mapInArrow(_count, "word string, toxic int, apart boolean, n bigint").groupBy("word").agg(column(1, False).alias("y1"), column(0, False).alias("y0"), column(1, True).alias("z1"), column(0, True).alias("z0"))
+    counts = train.mapInArrow(lean(_count), "word string, toxic int, apart boolean, n bigint").groupBy("word").agg(column(1, False).alias("y1"), column(0, False).alias("y0"), column(1, True).alias("z1"), column(0, True).alias("z0"))
     counts = materialise(counts, "words")
     totals = {r["word"]: r for r in counts.where("word IS NULL OR word = ''").collect()}
     docs = totals.get(None)
@@ -250,9 +250,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, also: tuple[str, ...] = ()) ->
     if not model:
         return rows.select("doc_id", *also, held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("evidence"), F.expr("CAST(array() AS ARRAY<STRUCT<first: INT, last: INT, log_odds: DOUBLE>>)").alias("passages"))
     # at most TRAINING_ROWS pairs of numbers
-    sample = train.where("apart AND toxic = 0").select("text").mapInArrow(_best(apart, penalty), "best double, words bigint").collect()
+    sample = train.where("apart AND toxic = 0").select("text").mapInArrow(lean(_best(apart, penalty)), "best double, words bigint").collect()
     lam, k = extreme_values(np.array([r["best"] for r in sample]), np.array([r["words"] for r in sample]))
-    scored = rows.mapInArrow(_evidence(model, penalty, lam, k, also), f"doc_id bigint, {''.join(c + ' string, ' for c in also)}evidence double, passages array<struct<first: int, last: int, log_odds: double>>")
+    scored = rows.mapInArrow(lean(_evidence(model, penalty, lam, k, also)), f"doc_id bigint, {''.join(c + ' string, ' for c in also)}evidence double, passages array<struct<first: int, last: int, log_odds: double>>")
     scored = materialise(scored, "evidence")
     sample = scored.join(marks, "doc_id").select("evidence", "toxic").collect()
     a, b = _curve(np.log1p(np.array([r["evidence"] for r in sample])), np.array([float(r["toxic"]) for r in sample]))

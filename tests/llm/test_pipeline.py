@@ -3,9 +3,11 @@
 import collections
 import random
 import re
+import weakref
 
 import corpus_pipeline
-from plexmer.llm import _common, mixture, ngram_join
+import pyarrow as pa
+from plexmer.llm import _common, _tokens, mixture, ngram_join, packing
 
 
 def table(spark, folder):
@@ -145,3 +147,30 @@ def test_values_of_places(spark, monkeypatch):
         monkeypatch.setattr(_common, "NOTES", most)
         got = _common.with_values(places, (places["f"], places["n"]), given, "values").collect()
         assert collections.Counter(map(tuple, got)) == collections.Counter((f, n, values.get((f, n), 0)) for f, n in rows)
+
+
+def test_workers_keep_nothing_of_earlier_steps(spark, tmp_path, monkeypatch):
+    sf = f"file://{tmp_path}"
+    table(spark, sf)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    steps, given = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, f, schema: (steps.append(f), given(df, f, schema))[1])
+    monkeypatch.setattr(packing, "TaskContext", type("Here", (), {"get": staticmethod(lambda: type("", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", None], "toxic": pa.array([0, 1], pa.int32()), "apart": [False, True]})
+    path = _tokens.default_tokenizer("word_bpe_49k.json")
+
+    def packed():  # as in a worker
+        list(steps[0]([batch]))
+        return weakref.ref(_tokens.encoder(path, "word"))
+
+    packing.harmonic_pack(docs)
+    encoder = packed()
+    assert encoder() is packed()() is not None  # the next task of the same operator finds it
+    corpus_pipeline.drop_toxic(spark, docs, sf)
+    ngram_join.ngram_jaccard_join(docs)
+    assert len(steps) >= 6
+    list(steps[1]([batch]))  # one of toxicity
+    assert encoder() is None
+    encoder = packed()
+    list(next(f for f in steps[4:])([batch.select(["doc_id", "text"])]))  # one of ngram_jaccard_join
+    assert encoder() is None
